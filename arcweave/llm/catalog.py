@@ -6,15 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcweave.llm import exact_dedup, mixing
+from arcweave.functions.shipping import shipped
+from arcweave.llm import decontaminate, exact_dedup, mixing, near_dedup, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op2_near_dedup": near_dedup.op2_near_dedup,
+        "op3_decontaminate": decontaminate.op3_decontaminate,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op10_token_output": token_store.op10_token_output,
     }
+    return {name: shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.OP1_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
+    return {
+        "op1_mix_sources": mixing.OP1_SQL,
+        "op2_near_dedup": near_dedup.OP2_SQL,
+        "op3_decontaminate": decontaminate.OP3_SQL,
+        "op7_exact_dedup": exact_dedup.OP7_SQL,
+    }
