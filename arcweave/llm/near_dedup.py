@@ -329,6 +329,18 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return result.unionByName(wordless).withColumn("kept", kept)
 
 
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """`docs` without those linked to a document with a smaller doc_id; wordless documents stay.
+
+    Rows without doc_id are known by a hash of their text, so one text of theirs stays even if no row has an id. Rows
+    that repeat a doc_id stay or go together.
+    """
+    surrogate = -1 - F.pmod(F.xxhash64("text"), F.lit(2**62))
+    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), surrogate))
+    kept = near_components(rows.select(F.col("__id").alias("doc_id"), "text"), k, percent).where("kept")
+    return rows.join(kept.select(F.col("doc_id").alias("__id")), "__id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), k=2, percent=80)
 
