@@ -38,7 +38,7 @@ def path_of(url: Column) -> Column:
 
 def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> Column:
     """The longest rule that fits as struct(rule, verdict), null if none: its host or a subdomain, a path that starts so."""
-    choice = F.lit(None)
+    choice = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, rule_host, rule_path in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
         choice = F.when(fits, F.struct(F.lit(rule_host + rule_path).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(choice)
