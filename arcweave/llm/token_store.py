@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ from arcweave.llm.store import fresh_path, table
 from arcweave.llm.tokens import encoder
 
 SHARD_TOKENS = 1 << 20
+SLICE_BYTES = 16 << 20
 END_ID = 2
 SHARD = (
     "part int, seq int, first_key bigint, last_key bigint, n_docs bigint, n_null bigint, n_tokens bigint, width int, payload binary, "
@@ -77,6 +79,16 @@ def _shard_row(part: int, seq: int, keys: list, lengths: list[int], payload: byt
     return pa.RecordBatch.from_arrays([pa.array([v], kinds[k]) for v, (_, k) in zip(row, fields, strict=True)], [n for n, _ in fields])
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about SLICE_BYTES of text, so that long texts don't meet in memory."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    turn = np.cumsum(sizes) // SLICE_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def _writer(tokenizer: str, end_id: int, shard_tokens: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
@@ -84,15 +96,17 @@ def _writer(tokenizer: str, end_id: int, shard_tokens: int):
         end = np.array([end_id], width).tobytes()
         keys, lengths, pieces, total = [], [], [], 0
         for batch in batches:
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = own.encode(text or "")
-                if width != own.width:
-                    ids = np.frombuffer(ids, own.width).astype(width).tobytes()
-                keys.append(key), lengths.append(len(ids) // width.itemsize + 1), pieces.extend((ids, end))
-                total += lengths[-1]
-                if total >= shard_tokens:
-                    yield _shard_row(part, seq, keys, lengths, b"".join(pieces), width.itemsize)
-                    keys, lengths, pieces, total, seq = [], [], [], 0, seq + 1
+            for part_of in _slices(batch):
+                texts = part_of.column("text")
+                ids, counts = own.encode(pc.fill_null(texts, ""))
+                data = ids.astype(width).tobytes()
+                cuts = (np.r_[0, np.cumsum(counts)] * width.itemsize).tolist()
+                for key, n, a, b in zip(part_of.column("doc_id").to_pylist(), counts.tolist(), cuts, cuts[1:], strict=False):
+                    keys.append(key), lengths.append(n + 1), pieces.extend((data[a:b], end))
+                    total += n + 1
+                    if total >= shard_tokens:
+                        yield _shard_row(part, seq, keys, lengths, b"".join(pieces), width.itemsize)
+                        keys, lengths, pieces, total, seq = [], [], [], 0, seq + 1
         if keys:
             yield _shard_row(part, seq, keys, lengths, b"".join(pieces), width.itemsize)
 

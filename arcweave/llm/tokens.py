@@ -1,27 +1,30 @@
-"""Tokenizers inside tasks: one per worker process, with a bounded memo of encoded chunks."""
+"""Tokenizers inside tasks: one per worker process, with a bounded memo of encoded words."""
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MEMO_CHUNKS = 400_000
-#: Leading blanks and line feeds, then what is neither. Byte-level pre-tokenisers of the kind used here never join
-#: across the end of a chunk as long as blanks and line feeds are the only white space.
-_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-_LOADED: dict[str, ChunkedEncoder] = {}
+#: Words in each of the memo's two generations.
+MEMO_WORDS = 300_000
+#: Texts with white space that is not a single blank or line feed between two words are encoded in one call.
+_UNEVEN = (
+    r"[ \n][ \n]|\A[ \n]|[ \n]\z|[\t\x{0B}\x{0C}\r\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+)
+_LOADED: dict[str, WordEncoder] = {}
 
 
-class ChunkedEncoder:
+class WordEncoder:
     """Encodes whole texts to ids; equal to Tokenizer.encode(text, add_special_tokens=False).ids for byte-level BPE.
 
-    Texts are cut where no pre-token spans the cut, and each distinct chunk is encoded once while it stays in the memo.
-    Texts with other white space than blanks and line feeds are encoded in one call.
+    Byte-level pre-tokenisers of the kind used here have a boundary before white space that follows a word, and between
+    a letter or number and a full stop or comma. So evenly spaced texts are cut into words, the distinct words of a
+    batch are encoded unless the memo has them, and ids are gathered by word number.
     """
 
     def __init__(self, path: str):
@@ -29,24 +32,92 @@ class ChunkedEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
-        self.memo: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian integers of `width`."""
-        if _OTHER_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
-        chunks = _CHUNK.findall(text)
-        missing = list(set(chunks).difference(self.memo))
-        if missing:
-            if len(self.memo) + len(missing) > MEMO_CHUNKS:
-                self.memo.clear()
-                missing = list(set(chunks))
-            for chunk, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                self.memo[chunk] = np.array(found.ids, self.width).tobytes()
-        return b"".join(map(self.memo.__getitem__, chunks))
-
-
-def encoder(path: str) -> ChunkedEncoder:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
+
+    def _remember(self, word: str, ids: bytes) -> None:
+        if len(self.new) >= MEMO_WORDS:
+            self.old, self.new = self.new, {}
+        self.new[word] = ids
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words. Those that begin with white space and end without are encoded one after the other."""
+        inner = [w for w in words if w and w[0] in " \n" and w[-1] not in " \n"]
+        found = {w: self._whole(w) for w in set(words).difference(inner)}
+        if inner:
+            encoded = self.tokenizer.encode("".join(inner), add_special_tokens=False)
+            ids = np.array(encoded.ids, self.width)
+            starts = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(ids))
+            lengths = np.fromiter(map(len, inner), np.int64, len(inner))
+            cuts = np.searchsorted(starts, np.r_[0, np.cumsum(lengths)]).tolist()
+            data, size = ids.tobytes(), self.width.itemsize
+            found.update((w, data[a * size : b * size]) for w, a, b in zip(inner, cuts, cuts[1:], strict=False))
+        for w, ids in found.items():
+            self._remember(w, ids)
+        return found
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, full stops and commas at their ends apart."""
+        pairs, missing = [], set()
+        new, old = self.new.get, self.old.get
+        held: dict[str, bytes] = {}
+        for w in words:
+            base, tail = w, ""
+            if w and w[-1] in ".,":
+                stem = w.rstrip(".,")
+                if stem and stem[-1].isalnum() and stem[-1] < "\u3000":
+                    base, tail = stem, w[len(stem) :]
+            pairs.append((base, tail))
+            for x in (base, tail) if tail else (base,):
+                if x not in held and x not in missing:
+                    ids = new(x)
+                    if ids is None:
+                        ids = old(x)
+                        if ids is None:
+                            missing.add(x)
+                            continue
+                        self._remember(x, ids)
+                    held[x] = ids
+        held.update(self._learn(sorted(missing)))
+        return [held[b] + held[t] if t else held[b] for b, t in pairs]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids one text after the other, number of ids of each text) of an array without nulls."""
+        even = pc.invert(pc.match_substring_regex(texts, _UNEVEN))
+        cut = pc.split_pattern(pc.replace_substring(texts.filter(even), "\n", " \n"), " ")
+        flat, bounds = cut.flatten(), cut.offsets.to_numpy().astype(np.int64)
+        bounds = bounds - bounds[0]
+        coded = flat.dictionary_encode() if len(flat) else pa.array([], pa.string()).dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        uniques = [w if w[:1] == "\n" else " " + w for w in coded.dictionary.to_pylist()]
+        begin = bounds[:-1]  # the first word of a text has no blank before it
+        firsts, first_code = np.unique(code[begin], return_inverse=True)
+        opening = [coded.dictionary[i].as_py() for i in firsts.tolist()]
+        uneven = texts.filter(pc.invert(even)).to_pylist()
+        parts = [*self._ids(uniques), *self._ids(opening), *[self._whole(t) for t in uneven]]
+        code[begin] = len(uniques) + first_code
+        # texts in their order: even ones are runs of words, an uneven one is a single word
+        is_even = even.to_numpy(zero_copy_only=False)
+        counts = np.ones(len(texts), np.int64)
+        counts[is_even] = np.diff(bounds)
+        owner = np.repeat(np.arange(len(texts)), counts)
+        words = np.empty(len(owner), np.int64)
+        from_even = is_even[owner]
+        words[from_even] = code
+        words[~from_even] = len(uniques) + len(opening) + np.arange(len(uneven))
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.width.itemsize
+        start = np.r_[0, np.cumsum(size)][:-1]
+        values = np.frombuffer(b"".join(parts), self.width)
+        length = size[words]
+        total = np.cumsum(length)
+        at = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(start[words] - (total - length), length)
+        return values[at], np.bincount(owner, length, len(texts)).astype(np.int64)
+
+
+def encoder(path: str) -> WordEncoder:
     if path not in _LOADED:
-        _LOADED[path] = ChunkedEncoder(path)
+        _LOADED[path] = WordEncoder(path)
     return _LOADED[path]
