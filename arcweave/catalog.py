@@ -1,16 +1,320 @@
-"""Queries of the graph operators over the driver's tables, with their SQL oracles."""
+"""Queries of the graph operators over relational tables, with the DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from arcweave.functions.shipping import shipped
+from arcweave.operators import degrees
+from arcweave.operators.components import wcc
+from arcweave.operators.graph import Graph
+from arcweave.operators.rank import pagerank, ppr_topk
+from arcweave.operators.traverse import bfs, k_hop
+from arcweave.sources import relations as rel
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
+#: Iterations of the rank queries; the tolerance is too small to end them earlier.
+STEPS, TOL = 10, 1e-18
+
+EDGES = {
+    "sp": "SELECT l_suppkey AS src, l_partkey + 1000000 AS dst, CAST(CAST(sum(l_quantity) AS FLOAT) AS DOUBLE) AS weight FROM lineitem GROUP BY 1, 2",
+    "sp_small": "SELECT l_suppkey AS src, l_partkey + 1000000 AS dst, CAST(1 AS DOUBLE) AS weight FROM lineitem WHERE l_orderkey < 100 GROUP BY 1, 2",
+    "cs": "SELECT o_custkey + 2000000 AS src, l_suppkey AS dst, CAST(CAST(round(sum(l_extendedprice), 2) AS FLOAT) AS DOUBLE) AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2",
+    "cs_multi": "SELECT o_custkey + 2000000 AS src, l_suppkey AS dst, CAST(1 AS DOUBLE) AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
+    "hier": "SELECT CAST(n_regionkey AS BIGINT) AS src, CAST(n_nationkey + 100 AS BIGINT) AS dst, CAST(1 AS DOUBLE) AS weight FROM nation UNION ALL SELECT CAST(c_nationkey + 100 AS BIGINT), c_custkey + 2000000, 1 FROM customer UNION ALL SELECT o_custkey + 2000000, o_orderkey + 10000000, 1 FROM orders",
+    "evt": "SELECT * FROM (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst, CAST(1 AS DOUBLE) AS weight FROM events) WHERE dst IS NOT NULL",
+    "evchain": "SELECT * FROM (SELECT event_id AS src, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst, CAST(1 AS DOUBLE) AS weight FROM events) WHERE dst IS NOT NULL",
+    "conv": "SELECT * FROM (SELECT conv_id * 1000 + turn AS src, lead(conv_id * 1000 + turn) OVER (PARTITION BY conv_id ORDER BY turn) AS dst, CAST(1 AS DOUBLE) AS weight FROM conversations) WHERE dst IS NOT NULL",
+    "dup": "SELECT doc_id AS src, min(doc_id) OVER (PARTITION BY md5(text)) AS dst, CAST(1 AS DOUBLE) AS weight FROM documents",
+    "web": "SELECT url AS src, regexp_extract(url, '//([^/]*)', 1) AS dst, CAST(1 AS DOUBLE) AS weight FROM pages",
+}
+
+
+def graph_of(spark: SparkSession, sf_dir: str, name: str, directed: bool = True, weighted: bool = False) -> Graph:
+    """The graph that EDGES[name] describes, by the DataFrame way."""
+    make = {
+        "sp": rel.supplier_part,
+        "sp_small": lambda s, d: rel.supplier_part(s, d, orders_below=100),
+        "cs": rel.customer_supplier,
+        "cs_multi": lambda s, d: rel.customer_supplier(s, d, multi=True),
+        "hier": rel.hierarchy,
+        "evt": rel.event_transitions,
+        "evchain": rel.event_chains,
+        "conv": rel.conversation_turns,
+        "dup": rel.equal_documents,
+        "web": rel.page_hosts,
+    }[name]
+    return Graph.from_edges(make(spark, sf_dir), weight="weight" if weighted else None, directed=directed)
+
+
+def _sql(name: str, tail: str, directed: bool = True, weighted: bool = False, ctes: str = "") -> str:
+    """tail over v(ext_id, idx), g(edge_id, src, dst, weight), s (stored edges) and the given ones."""
+    weight = "weight" if weighted else "CAST(1 AS DOUBLE) AS weight"
+    both = "" if directed else " UNION ALL SELECT edge_id, dst, src, weight FROM g WHERE src <> dst"
+    return f"""WITH RECURSIVE e AS (SELECT src, dst, {weight} FROM ({EDGES[name]})),
+v AS (SELECT ext_id, row_number() OVER (ORDER BY ext_id) - 1 AS idx FROM (SELECT src AS ext_id FROM e UNION SELECT dst FROM e)),
+g AS MATERIALIZED (SELECT row_number() OVER (ORDER BY e.src, e.dst, e.weight) - 1 AS edge_id, a.idx AS src, b.idx AS dst, e.weight FROM e JOIN v a ON a.ext_id = e.src JOIN v b ON b.ext_id = e.dst),
+s AS MATERIALIZED (SELECT edge_id, src, dst, weight FROM g{both}){", " + ctes if ctes else ""}
+{tail}"""
+
+
+def _add(name: str, query: Query, oracle: str | None) -> None:
+    _QUERIES[name] = shipped(query)
+    if oracle:
+        _ORACLES[name] = oracle
+
+
+# building and identity
+
+EDGE_COLUMNS = ["edge_id", "src", "dst", "weight"]
+_add("build_edges_directed", lambda s, d: graph_of(s, d, "sp", weighted=True).stored.select(*EDGE_COLUMNS), _sql("sp", "SELECT edge_id, src, dst, weight FROM s", weighted=True))
+_add(
+    "build_edges_undirected",
+    lambda s, d: graph_of(s, d, "sp", directed=False, weighted=True).stored.select(*EDGE_COLUMNS),
+    _sql("sp", "SELECT edge_id, src, dst, weight FROM s", directed=False, weighted=True),
+)
+_add("build_edges_multigraph", lambda s, d: graph_of(s, d, "cs_multi").stored.select(*EDGE_COLUMNS), _sql("cs_multi", "SELECT edge_id, src, dst, weight FROM s"))
+_add("factorize_int_ids", lambda s, d: graph_of(s, d, "cs").external_ids, _sql("cs", "SELECT idx, ext_id FROM v"))
+_add("factorize_string_ids", lambda s, d: graph_of(s, d, "web").external_ids, _sql("web", "SELECT idx, ext_id FROM v"))
+
+
+def _index_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = rel.page_hosts(spark, sf_dir).select(F.col("dst").alias("ext_id")).distinct()
+    return graph_of(spark, sf_dir, "web").index_of(hosts).select("ext_id", "idx")
+
+
+_add("index_of_lookup", _index_of, _sql("web", "SELECT ext_id, idx FROM v WHERE ext_id IN (SELECT dst FROM e)"))
+
+
+def _identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_regionkey").alias("src"), F.col("n_nationkey").alias("dst"))
+    return Graph.from_edges(edges, num_vertices=40).vertices.select("idx", "ext_id", "out_deg", "in_deg", "dangling")
+
+
+_add(
+    "identity_vertices",
+    _identity,
+    """WITH v AS (SELECT unnest(range(40)) AS idx), o AS (SELECT n_regionkey AS idx, count(*) AS n FROM nation GROUP BY 1), i AS (SELECT n_nationkey AS idx, count(*) AS n FROM nation GROUP BY 1)
+SELECT v.idx, v.idx AS ext_id, coalesce(o.n, 0) AS out_deg, coalesce(i.n, 0) AS in_deg, o.n IS NULL AS dangling FROM v LEFT JOIN o USING (idx) LEFT JOIN i USING (idx)""",
+)
+_add("transpose_edges", lambda s, d: graph_of(s, d, "cs", weighted=True).transpose(), _sql("cs", "SELECT edge_id, dst AS src, src AS dst, weight FROM s", weighted=True))
+
+# degrees
+
+_add(
+    "out_weight_sum",
+    lambda s, d: graph_of(s, d, "sp", weighted=True).vertices.select("idx", "out_wsum"),
+    _sql("sp", "SELECT v.idx, coalesce(sum(weight), 0) AS out_wsum FROM v LEFT JOIN s ON s.src = v.idx GROUP BY 1", weighted=True),
+)
+_add("dangling_vertices", lambda s, d: graph_of(s, d, "cs").vertices.where("dangling").select("idx", "ext_id"), _sql("cs", "SELECT idx, ext_id FROM v WHERE idx NOT IN (SELECT src FROM s)"))
+_DEGREE = "deg AS (SELECT v.idx, count(s.{0}) AS d FROM v LEFT JOIN s ON s.{0} = v.idx GROUP BY 1)"
+for _way, _end in (("out", "src"), ("in", "dst")):
+    _add(
+        f"degree_{_way}",
+        lambda s, d, way=_way: degrees.degree_histogram(graph_of(s, d, "cs_multi"), way),
+        _sql("cs_multi", "SELECT d AS degree, count(*) AS vertices FROM deg GROUP BY 1", ctes=_DEGREE.format(_end)),
+    )
+_add(
+    "degree_bins",
+    lambda s, d: degrees.degree_bins(graph_of(s, d, "sp", directed=False)),
+    _sql(
+        "sp",
+        "SELECT CASE WHEN d >= 16384 THEN 'huge' WHEN d >= 1024 THEN 'high' WHEN d >= 32 THEN 'mid' WHEN d >= 1 THEN 'low' ELSE 'zero' END AS bin, count(*) AS vertices, CAST(sum(d) AS BIGINT) AS edges FROM deg GROUP BY 1",
+        directed=False,
+        ctes=_DEGREE.format("src"),
+    ),
+)
+
+# ranks
+
+
+def _rank_sql(name: str, directed: bool, weighted: bool, teleport: str = "SELECT idx, CAST(1 AS DOUBLE) / count(*) OVER () AS p FROM v") -> str:
+    ctes = f"""o AS (SELECT src, sum(weight) AS ows FROM s GROUP BY 1), a AS MATERIALIZED (SELECT s.src, s.dst, s.weight / o.ows AS p FROM s JOIN o USING (src) WHERE ows > 0),
+dang AS MATERIALIZED (SELECT idx FROM v WHERE idx NOT IN (SELECT src FROM a)), t AS MATERIALIZED ({teleport}),
+pr AS (SELECT 0 AS i, idx, p AS r FROM t UNION ALL
+  SELECT k.i + 1, t.idx, (0.15 + 0.85 * d.m) * t.p + 0.85 * coalesce(f.acc, 0) FROM t CROSS JOIN (SELECT max(i) AS i FROM pr) k
+  CROSS JOIN (SELECT coalesce(sum(r), 0) AS m FROM pr WHERE idx IN (SELECT idx FROM dang)) d
+  LEFT JOIN (SELECT a.dst, sum(a.p * pr.r) AS acc FROM a JOIN pr ON a.src = pr.idx GROUP BY 1) f ON f.dst = t.idx WHERE k.i < {STEPS})"""
+    return _sql(name, f"SELECT idx, round(r, 9) AS rank FROM pr WHERE i = {STEPS}", directed, weighted, ctes)
+
+
+def _ranked(name: str, directed: bool, weighted: bool, personal=None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        graph = graph_of(spark, sf_dir, name, directed, weighted)
+        given = personal(graph) if personal else None
+        return pagerank(graph, tol=TOL, max_iter=STEPS, personalization=given).select("idx", F.round("rank", 9).alias("rank"))
+
+    return run
+
+
+for _key, _args in {
+    "pagerank_unweighted": ("sp", False, False),
+    "pagerank_weighted": ("sp", False, True),
+    "pagerank_undirected": ("cs", False, True),
+    "pagerank_dangling": ("cs", True, True),
+    "pagerank_multigraph": ("cs_multi", True, False),
+    "pagerank_loops": ("evt", True, False),
+}.items():
+    _add(_key, _ranked(*_args), _rank_sql(*_args))
+_add(
+    "pagerank_personalized",
+    _ranked("cs", True, True, lambda g: g.vertices.select("idx", (F.col("idx") % 5).cast("double").alias("weight"))),
+    _rank_sql("cs", True, True, "SELECT idx, CAST(idx % 5 AS DOUBLE) / (SELECT sum(idx % 5) FROM v) AS p FROM v"),
+)
+_add(
+    "pagerank_personalized_dict",
+    _ranked("cs", False, True, lambda g: {0: 2.0, 5: 1.0, 97: 3.0}),
+    _rank_sql("cs", False, True, "SELECT idx, (CASE idx WHEN 0 THEN 2.0 WHEN 5 THEN 1.0 WHEN 97 THEN 3.0 ELSE 0.0 END)::DOUBLE / 6 AS p FROM v"),
+)
+
+
+def _ppr_sql(name: str, directed: bool, weighted: bool, seeds: str, k: int) -> str:
+    ctes = f"""o AS (SELECT src, sum(weight) AS ows FROM s GROUP BY 1), a AS MATERIALIZED (SELECT s.src, s.dst, s.weight / o.ows AS p FROM s JOIN o USING (src) WHERE ows > 0),
+dang AS MATERIALIZED (SELECT idx FROM v WHERE idx NOT IN (SELECT src FROM a)), seeds AS ({seeds}),
+n AS (SELECT query_id, idx, sum(weight) AS w FROM seeds GROUP BY 1, 2), q AS (SELECT query_id, sum(w) AS total FROM n GROUP BY 1),
+t AS MATERIALIZED (SELECT q.query_id, v.idx, coalesce(n.w, 0) / q.total AS p FROM q CROSS JOIN v LEFT JOIN n ON n.query_id = q.query_id AND n.idx = v.idx),
+pr AS (SELECT 0 AS i, query_id, idx, p AS r FROM t UNION ALL
+  SELECT k.i + 1, t.query_id, t.idx, (0.15 + 0.85 * coalesce(d.m, 0)) * t.p + 0.85 * coalesce(f.acc, 0) FROM t CROSS JOIN (SELECT max(i) AS i FROM pr) k
+  LEFT JOIN (SELECT query_id, sum(r) AS m FROM pr WHERE idx IN (SELECT idx FROM dang) GROUP BY 1) d ON d.query_id = t.query_id
+  LEFT JOIN (SELECT query_id, a.dst, sum(a.p * pr.r) AS acc FROM a JOIN pr ON a.src = pr.idx GROUP BY 1, 2) f ON f.dst = t.idx AND f.query_id = t.query_id WHERE k.i < {STEPS}),
+top AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(r, 9) DESC, idx) AS rnk, idx, round(r, 9) AS score FROM pr WHERE i = {STEPS} QUALIFY rnk <= {k}),
+pad AS (SELECT q.query_id, unnest(range((SELECT count(*) FROM v) + 1, {k} + 1)) AS rnk, CAST(-1 AS BIGINT) AS idx, CAST(0 AS DOUBLE) AS score FROM q)"""
+    return _sql(name, "SELECT query_id, rnk, idx, score FROM top UNION ALL SELECT * FROM pad", directed, weighted, ctes)
+
+
+def _ppr(name: str, directed: bool, weighted: bool, seeds, k: int) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        graph = graph_of(spark, sf_dir, name, directed, weighted)
+        found = ppr_topk(graph, seeds(graph), k=k, tol=TOL, max_iter=STEPS)
+        return found.select("query_id", "rnk", "idx", F.round("score", 9).alias("score"))
+
+    return run
+
+
+def _spread_seeds(graph: Graph) -> DataFrame:
+    return graph.vertices.where("idx % 97 = 0").selectExpr("idx % 4 AS query_id", "idx", "CAST(1 + idx % 3 AS DOUBLE) AS weight")
+
+
+def _repeated_seeds(graph: Graph) -> DataFrame:
+    return graph.spark.createDataFrame([(0, 4, 1.0), (0, 4, 2.0), (0, 9, 3.0), (1, 9, 1.0)], "query_id bigint, idx bigint, weight double")
+
+
+def _few_seeds(graph: Graph) -> DataFrame:
+    return graph.spark.createDataFrame([(0, 0, 1.0), (1, 2, 1.0), (1, 3, 3.0)], "query_id bigint, idx bigint, weight double")
+
+
+_add("ppr_topk_batch", _ppr("sp", False, True, _spread_seeds, 64), _ppr_sql("sp", False, True, "SELECT idx % 4 AS query_id, idx, CAST(1 + idx % 3 AS DOUBLE) AS weight FROM v WHERE idx % 97 = 0", 64))
+_add("ppr_topk_dup_seeds", _ppr("sp", False, True, _repeated_seeds, 10), _ppr_sql("sp", False, True, "SELECT * FROM (VALUES (0::BIGINT, 4::BIGINT, 1.0::DOUBLE), (0, 4, 2.0), (0, 9, 3.0), (1, 9, 1.0)) x(query_id, idx, weight)", 10))
+_add("ppr_topk_dangling", _ppr("cs", True, True, _repeated_seeds, 30), _ppr_sql("cs", True, True, "SELECT * FROM (VALUES (0::BIGINT, 4::BIGINT, 1.0::DOUBLE), (0, 4, 2.0), (0, 9, 3.0), (1, 9, 1.0)) x(query_id, idx, weight)", 30))
+_add("ppr_topk_pad", _ppr("evt", True, False, _few_seeds, 12), _ppr_sql("evt", True, False, "SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, 1.0::DOUBLE), (1, 2, 1.0), (1, 3, 3.0)) x(query_id, idx, weight)", 12))
+
+# traversal
+
+
+def _walk(direction: str, directed: bool = True) -> str:
+    there, back = "SELECT src AS a, dst AS b FROM s", "SELECT dst AS a, src AS b FROM s"
+    return there if direction == "out" or not directed else back if direction == "in" else f"{there} UNION ALL {back}"
+
+
+def _bfs_ctes(sources: str, direction: str, directed: bool = True) -> str:
+    return f"""w AS MATERIALIZED ({_walk(direction, directed)}), src0 AS ({sources}),
+reach(x, d) USING KEY (x) AS (SELECT idx, CAST(0 AS BIGINT) FROM src0 UNION
+  SELECT w.b, min(reach.d) + 1 FROM reach JOIN w ON w.a = reach.x WHERE NOT EXISTS (SELECT 1 FROM recurring.reach o WHERE o.x = w.b) GROUP BY w.b),
+par AS (SELECT c.x, min(p.x) AS parent FROM reach c JOIN w ON w.b = c.x JOIN reach p ON p.x = w.a AND p.d = c.d - 1 GROUP BY 1)"""
+
+
+_DENSE = "SELECT v.idx, coalesce(r.d, -1) AS dist, coalesce(par.parent, -1) AS parent FROM v LEFT JOIN reach r ON r.x = v.idx LEFT JOIN par ON par.x = v.idx"
+_SPARSE = "SELECT r.x AS idx, r.d AS dist, coalesce(par.parent, -1) AS parent FROM reach r LEFT JOIN par ON par.x = r.x"
+
+
+def _bfs(name: str, sources, direction: str, output: str = "dense", directed: bool = True) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        graph = graph_of(spark, sf_dir, name, directed)
+        start = sources(graph) if callable(sources) else sources
+        return bfs(graph, start, direction, output)
+
+    return run
+
+
+_FIRST = "SELECT CAST(0 AS BIGINT) AS idx"
+for _key, (_name, _start, _from, _dir, _out, _directed) in {
+    "bfs_out": ("hier", 0, _FIRST, "out", "dense", True),
+    "bfs_in": ("hier", lambda g: g.vertices.where("idx % 1000 = 999").select("idx"), "SELECT idx FROM v WHERE idx % 1000 = 999", "in", "dense", True),
+    "bfs_both": ("cs", 0, _FIRST, "both", "dense", True),
+    "bfs_multi_source": ("conv", lambda g: g.vertices.where("idx % 10 IN (0, 5)").select("idx"), "SELECT idx FROM v WHERE idx % 10 IN (0, 5)", "out", "dense", True),
+    "bfs_sparse": ("hier", [1, 3, 3], "SELECT CAST(unnest([1, 3]) AS BIGINT) AS idx", "out", "sparse", True),
+    "bfs_undirected": ("sp_small", 0, _FIRST, "out", "dense", False),
+}.items():
+    _add(_key, _bfs(_name, _start, _dir, _out, _directed), _sql(_name, _DENSE if _out == "dense" else _SPARSE, _directed, ctes=_bfs_ctes(_from, _dir, _directed)))
+_add(
+    "bfs_frontier_sizes",
+    lambda s, d: bfs(graph_of(s, d, "hier"), 0, output="sparse").groupBy("dist").agg(F.count(F.lit(1)).alias("vertices")),
+    _sql("hier", "SELECT d AS dist, count(*) AS vertices FROM reach GROUP BY 1", ctes=_bfs_ctes(_FIRST, "out")),
+)
+
+
+def _khop(name: str, part: str, directed: bool = True, **options) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return getattr(k_hop(graph_of(spark, sf_dir, name, directed), [0, 7], **options), part)
+
+    return run
+
+
+def _khop_sql(name: str, tail: str, k: int, direction: str = "both", directed: bool = True, cap: int | None = None) -> str:
+    limit = f" ORDER BY d, x LIMIT {cap}" if cap else ""
+    ctes = _bfs_ctes("SELECT CAST(unnest([0, 7]) AS BIGINT) AS idx", direction, directed) + f", r AS (SELECT x AS idx FROM reach WHERE d <= {k}{limit})"
+    return _sql(name, tail, directed, ctes=ctes)
+
+
+_INSIDE = "SELECT edge_id FROM g WHERE src IN (SELECT idx FROM r) AND dst IN (SELECT idx FROM r)"
+_add("khop_vertices", _khop("hier", "vertices", k=2, direction="out"), _khop_sql("hier", "SELECT idx FROM r", 2, "out"))
+_add("khop_edges", _khop("sp_small", "edges", directed=False, k=2), _khop_sql("sp_small", _INSIDE, 2, directed=False))
+_add("khop_k0", _khop("sp", "edges", k=0), _khop_sql("sp", _INSIDE, 0))
+_add("khop_capped_vertices", _khop("sp_small", "vertices", k=3, max_vertices=25), _khop_sql("sp_small", "SELECT idx FROM r", 3, cap=25))
+_add("khop_capped_edges", _khop("sp_small", "edges", k=3, max_edges=7), _khop_sql("sp_small", f"{_INSIDE} ORDER BY edge_id LIMIT 7", 3))
+
+
+def _khop_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sub = k_hop(graph_of(spark, sf_dir, "sp_small"), [0, 7], k=1, as_graph=True).graph
+    names = sub.external_ids
+    ends = sub.edges.join(names.select(F.col("idx").alias("src"), F.col("ext_id").alias("src_id")), "src")
+    return ends.join(names.select(F.col("idx").alias("dst"), F.col("ext_id").alias("dst_id")), "dst").select("edge_id", "src", "dst", "src_id", "dst_id")
+
+
+_add(
+    "khop_subgraph",
+    _khop_subgraph,
+    _khop_sql(
+        "sp_small",
+        """SELECT row_number() OVER (ORDER BY g.edge_id) - 1 AS edge_id, a.n AS src, b.n AS dst, a.ext_id AS src_id, b.ext_id AS dst_id FROM g
+JOIN (SELECT v.idx, ext_id, row_number() OVER (ORDER BY ext_id) - 1 AS n FROM v JOIN r USING (idx)) a ON a.idx = g.src
+JOIN (SELECT v.idx, ext_id, row_number() OVER (ORDER BY ext_id) - 1 AS n FROM v JOIN r USING (idx)) b ON b.idx = g.dst""",
+        1,
+    ),
+)
+
+# components
+
+_WCC = """y AS MATERIALIZED (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g),
+lab(x, l) USING KEY (x) AS (SELECT idx, idx FROM v UNION
+  SELECT y.b, min(lab.l) FROM lab JOIN y ON y.a = lab.x JOIN recurring.lab o ON o.x = y.b WHERE lab.l < o.l GROUP BY y.b),
+comp AS (SELECT x AS idx, dense_rank() OVER (ORDER BY l) - 1 AS comp FROM lab)"""
+for _name in ("dup", "conv", "sp_small", "evchain"):
+    _add(f"wcc_labels_{_name}", lambda s, d, name=_name: wcc(graph_of(s, d, name)), _sql(_name, "SELECT idx, comp FROM comp", ctes=_WCC))
+_add(
+    "wcc_sizes",
+    lambda s, d: wcc(graph_of(s, d, "dup", directed=False)).groupBy("comp").agg(F.count(F.lit(1)).alias("vertices")),
+    _sql("dup", "SELECT comp, count(*) AS vertices FROM comp GROUP BY 1", directed=False, ctes=_WCC),
+)
+_add("wcc_count", lambda s, d: wcc(graph_of(s, d, "conv")).agg(F.countDistinct("comp").alias("components")), _sql("conv", "SELECT count(DISTINCT comp) AS components FROM comp", ctes=_WCC))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
