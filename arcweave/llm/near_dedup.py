@@ -293,6 +293,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members = stored(families.withColumnRenamed("label", "family").join(classes.select("node", "first_id", "n_shingles"), "node"), "near-families")
 
     wanted = members.select(F.col("first_id").alias("doc_id")).distinct()
+    wanted = wanted.hint("merge")  # as many ids as the corpus has near copies: never broadcast
     theirs = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
     sets = theirs.mapInArrow(_set_reader(k), "node bigint, shingles binary")
     sets = stored(sets.dropDuplicates(["node"]).join(members.select("node"), "node", "left_semi"), "near-sets", "none")
