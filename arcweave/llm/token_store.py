@@ -32,7 +32,7 @@ from arcweave.llm.store import fresh_path, table
 from arcweave.llm.tokens import encoder
 
 SHARD_TOKENS = 1 << 20
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 END_ID = 2
 SHARD = (
     "part int, seq int, first_key bigint, last_key bigint, n_docs bigint, n_null bigint, n_tokens bigint, width int, payload binary, "

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,10 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words in each of the memo's two generations.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 250_000
+BREAKS = (" ", "\n")
+#: Letters beyond it are left to the tokenizer's own pre-tokeniser, whose Unicode tables may differ from Python's.
+LAST_LETTER = "\u024f"
 #: Texts with white space that is not a single blank or line feed between two words are encoded in one call.
 _UNEVEN = (
     r"[ \n][ \n]|\A[ \n]|[ \n]\z|[\t\x{0B}\x{0C}\r\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -19,6 +23,13 @@ _UNEVEN = (
 _LOADED: dict[str, WordEncoder] = {}
 
 
+def byte_spelling() -> dict[int, str]:
+    """How byte-level vocabularies spell bytes: printable ones as themselves, the others as characters from 256 on."""
+    plain = {*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordEncoder:
     """Encodes whole texts to ids; equal to Tokenizer.encode(text, add_special_tokens=False).ids for byte-level BPE.
 
@@ -32,57 +43,65 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
+        self.model, self.marks, self.spelling = self.tokenizer.model, {}, byte_spelling()
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
-
-    def _remember(self, word: str, ids: bytes) -> None:
-        if len(self.new) >= MEMO_WORDS:
-            self.old, self.new = self.new, {}
-        self.new[word] = ids
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words. Those that begin with white space and end without are encoded one after the other."""
-        inner = [w for w in words if w and w[0] in " \n" and w[-1] not in " \n"]
-        found = {w: self._whole(w) for w in set(words).difference(inner)}
-        if inner:
-            encoded = self.tokenizer.encode("".join(inner), add_special_tokens=False)
-            ids = np.array(encoded.ids, self.width)
-            starts = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(ids))
-            lengths = np.fromiter(map(len, inner), np.int64, len(inner))
-            cuts = np.searchsorted(starts, np.r_[0, np.cumsum(lengths)]).tolist()
-            data, size = ids.tobytes(), self.width.itemsize
-            found.update((w, data[a * size : b * size]) for w, a, b in zip(inner, cuts, cuts[1:], strict=False))
-        for w, ids in found.items():
-            self._remember(w, ids)
-        return found
+        return array(self.width.char, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, word: str) -> bytes | None:
+        """Ids of a word whose pre-tokens are plain: a blank or line feed, letters, full stops and commas; else None."""
+        stem = word.rstrip(".,")
+        body = stem[1:] if stem[:1] in BREAKS else stem
+        if not body.isalpha() or max(body) > LAST_LETTER:
+            return None
+        begin = b""
+        if stem[0] == "\n":
+            begin, stem = self._mark("\n"), body
+        spelled = stem.encode().decode("latin-1").translate(self.spelling)
+        ids = array(self.width.char, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        tail = word[len(word.rstrip(".,")) :]
+        return begin + ids + self._mark(tail) if tail else begin + ids
+
+    def _mark(self, text: str) -> bytes:
+        if text not in self.marks:
+            if len(self.marks) >= 1_000:
+                self.marks.clear()
+            self.marks[text] = self._whole(text)
+        return self.marks[text]
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Ids of words that begin with white space and end without, encoded one after the other."""
+        encoded = self.tokenizer.encode("".join(words), add_special_tokens=False)
+        ids = np.array(encoded.ids, self.width)
+        starts = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(ids))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        cuts = np.searchsorted(starts, np.r_[0, np.cumsum(lengths)]).tolist()
+        data, size = ids.tobytes(), self.width.itemsize
+        return [data[a * size : b * size] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words, full stops and commas at their ends apart."""
-        pairs, missing = [], set()
-        new, old = self.new.get, self.old.get
-        held: dict[str, bytes] = {}
-        for w in words:
-            base, tail = w, ""
-            if w and w[-1] in ".,":
-                stem = w.rstrip(".,")
-                if stem and stem[-1].isalnum() and stem[-1] < "\u3000":
-                    base, tail = stem, w[len(stem) :]
-            pairs.append((base, tail))
-            for x in (base, tail) if tail else (base,):
-                if x not in held and x not in missing:
-                    ids = new(x)
+        """Ids of distinct words, from the memo's two generations or anew."""
+        found = list(map(self.new.get, words))
+        if None in found:
+            fresh, later, old = {}, [], self.old.get
+            for i, ids in enumerate(found):
+                if ids is None:
+                    word = words[i]
+                    ids = old(word) or self._letters(word)
                     if ids is None:
-                        ids = old(x)
-                        if ids is None:
-                            missing.add(x)
+                        if word[:1] in BREAKS and word[-1:] not in BREAKS:
+                            later.append(i)
                             continue
-                        self._remember(x, ids)
-                    held[x] = ids
-        held.update(self._learn(sorted(missing)))
-        return [held[b] + held[t] if t else held[b] for b, t in pairs]
+                        ids = self._whole(word)
+                    found[i] = fresh[word] = ids
+            for i, ids in zip(later, self._joined([words[i] for i in later]) if later else (), strict=True):
+                found[i] = fresh[words[i]] = ids
+            if len(self.new) + len(fresh) > MEMO_WORDS:
+                self.old, self.new = self.new, {}
+            self.new.update(fresh)
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one text after the other, number of ids of each text) of an array without nulls."""
@@ -108,13 +127,16 @@ class WordEncoder:
         from_even = is_even[owner]
         words[from_even] = code
         words[~from_even] = len(uniques) + len(opening) + np.arange(len(uneven))
+        del cut, flat, coded, owner, from_even, code
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.width.itemsize
         start = np.r_[0, np.cumsum(size)][:-1]
         values = np.frombuffer(b"".join(parts), self.width)
         length = size[words]
         total = np.cumsum(length)
-        at = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(start[words] - (total - length), length)
-        return values[at], np.bincount(owner, length, len(texts)).astype(np.int64)
+        at = np.repeat((start[words] - (total - length)).astype(np.int32), length)
+        at += np.arange(len(at), dtype=np.int32)
+        ends = np.r_[0, total][np.r_[0, np.cumsum(counts)]]
+        return values[at], np.diff(ends)
 
 
 def encoder(path: str) -> WordEncoder:
