@@ -36,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": chat.OP6_SQL,
         "op7_exact_dedup": exact_dedup.OP7_SQL,
         "op8_line_dedup": line_dedup.OP8_SQL,
+        "op9_secret_scan": secrets.OP9_SQL,
     }

@@ -114,3 +114,32 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
+
+
+def _sql_matches(order: int, kind: str, table: str) -> str:
+    pattern = PATTERNS[kind].replace("'", "''")
+    return (
+        f"SELECT doc_id, '{kind}' AS kind, {order} AS o, {LEAST[kind]} AS least, regexp_extract_all(t, '{pattern}', 0) AS ms, "
+        f"regexp_extract_all(t, '{pattern}', 1) AS gs, regexp_split_to_array(t, '{pattern}') AS ps FROM {table}"
+    )
+
+
+def _sql_spans(kinds, table: str) -> str:
+    matches = " UNION ALL ".join(_sql_matches(list(PATTERNS).index(k), k, table) for k in kinds)
+    return f"""SELECT doc_id, kind, o, b - n AS a, b FROM (SELECT doc_id, kind, o, least, length(ms[i]) AS n, length(gs[i]) AS g,
+  CAST(list_sum(list_transform(ps[1:i], lambda z: length(z))) + list_sum(list_transform(ms[1:i], lambda z: length(z))) AS BIGINT) AS b
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM ({matches}))) WHERE g >= least"""
+
+
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS MATERIALIZED ({_sql_spans(BASE, 'd')}),
+based AS (SELECT * FROM d WHERE doc_id IN (SELECT doc_id FROM base)),
+weak AS MATERIALIZED ({_sql_spans(WEAK, 'based')}),
+near AS (SELECT DISTINCT w.* FROM weak w JOIN base x ON x.doc_id = w.doc_id AND greatest(x.a - w.b, w.a - x.b) <= {SCOPE} AND (w.kind = 'endpoint' OR x.kind = 'access')),
+every AS (SELECT * FROM base UNION ALL SELECT n.* FROM near n WHERE NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = n.doc_id AND x.a < n.b AND x.b > n.a)),
+s AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(concat(kind, ':', a, ':', b), ',' ORDER BY a, o) FILTER (o < 3) AS base, string_agg(concat(kind, ':', a, ':', b), ',' ORDER BY a, o) AS spans FROM every GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN s USING (doc_id)
+"""
