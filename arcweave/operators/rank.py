@@ -54,15 +54,16 @@ def pagerank(graph: Graph, alpha: float = 0.85, tol: float = 1e-6, max_iter: int
             return graph.vertices.select("idx", F.lit(0.0).alias("rank"))
         start = _teleport(graph, personalization).withColumn("rank", F.col("p"))
         held = F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))
-        state, seen = measured(start, "rank", held=held)
+        table, seen = measured(start, "rank", held=held)
+        state = table
         adjacency = graph.adjacency("out")
         while info.iterations < max_iter:
             flow = adjacency.expand(state.select("idx", "rank")).groupBy(F.col("to").alias("idx")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
             fresh = (1 - alpha + alpha * F.lit(float(seen["held"]))) * F.col("p") + alpha * F.coalesce("flow", F.lit(0.0))
             step = state.join(flow, "idx", "left").select("idx", "dangling", "p", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("change"))
             new, seen = measured(step, "rank", held=held, change=F.sum("change"))
-            discard(state)
-            state = new.drop("change")
+            discard(table)
+            table, state = new, new.drop("change")
             info.iterations += 1
             if info.iterations % AUDIT == 0 and seen["change"] < graph.num_vertices * tol:
                 break

@@ -24,7 +24,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read back: the lineage ends there, and a lost executor loses nothing."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
 
 
 def measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
@@ -35,11 +37,10 @@ def measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, di
 
 
 def discard(df: DataFrame) -> None:
-    """Remove the files of a stored table that nothing reads any more."""
+    """Remove the files of a stored() table that nothing reads any more."""
     spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
