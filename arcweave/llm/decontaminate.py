@@ -1,9 +1,8 @@
 """Benchmark decontamination: windows of normalised benchmark words, found in documents and verified word by word.
 
 The benchmark's windows are collected into a hash set and broadcast if the benchmark has at most BROADCAST_WORDS words
-(a hard bound: about 100 bytes a window). Beyond it, the same scan emits the hashes of document windows that pass a
-vocabulary-free range and the windows meet the benchmark by a shuffled join on (length, hash), partially aggregated
-before it; both ways end in the same word-by-word verification.
+(a hard bound: about 100 bytes a window). Beyond it, hashes of the windows of distinct texts meet the benchmark's by a
+shuffled join on (length, hash), and only texts with a candidate are looked at again. Both ways compare word by word.
 """
 
 from __future__ import annotations
@@ -136,12 +135,8 @@ def _document_windows(lengths: list[int]):
                 words = words_of(text)
                 for n in lengths:
                     if len(words) >= n:
-                        h = _hashes(words, n)
-                        joined = [b" ".join(words[i : i + n]) for i in range(len(h))]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([row] * len(h), pa.binary()), pa.array(np.arange(len(h))), pa.array(np.full(len(h), n)), pa.array(h), pa.array(joined, pa.binary())],
-                            ["row_id", "at", "n", "hash", "window"],
-                        )
+                        h = np.unique(_hashes(words, n))
+                        yield pa.RecordBatch.from_arrays([pa.array([row] * len(h), pa.binary()), pa.array(np.full(len(h), n)), pa.array(h)], ["row_id", "n", "hash"])
 
     return emit
 
@@ -161,13 +156,21 @@ def _benchmark_windows(window: int):
     return emit
 
 
-def _apply_hits(with_text: bool):
+def _verify(with_text: bool):
+    """Reports from texts and the benchmark windows that may occur in them."""
+
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             reports = []
-            for text, hits in zip(batch.column("text_bytes").to_pylist(), batch.column("hits").to_pylist(), strict=True):
-                found = [(h["at"], h["n"], set(h["items"])) for h in hits or []]
-                reports.append(_report(text if with_text else None, len(words_of(text)), found))
+            for text, candidates in zip(batch.column("text_bytes").to_pylist(), batch.column("hits").to_pylist(), strict=True):
+                words, found = words_of(text), []
+                wanted = {tuple(c["window"].split()): set(c["items"]) for c in candidates or []}
+                for n in {len(w) for w in wanted}:
+                    for at in range(len(words) - n + 1):
+                        ids = wanted.get(tuple(words[at : at + n]))
+                        if ids:
+                            found.append((at, n, ids))
+                reports.append(_report(text if with_text else None, len(words), found))
             yield _report_batch(batch, reports, with_text)
 
     return report
@@ -198,14 +201,14 @@ def contamination(
     windows = stored(items.mapInArrow(_benchmark_windows(window), "n bigint, hash bigint, window binary, item_id bigint"), "windows")
     windows = stored(windows.groupBy("n", "hash", "window").agg(F.sort_array(F.collect_set("item_id")).alias("items")), "windows")
     lengths = sorted(r.n for r in windows.select("n").distinct().collect())  # at most `window` numbers
-    # equal rows share their hits, so a digest of id and text is row enough
-    keyed = texts.withColumn("row_id", F.unhex(F.sha2(F.coalesce(F.col("text_bytes"), F.lit(b"")), 256)))
-    emitted = keyed.select("row_id", "text_bytes").dropDuplicates(["row_id"]).mapInArrow(
-        _document_windows(lengths), "row_id binary, at bigint, n bigint, hash bigint, window binary"
-    )
-    hits = emitted.join(windows, ["n", "hash", "window"]).groupBy("row_id").agg(F.collect_list(F.struct("at", "n", "items")).alias("hits"))
-    joined = keyed.join(stored(hits, "hits"), "row_id", "left").drop("row_id")
-    return joined.mapInArrow(_apply_hits(with_text), schema)
+    # equal texts share their windows, so a digest of the text is row enough
+    digest = F.substring(F.unhex(F.sha2(F.coalesce(F.col("text_bytes"), F.lit(b"")), 256)), 1, 16)
+    keyed = texts.withColumn("row_id", digest)
+    emitted = keyed.select("row_id", "text_bytes").mapInArrow(_document_windows(lengths), "row_id binary, n bigint, hash bigint").distinct()
+    pairs = stored(emitted.join(windows.select("n", "hash").distinct(), ["n", "hash"]), "window-pairs")
+    hits = pairs.join(windows, ["n", "hash"]).groupBy("row_id").agg(F.collect_list(F.struct("window", "items")).alias("hits"))
+    joined = keyed.join(stored(hits, "window-hits"), "row_id", "left").drop("row_id")
+    return joined.mapInArrow(_verify(with_text), schema)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm.store import shuffle_partitions, stored, table
+from arcweave.llm.store import Scratch, shuffle_partitions, table
 from arcweave.operators.contraction import component_labels
 
 BLOCK = 256
@@ -237,7 +237,7 @@ def _block_pairs(blocks: DataFrame, pivots_only: bool) -> DataFrame:
     return pair.select("task", F.explode(F.expr("IF(a = b, array(struct(a AS block, 0 AS side)), array(struct(a AS block, 0 AS side), struct(b AS block, 1 AS side)))")).alias("x")).select("task", "x.*")
 
 
-def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _blocks(members: DataFrame, stored: Scratch) -> tuple[DataFrame, DataFrame]:
     """members (node, family, band, whole, n_shingles) with their block, and the table of blocks."""
     group = ["family", "band", "whole"]
     # whole is null in groups of mixed components; a null-safe key for grouping and joining
@@ -255,8 +255,8 @@ def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, blocks.select(F.xxhash64("group", "turn").alias("block"), *group, "turn")
 
 
-def _verified_blocks(members: DataFrame, sets: DataFrame, percent: int, pivots_only: bool) -> DataFrame:
-    placed, blocks = _blocks(members)
+def _verified_blocks(members: DataFrame, sets: DataFrame, percent: int, pivots_only: bool, stored: Scratch) -> DataFrame:
+    placed, blocks = _blocks(members, stored)
     pairs = stored(_block_pairs(stored(blocks, "near-blocks"), pivots_only), "near-pairs")
     rows = stored(placed, "near-placed").join(sets, "node")
     return stored(_verified(rows.join(pairs, "block").withColumn("part", F.lit(0)), percent), "near-links")
@@ -271,7 +271,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     doc_id take part, get the component's smallest id (null if it has none), and are kept only without words. Rows
     that repeat the kept doc_id are all kept. An empty table gives no rows. Other columns of `docs` are not read.
     """
-    spark, m = docs.sparkSession, collection_size(percent)
+    spark, m, stored = docs.sparkSession, collection_size(percent), Scratch()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = stored(
         texts.mapInArrow(_signer(k, m), "doc_id bigint, n_shingles bigint, node bigint, check bigint, tuples binary"), "near-signed"
@@ -309,13 +309,13 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     band = F.floor(F.log("n_shingles") / math.log(100.01 / percent)).cast("bigint")
     large = stored(sized.where(~small_one).select("node", "family", band.alias("band"), "n_shingles"), "near-large")
     if not large.isEmpty():
-        first = _verified_blocks(large.withColumn("whole", F.lit(None).cast("bigint")), sets, percent, pivots_only=True)
+        first = _verified_blocks(large.withColumn("whole", F.lit(None).cast("bigint")), sets, percent, pivots_only=True, stored=stored)
         so_far, _ = component_labels(first, stored)
         labelled = stored(large.join(so_far, "node", "left"), "near-labelled")
         sizes = labelled.where("label IS NOT NULL").groupBy("family", "band", "label").count().where(F.col("count") >= BLOCK)
         whole = stored(sizes.select("family", "band", "label", F.col("label").alias("whole")), "near-whole")
         rest = labelled.join(whole, ["family", "band", "label"], "left").drop("label")
-        second = _verified_blocks(rest, sets, percent, pivots_only=False)
+        second = _verified_blocks(rest, sets, percent, pivots_only=False, stored=stored)
         links = links.unionByName(first).unionByName(second)
 
     joined, _ = component_labels(links, stored)
@@ -324,6 +324,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     linked = stored(named.join(ids, "label").select("node", "component_id"), "near-linked")
     every = classes.select("node", "first_id").join(linked, "node", "left")
     every = stored(every.select("node", F.coalesce("component_id", "first_id").alias("component_id")), "near-every")
+    stored.discard_but(signed, every)
     result = worded.select("doc_id", "n_shingles", "node").join(every, "node").select("doc_id", "n_shingles", "component_id")
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("n_shingles") == 0)
     wordless = signed.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

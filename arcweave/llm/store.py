@@ -30,15 +30,33 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
 
 
 def discard(df: DataFrame) -> None:
     """Remove the files of a stored() table that nothing reads any more."""
     spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Stored tables of one computation, to be discarded together but for those that its result reads."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        self.tables.append(stored(df, name, codec))
+        return self.tables[-1]
+
+    def discard_but(self, *held: DataFrame) -> None:
+        for t in self.tables:
+            if not any(t is h for h in held):
+                discard(t)
+        self.tables = list(held)
 
 
 def ascii_lower(text: Column | str) -> Column:
