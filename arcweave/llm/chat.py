@@ -24,6 +24,7 @@ from arcweave.llm.store import table
 from arcweave.llm.token_store import default_tokenizer
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
+PIECE = 64
 _BARE = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
 FORMATTED = (
@@ -81,10 +82,17 @@ def _chat_tokenizer(path: str) -> ChatTokenizer:
     return _LOADED[path]
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few conversations at a time: encodings with offsets take many times the text's memory."""
+    for batch in batches:
+        for at in range(0, max(batch.num_rows, 1), PIECE):
+            yield batch.slice(at, PIECE)
+
+
 def _format(path: str, loss_role: str):
     def fmt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _chat_tokenizer(path)
-        for batch in batches:
+        for batch in _pieces(batches):
             rendered, spans, sizes = [], [], []
             for turns in batch.column("turns").to_pylist():
                 text, loss = render([(t["role"], t["text"]) for t in turns], loss_role)
@@ -118,15 +126,9 @@ def format_chats(conversations: DataFrame, tokenizer: str | None = None, loss_ro
 def read_chat(own: ChatTokenizer, ids: list[int], starts: list[int], ends: list[int]) -> tuple[list[tuple[str, str]], str]:
     """Turns and the text under the loss mask, from ids alone."""
     decode = lambda x: unescape(own.tokenizer.decode(x, skip_special_tokens=False)) if len(x) else ""
-    marks = own.marks
-    turns, role_at, text_at = [], 0, 0
-    for i, token in enumerate(ids):
-        if token == marks[TURN]:
-            role_at = i + 1
-        elif token == marks[TEXT]:
-            text_at = i + 1
-        elif token == marks[END]:
-            turns.append((decode(ids[role_at : text_at - 1]), decode(ids[text_at:i])))
+    numbers = np.array(ids, np.int64)
+    turn_at, text_at, end_at = (np.flatnonzero(numbers == own.marks[m]).tolist() for m in (TURN, TEXT, END))
+    turns = [(decode(ids[t + 1 : x]), decode(ids[x + 1 : e])) for t, x, e in zip(turn_at, text_at, end_at, strict=True)]
     return turns, "".join(decode(ids[a:b]) for a, b in zip(starts, ends, strict=True))
 
 
@@ -134,7 +136,7 @@ def _read_back(path: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _chat_tokenizer(path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in batches:
+        for batch in _pieces(batches):
             rows = []
             for r in batch.to_pylist():
                 turns, loss = read_chat(own, r["input_ids"], r["loss_starts"], r["loss_ends"])
