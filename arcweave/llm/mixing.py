@@ -79,7 +79,7 @@ def served(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = C
     ahead = Window.partitionBy(*keys, "bucket").orderBy("ticket", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn("ahead", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
-        .join(starts, [*keys, "bucket"])
+        .join(starts.hint("merge"), [*keys, "bucket"])  # as many as sources times buckets: never broadcast
         .withColumn("served_before", F.col("bucket_start") + F.col("ahead"))
         .drop(*keys, "bucket", "bucket_start", "ahead", "ticket")
     )
