@@ -10,7 +10,7 @@ from pyspark.sql.types import IntegralType, StringType
 
 from arcweave.functions.checks import MAX_INDEX, check_direction
 from arcweave.operators.ids import dense_index, lookup
-from arcweave.plans.tables import partitions, stored
+from arcweave.plans.tables import measured, partitions, stored
 
 #: Largest finite and smallest normal single-precision numbers: bounds of a vertex's weight sum.
 FLOAT_MAX, FLOAT_MIN = 3.4028234663852886e38, 1.1754943508222875e-38
@@ -32,8 +32,8 @@ class Adjacency:
         spark = edges.sparkSession
         n = partitions(spark)
         degrees = edges.groupBy("at").count()
-        self.hubs = stored(degrees.where(F.col("count") > max(1_000, count // (HUB_SHARE * n))).select("at"), "hubs")
-        self.hub_count = self.hubs.count()
+        self.hubs, seen = measured(degrees.where(F.col("count") > max(1_000, count // (HUB_SHARE * n))).select("at"), "hubs", n=F.count(F.lit(1)))
+        self.hub_count = seen["n"]
         if self.hub_count:
             hubs = F.broadcast(self.hubs)
             self.light = edges.join(hubs, "at", "left_anti").repartition(n, "at").persist()
@@ -110,17 +110,19 @@ class Graph:
             F.col(dst).cast(key).alias("dst"),
             (F.col(weight).cast("float").cast("double") if weight else F.lit(1.0)).alias("weight"),
         )
-        rows = stored(rows, "edges-in")
         wrong = F.col("weight").isNull() | F.isnan("weight") | (F.col("weight") < 0) | (F.col("weight") > FLOAT_MAX)
         ends = F.greatest("src", "dst"), F.least("src", "dst")
-        n, bad, open_ends, most, least, unnumbered = rows.agg(
-            F.count(F.lit(1)),
-            F.count_if(wrong),
-            F.count_if(F.col("src").isNull() | F.col("dst").isNull()),
-            F.max(ends[0]),
-            F.min(ends[1]),
-            F.count_if(F.col("edge_id").isNull()),
-        ).first()
+        rows, seen = measured(
+            rows,
+            "edges-in",
+            n=F.count(F.lit(1)),
+            bad=F.count_if(wrong),
+            open_ends=F.count_if(F.col("src").isNull() | F.col("dst").isNull()),
+            most=F.max(ends[0]),
+            least=F.min(ends[1]),
+            unnumbered=F.count_if(F.col("edge_id").isNull()),
+        )
+        n, bad, open_ends, most, least, unnumbered = (seen[k] for k in ("n", "bad", "open_ends", "most", "least", "unnumbered"))
         if bad:
             raise ValueError("weights must be finite and not negative")
         if open_ends:
@@ -151,8 +153,8 @@ class Graph:
     def _build(cls, rows: DataFrame, vertices: DataFrame, directed: bool, weighted: bool, n: int, identity: bool) -> Graph:
         self = object.__new__(cls)
         self.spark, self.directed, self.weighted, self.identity, self.num_edges = rows.sparkSession, directed, weighted, identity, n
-        vertices = stored(vertices, "ids")
-        self.num_vertices = vertices.count()
+        vertices, seen = measured(vertices, "ids", n=F.count(F.lit(1)))
+        self.num_vertices = seen["n"]
         if self.num_vertices > MAX_INDEX:
             raise ValueError("too many vertices")
         if identity:
@@ -160,26 +162,27 @@ class Graph:
         else:
             for end in ("src", "dst"):
                 known = vertices.select(F.col("ext_id").alias(end), F.col("idx").alias(f"{end}_idx"))
-                rows = stored(rows.join(known, end), "edges-half")
-            self.edges = rows.select("edge_id", F.col("src_idx").alias("src"), F.col("dst_idx").alias("dst"), "weight")
+                rows = rows.join(known, end)
+            self.edges = stored(rows.select("edge_id", F.col("src_idx").alias("src"), F.col("dst_idx").alias("dst"), "weight"), "edges")
         self.stored = self.edges
         if not directed:
             back = self.edges.where("src <> dst").select("edge_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-            self.stored = stored(self.edges.unionByName(back), "edges-both")
+            self.stored = self.edges.unionByName(back)
         out = self.stored.groupBy("src").agg(F.sum("weight").alias("out_wsum"), F.count(F.lit(1)).alias("out_deg"))
         into = self.stored.groupBy("dst").agg(F.count(F.lit(1)).alias("in_deg"))
         joined = vertices.join(out, vertices["idx"] == out["src"], "left").join(into, vertices["idx"] == into["dst"], "left")
         total = F.when(F.col("out_wsum") < FLOAT_MIN, 0.0).otherwise(F.coalesce("out_wsum", F.lit(0.0)))
         zero = F.lit(0).cast("bigint")
-        self.vertices = stored(
+        self.vertices, seen = measured(
             joined.select("idx", "ext_id", total.alias("out_wsum"), F.coalesce("out_deg", zero).alias("out_deg"), F.coalesce("in_deg", zero).alias("in_deg")).withColumn(
                 "dangling", F.col("out_wsum") == 0
             ),
             "vertices",
+            most=F.max("out_wsum"),
+            stored=F.coalesce(F.sum("out_deg"), zero),
+            dangling=F.count_if("dangling"),
         )
-        most, self.stored_count, self.dangling_count = self.vertices.agg(
-            F.max("out_wsum"), F.coalesce(F.sum("out_deg"), zero), F.count_if("dangling")
-        ).first()
+        most, self.stored_count, self.dangling_count = seen["most"], seen["stored"], seen["dangling"]
         if most is not None and most > FLOAT_MAX:
             raise ValueError("a vertex's weights have no finite float32 sum")
         self._adjacency: dict[str, Adjacency] = {}
