@@ -79,7 +79,7 @@ class LinearModel:
     """Logistic regression on features scaled by their shrunk log-odds ratio; `chain` are the earlier log-odds."""
 
     def __init__(self, rows: _Rows, chain: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50):
-        share = min(max(y.mean(), 1 / (len(y) + 1)), 1 - 1 / (len(y) + 1))
+        share = min(max(y.mean(), 1 / (len(y) + 1)), 1 - 1 / (len(y) + 1)) if len(y) else 0.5
         ones, every = rows.transposed_dot(y), rows.transposed_dot(np.ones(rows.n))
         ratio = np.log((ones + 5 * share) / (every - ones + 5 * (1 - share))) - np.log(share / (1 - share))
         scale = np.where((every > 1) & (np.abs(ratio) >= LEAST_RATIO), ratio, 0)
@@ -135,9 +135,9 @@ class ClassifierChain:
 
 
 def best_threshold(odds: np.ndarray, y: np.ndarray) -> float:
-    """The log-odds between out-of-fold classes with the best F1; of equal cuts the middle, 0 if there is one class only."""
+    """The log-odds between out-of-fold classes with the best F1; infinite without positive labels, 0 without negative ones."""
     if not 0 < y.sum() < len(y):
-        return 0.0
+        return 0.0 if y.sum() else float("inf")
     order = np.argsort(-odds, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
@@ -170,7 +170,8 @@ def _fit(categories: Sequence[str]):
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATEGORIES, sample: int = SAMPLE) -> ClassifierChain:
     """Fit on labelled documents. labels: doc_id and a 0/1 column per category; rows with a null are left out.
 
-    Of several label rows for a document the largest values count, of several documents with an id any one.
+    Of several label rows for a document the largest values count, of several documents with an id any one. A chain
+    fitted on no documents, or on none of a category, never flags it.
     """
     known = labels.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories]).dropna()
     order = F.xxhash64("doc_id")
@@ -179,7 +180,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CA
     rows = texts.withColumn("labels", F.array(*[F.col(c).cast("int") for c in categories])).select("labels", "text", order.alias("o"), "doc_id")
     found = rows.repartition(1).sortWithinPartitions("o", "doc_id").select("labels", "text")
     found = found.mapInArrow(_feature_batches, "labels array<int>, features binary")
-    return pickle.loads(found.mapInArrow(_fit(categories), "model binary").first()[0])
+    fitted = found.mapInArrow(_fit(categories), "model binary").first()
+    return pickle.loads(fitted[0]) if fitted else ClassifierChain([], np.empty((0, len(categories))), categories)
 
 
 def _score(shared, held: Sequence[str]):
