@@ -249,6 +249,7 @@ for _key, (_name, _start, _from, _dir, _out, _directed) in {
     "bfs_multi_source": ("conv", lambda g: g.vertices.where("idx % 10 IN (0, 5)").select("idx"), "SELECT idx FROM v WHERE idx % 10 IN (0, 5)", "out", "dense", True),
     "bfs_sparse": ("hier", [1, 3, 3], "SELECT CAST(unnest([1, 3]) AS BIGINT) AS idx", "out", "sparse", True),
     "bfs_undirected": ("sp_small", 0, _FIRST, "out", "dense", False),
+    "bfs_undirected_sp": ("sp", 0, _FIRST, "out", "dense", False),
 }.items():
     _add(_key, _bfs(_name, _start, _dir, _out, _directed), _sql(_name, _DENSE if _out == "dense" else _SPARSE, _directed, ctes=_bfs_ctes(_from, _dir, _directed)))
 _add(
@@ -273,30 +274,35 @@ def _khop_sql(name: str, tail: str, k: int, direction: str = "both", directed: b
 
 _INSIDE = "SELECT edge_id FROM g WHERE src IN (SELECT idx FROM r) AND dst IN (SELECT idx FROM r)"
 _add("khop_vertices", _khop("hier", "vertices", k=2, direction="out"), _khop_sql("hier", "SELECT idx FROM r", 2, "out"))
-_add("khop_edges", _khop("sp_small", "edges", directed=False, k=2), _khop_sql("sp_small", _INSIDE, 2, directed=False))
 _add("khop_k0", _khop("sp", "edges", k=0), _khop_sql("sp", _INSIDE, 0))
-_add("khop_capped_vertices", _khop("sp_small", "vertices", k=3, max_vertices=25), _khop_sql("sp_small", "SELECT idx FROM r", 3, cap=25))
-_add("khop_capped_edges", _khop("sp_small", "edges", k=3, max_edges=7), _khop_sql("sp_small", f"{_INSIDE} ORDER BY edge_id LIMIT 7", 3))
 
 
-def _khop_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sub = k_hop(graph_of(spark, sf_dir, "sp_small"), [0, 7], k=1, as_graph=True).graph
-    names = sub.external_ids
-    ends = sub.edges.join(names.select(F.col("idx").alias("src"), F.col("ext_id").alias("src_id")), "src")
-    return ends.join(names.select(F.col("idx").alias("dst"), F.col("ext_id").alias("dst_id")), "dst").select("edge_id", "src", "dst", "src_id", "dst_id")
+def _khop_subgraph(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sub = k_hop(graph_of(spark, sf_dir, name), [0, 7], k=1, as_graph=True).graph
+        names = sub.external_ids
+        ends = sub.edges.join(names.select(F.col("idx").alias("src"), F.col("ext_id").alias("src_id")), "src")
+        return ends.join(names.select(F.col("idx").alias("dst"), F.col("ext_id").alias("dst_id")), "dst").select("edge_id", "src", "dst", "src_id", "dst_id")
+
+    return run
 
 
-_add(
-    "khop_subgraph",
-    _khop_subgraph,
-    _khop_sql(
-        "sp_small",
-        """SELECT row_number() OVER (ORDER BY g.edge_id) - 1 AS edge_id, a.n AS src, b.n AS dst, a.ext_id AS src_id, b.ext_id AS dst_id FROM g
+# over the first orders, and over the whole table
+for _name, _tag in (("sp_small", ""), ("sp", "_sp")):
+    _add(f"khop_edges{_tag}", _khop(_name, "edges", directed=False, k=2), _khop_sql(_name, _INSIDE, 2, directed=False))
+    _add(f"khop_capped_vertices{_tag}", _khop(_name, "vertices", k=3, max_vertices=25), _khop_sql(_name, "SELECT idx FROM r", 3, cap=25))
+    _add(f"khop_capped_edges{_tag}", _khop(_name, "edges", k=3, max_edges=7), _khop_sql(_name, f"{_INSIDE} ORDER BY edge_id LIMIT 7", 3))
+    _add(
+        f"khop_subgraph{_tag}",
+        _khop_subgraph(_name),
+        _khop_sql(
+            _name,
+            """SELECT row_number() OVER (ORDER BY g.edge_id) - 1 AS edge_id, a.n AS src, b.n AS dst, a.ext_id AS src_id, b.ext_id AS dst_id FROM g
 JOIN (SELECT v.idx, ext_id, row_number() OVER (ORDER BY ext_id) - 1 AS n FROM v JOIN r USING (idx)) a ON a.idx = g.src
 JOIN (SELECT v.idx, ext_id, row_number() OVER (ORDER BY ext_id) - 1 AS n FROM v JOIN r USING (idx)) b ON b.idx = g.dst""",
-        1,
-    ),
-)
+            1,
+        ),
+    )
 
 # components
 
@@ -304,7 +310,7 @@ _WCC = """y AS MATERIALIZED (SELECT src AS a, dst AS b FROM g UNION SELECT dst,
 lab(x, l) USING KEY (x) AS (SELECT idx, idx FROM v UNION
   SELECT y.b, min(lab.l) FROM lab JOIN y ON y.a = lab.x JOIN recurring.lab o ON o.x = y.b WHERE lab.l < o.l GROUP BY y.b),
 comp AS (SELECT x AS idx, dense_rank() OVER (ORDER BY l) - 1 AS comp FROM lab)"""
-for _name in ("dup", "conv", "sp_small", "evchain"):
+for _name in ("dup", "conv", "sp_small", "sp", "evchain"):
     _add(f"wcc_labels_{_name}", lambda s, d, name=_name: wcc(graph_of(s, d, name)), _sql(_name, "SELECT idx, comp FROM comp", ctes=_WCC))
 _add(
     "wcc_sizes",

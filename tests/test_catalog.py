@@ -23,6 +23,16 @@ def test_query_equals_sql(name, spark, sf_dir, tables):
     assert rows(tuple(r) for r in df.select(*expected.columns).collect()) == rows(expected.fetchall())
 
 
+WHOLE = {f"{n}_sp" for n in ("bfs_undirected", "khop_edges", "khop_capped_vertices", "khop_capped_edges", "khop_subgraph", "wcc_labels")}
+
+
+def test_small_graph_queries_run_over_the_whole_table_too(spark, sf_dir, tables):
+    assert WHOLE <= set(catalog.queries()) and not any("l_orderkey <" in catalog.oracle_sql()[n] for n in WHOLE)
+    vertices = tables.sql("select count(distinct l_suppkey) + count(distinct l_partkey) from lineitem").fetchall()[0][0]
+    assert catalog.queries()["bfs_undirected_sp"](spark, sf_dir).count() == vertices
+    assert catalog.queries()["khop_edges_sp"](spark, sf_dir).count() > 0
+
+
 def test_entry_point_without_the_optional_subpackage(monkeypatch):
     import builtins
     import sys
