@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PART, CUSTOMER, ORDER, NATION = 1_000_000, 2_000_000, 10_000_000, 100
+PART, CUSTOMER = 1_000_000, 2_000_000
+#: First digit of a vertex of the hierarchy, in the order of its levels.
+REGION, NATION, BUYER, ORDER = "0123"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _sortable(number: Column) -> Column:
+    """16 hexadecimal digits of any 64-bit integer, in the order of the numbers."""
+    return F.lpad(F.hex(number.cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+
+
 def supplier_part(spark: SparkSession, sf_dir: str, orders_below: int | None = None) -> DataFrame:
     """Supplier to part with the quantity sold, optionally of the first orders only."""
     lines = _read(spark, sf_dir, "lineitem")
@@ -30,10 +37,14 @@ def customer_supplier(spark: SparkSession, sf_dir: str, multi: bool = False) ->
 
 
 def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Region to nation to customer to order."""
-    nations = _read(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("bigint").alias("src"), (F.col("n_nationkey") + NATION).cast("bigint").alias("dst"))
-    customers = _read(spark, sf_dir, "customer").select((F.col("c_nationkey") + NATION).cast("bigint").alias("src"), (F.col("c_custkey") + CUSTOMER).alias("dst"))
-    orders = _read(spark, sf_dir, "orders").select((F.col("o_custkey") + CUSTOMER).alias("src"), (F.col("o_orderkey") + ORDER).alias("dst"))
+    """Region to nation to customer to order; a vertex is its level and its key."""
+
+    def vertex(level: str, key: str) -> Column:
+        return F.concat(F.lit(level), _sortable(F.col(key)))
+
+    nations = _read(spark, sf_dir, "nation").select(vertex(REGION, "n_regionkey").alias("src"), vertex(NATION, "n_nationkey").alias("dst"))
+    customers = _read(spark, sf_dir, "customer").select(vertex(NATION, "c_nationkey").alias("src"), vertex(BUYER, "c_custkey").alias("dst"))
+    orders = _read(spark, sf_dir, "orders").select(vertex(BUYER, "o_custkey").alias("src"), vertex(ORDER, "o_orderkey").alias("dst"))
     return nations.union(customers).union(orders)
 
 
@@ -53,8 +64,8 @@ def event_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turn to next turn of a conversation."""
-    return _next(_read(spark, sf_dir, "conversations"), "conv_id", F.col("conv_id") * 1000 + F.col("turn"), "turn")
+    """Turn to next turn of a conversation; a vertex is both numbers in full."""
+    return _next(_read(spark, sf_dir, "conversations"), "conv_id", F.concat(_sortable(F.col("conv_id")), _sortable(F.col("turn"))), "turn")
 
 
 def equal_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
