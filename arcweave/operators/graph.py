@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StringType
 
@@ -242,16 +242,16 @@ class Graph:
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """edge_id in order of (src, dst, weight); equal edges are interchangeable."""
-    counted = rows.groupBy("src", "dst", "weight").agg(F.count(F.lit(1)).alias("n"))
+    """edge_id in order of (src, dst, weight); equal edges are interchangeable, and ranges may part them."""
     n = partitions(rows.sparkSession)
-    ranged = stored(counted.repartitionByRange(n, "src", "dst", "weight").withColumn("part", F.spark_partition_id()), "edge-ranges")
-    sizes = ranged.groupBy("part").agg(F.sum("n").alias("size"))
+    rows = rows.select("src", "dst", "weight", F.monotonically_increasing_id().alias("salt"))
+    ranged = rows.repartitionByRange(n, "src", "dst", "weight", "salt").drop("salt").withColumn("part", F.spark_partition_id())
+    ranged = stored(ranged, "edge-ranges")
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
     starts = sizes.selectExpr("part", "coalesce(sum(size) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start")
-    ahead = F.expr("coalesce(sum(n) OVER (PARTITION BY part ORDER BY src, dst, weight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
-    placed = ranged.withColumn("ahead", ahead).join(F.broadcast(starts), "part")
-    first = F.col("start") + F.col("ahead")
-    return stored(placed.select(F.explode(F.sequence(first, first + F.col("n") - 1)).alias("edge_id"), "src", "dst", "weight"), "edges-numbered")
+    place = F.row_number().over(Window.partitionBy("part").orderBy("src", "dst", "weight")) - 1
+    placed = ranged.withColumn("place", place).join(F.broadcast(starts), "part")
+    return stored(placed.select((F.col("start") + F.col("place")).alias("edge_id"), "src", "dst", "weight"), "edges-numbered")
 
 
 def check_graph(graph) -> Graph:
