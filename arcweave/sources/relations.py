@@ -69,8 +69,8 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def equal_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document to the smallest doc_id with the same text (a loop for that one)."""
-    keyed = _read(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    """Document to the smallest doc_id with the same text (a loop for that one); null is one text, unlike the empty one."""
+    keyed = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias("digest"))
     firsts = keyed.groupBy("digest").agg(F.min("doc_id").alias("dst"))
     return keyed.join(firsts, "digest").select(F.col("doc_id").alias("src"), "dst")
 

@@ -20,3 +20,9 @@ def test_levels_of_the_hierarchy_stay_apart(spark, tmp_path):
     edges = rel.hierarchy(spark, str(tmp_path))
     assert edges.select("src").union(edges.select("dst")).distinct().count() == 8
     assert set(r.n for r in edges.groupBy("dst").count().selectExpr("count AS n").collect()) == {1}
+
+
+def test_documents_without_text_are_one_group(spark, tmp_path):
+    rows = [(1, "a"), (2, None), (3, "a"), (4, None), (5, "")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(tuple(r) for r in rel.equal_documents(spark, str(tmp_path)).collect()) == [(1, 1), (2, 2), (3, 1), (4, 2), (5, 5)]
