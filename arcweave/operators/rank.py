@@ -160,8 +160,9 @@ def top_k(graph: Graph, ranks: DataFrame, k: int) -> DataFrame:
     top = stored(ranks.withColumn("rnk", F.row_number().over(best)).where(F.col("rnk") <= k), "top")
     short = top.groupBy("query_id").count().where(F.col("count") < k).select("query_id")
     # of the k smallest indices, as many as are missing have no score
-    slots = graph.spark.range(k).select(F.when(F.col("id") < graph.num_vertices, F.col("id")).otherwise(-1).alias("idx"), F.col("id"))
-    blanks = short.join(slots).join(top.select("query_id", "idx"), ["query_id", "idx"], "left_anti").select("query_id", "idx", F.lit(0.0).alias("score"), "id")
+    slots = short.select("query_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))).alias("id"))
+    slots = slots.select("query_id", F.when(F.col("id") < graph.num_vertices, F.col("id")).otherwise(-1).alias("idx"), "id")
+    blanks = slots.join(top.select("query_id", "idx"), ["query_id", "idx"], "left_anti").select("query_id", "idx", F.lit(0.0).alias("score"), "id")
     rows = top.select("query_id", "idx", "score", F.lit(0).cast("bigint").alias("id")).unionByName(blanks)
     order = Window.partitionBy("query_id").orderBy(F.round("score", TIE_DIGITS).desc(), F.col("idx") < 0, "idx", "id")
     return rows.withColumn("rnk", F.row_number().over(order).cast("bigint")).where(F.col("rnk") <= k).select("query_id", "rnk", "idx", "score")
