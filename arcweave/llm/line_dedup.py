@@ -17,6 +17,8 @@ from arcweave.llm.store import stored, table
 MIN_SITES = 10
 LG_K = 9
 HASH = ["h1", "h2"]
+#: White space of Unicode at the ends of a line; a run is tried once.
+ENDS = r"(?U)^\s++|(?<!\s)\s++\z"
 
 
 def near_band(min_sites: int, lg_k: int = LG_K) -> tuple[float, float]:
@@ -46,7 +48,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
     held = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(*held).withColumn("__key", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     site = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    line = F.trim(F.col("line"))
+    line = F.regexp_replace("line", ENDS, "")
     rows = keyed.select("__key", site.alias("site"), F.posexplode(F.split("text", "\n")).alias("at", "line")).where(line != "")
     rows = rows.select("__key", "site", "at", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"))
     rows = stored(rows, "lines")

@@ -103,3 +103,10 @@ def test_line_dedup_counts_near_lines_exactly(spark, docs_of):
     assert {r.n_removed for r in line_dedup.remove_boilerplate(docs, 40).collect()} == {0}
     docs = docs_of([(i, "common", f"s{i}") for i in range(40)])
     assert {r.n_removed for r in line_dedup.remove_boilerplate(docs, 40).collect()} == {1}
+
+
+def test_line_dedup_ignores_all_white_space_at_ends(spark, docs_of):
+    ends = ["", "\r", "\t", " \r", "\x0b", "\u00a0"]
+    docs = docs_of([(i, f"own {i}\r\n\r\n{e}sha red{e}", f"s{i}") for i, e in enumerate(ends)])
+    found = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.remove_boilerplate(docs, 6).collect()}
+    assert found == {i: (f"own {i}\r\n\r", 1) for i in range(6)}
