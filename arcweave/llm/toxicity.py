@@ -150,7 +150,8 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     memo = _WordFeatures()
     for batch in batches:
         found = [features(t, memo).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("labels"), pa.array(found, pa.binary())], ["labels", "features"])
+        held = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in held], pa.array(found, pa.binary())], [*held, "features"])
 
 
 def _fit(categories: Sequence[str]):
@@ -178,8 +179,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CA
     chosen = known.orderBy(order, "doc_id").limit(sample)  # at most `sample` rows of numbers: safe to broadcast
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     rows = texts.withColumn("labels", F.array(*[F.col(c).cast("int") for c in categories])).select("labels", "text", order.alias("o"), "doc_id")
-    found = rows.repartition(1).sortWithinPartitions("o", "doc_id").select("labels", "text")
-    found = found.mapInArrow(_feature_batches, "labels array<int>, features binary")
+    # only hashed features, bounded by BITS, meet in the one task
+    found = rows.mapInArrow(_feature_batches, f"labels array<int>, o bigint, doc_id {dict(rows.dtypes)['doc_id']}, features binary")
+    found = found.repartition(1).sortWithinPartitions("o", "doc_id").select("labels", "features")
     fitted = found.mapInArrow(_fit(categories), "model binary").first()
     return pickle.loads(fitted[0]) if fitted else ClassifierChain([], np.empty((0, len(categories))), categories)
 

@@ -178,3 +178,12 @@ def test_chain_learns_and_handles_edges(spark, docs_of):
     assert [r.toxic for r in sorted(edge, key=lambda r: r.doc_id or 9)] == [False, False, True]
     nothing = toxicity.fit_chain(docs.limit(0), known)
     assert {r.toxic for r in toxicity.toxicity(docs.limit(3), nothing).collect()} == {False}
+
+
+def test_only_features_meet_in_one_task(spark, docs_of, monkeypatch):
+    docs = docs_of([(i, f"word{i % 5} text", "s") for i in range(30)])
+    known = spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(30)], "doc_id bigint, low_quality int, toxic int")
+    seen, whole = [], type(docs).repartition
+    monkeypatch.setattr(type(docs), "repartition", lambda self, n, *c: seen.append((n, set(self.columns))) or whole(self, n, *c))
+    toxicity.fit_chain(docs, known)
+    assert seen == [(1, {"labels", "o", "doc_id", "features"})]
