@@ -20,10 +20,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df written as Parquet and read back: the lineage ends there, and a lost executor loses nothing."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.stored_at = path
     return table
@@ -43,5 +43,22 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Stored tables of one computation, to be discarded together but for those that its result reads."""
+
+    def __init__(self, codec: str = "snappy"):
+        self.codec, self.tables = codec, []
+
+    def __call__(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+        self.tables.append(stored(df, name, codec or self.codec))
+        return self.tables[-1]
+
+    def discard_but(self, *held: DataFrame) -> None:
+        for t in self.tables:
+            if not any(t is h for h in held):
+                discard(t)
+        self.tables = list(held)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
