@@ -1,69 +1,111 @@
 """Exact dedup with a persistent digest index.
 
-The index is a Parquet table bucketed and sorted by digest, with one row for each distinct text that was ever kept.
-A delivery is reduced to one row per digest before any join (copies combine on the map side, so a text with a third of
-all rows is a few rows by then), anti-joined with the index bucket by bucket - the index side is not shuffled - and
-what is new is appended. The join that gives every row its verdict reads both sides through plain exchanges, which
-adaptive execution can split when a digest is hot.
+The index is a Parquet table bucketed and sorted by digest, with one row for each distinct text that was ever kept. Its
+bucket count is stored beside it, so it is read alike in every session. A delivery is reduced to one row per digest
+before any join (copies combine on the map side, so a text with a third of all rows is a few rows by then) and dealt
+by the index's buckets; the anti-join that finds new digests and the join that looks the known ones up then meet the
+index bucket by bucket, and the index is never shuffled. The join that gives every row its verdict reads both sides
+through plain exchanges, which adaptive execution can split when a digest is hot.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweave.llm.store import ascii_lower, fresh_path, shuffle_partitions, stored, table
 
 INDEX_SCHEMA = "digest BINARY, keep_id BIGINT"
+LAYOUT_SCHEMA = "generation BIGINT, buckets INT, folder STRING"
 
 
 class DigestIndex:
-    """digest -> keep_id, kept at `path` as a table of `buckets` buckets.
+    """digest -> keep_id, kept below `path`.
 
-    `buckets` is fixed when an index is made (Spark's bucketing): take about one bucket for each 100 MB of digests
-    expected, that is 2.5 million texts.
+    path/layout has a row per generation of the index: how many buckets it has, and the folder of its rows. The newest
+    generation counts. An index that exists is opened with the count it has, whatever the session's settings;
+    asking for another one raises ValueError (compact() changes it). A new index takes `buckets`, or as many as there
+    are shuffle partitions: about one for each 100 MB of digests expected, that is 2.5 million texts, is right.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int):
-        self.spark, self.path, self.buckets = spark, path, buckets
-        self.name = "digest_index_" + path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_")
-        if not spark.catalog.tableExists(self.name):
-            spark.sql(
-                f"CREATE TABLE {self.name} ({INDEX_SCHEMA}) USING parquet OPTIONS (path '{path}') "
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path.rstrip("/")
+        if self._exists(f"{self.path}/layout"):
+            newest = spark.read.schema(LAYOUT_SCHEMA).parquet(f"{self.path}/layout").orderBy(F.col("generation").desc()).first()
+            if buckets is not None and buckets != newest.buckets:
+                raise ValueError(f"the index at {path} has {newest.buckets} buckets, not {buckets}; compact() changes them")
+            self._open(newest.generation, newest.buckets, newest.folder)
+        else:
+            self._open(0, buckets or max(8, shuffle_partitions(spark)), self._new_folder())
+            self._publish()
+
+    def _exists(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
+    def _new_folder(self) -> str:
+        return f"rows-{uuid.uuid4().hex}"
+
+    def _open(self, generation: int, buckets: int, folder: str) -> None:
+        self.generation, self.buckets, self.folder = generation, buckets, folder
+        location = f"{self.path}/{folder}"
+        self.name = "digest_index_" + hashlib.md5(location.encode()).hexdigest()
+        if not self.spark.catalog.tableExists(self.name):
+            self.spark.sql(
+                f"CREATE TABLE {self.name} ({INDEX_SCHEMA}) USING parquet OPTIONS (path '{location}') "
                 f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS"
             )
 
+    def _publish(self) -> None:
+        row = self.spark.createDataFrame([(self.generation, self.buckets, self.folder)], LAYOUT_SCHEMA)
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/layout")
+
+    def _append(self, rows: DataFrame) -> None:
+        """A file per bucket."""
+        writer = rows.repartition(self.buckets, "digest").write.mode("append").format("parquet")
+        writer.option("path", f"{self.path}/{self.folder}").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+
     def rows(self) -> DataFrame:
-        """The index, read bucket by bucket."""
+        """The index, read bucket by bucket. A digest that two writers appended at once is there twice."""
         return self.spark.table(self.name)
 
-    def plain_rows(self) -> DataFrame:
-        """The same rows without the bucketing, for joins whose other side may be skewed."""
-        return self.spark.read.schema(INDEX_SCHEMA).parquet(self.path)
+    def known(self, keys: DataFrame) -> DataFrame:
+        """`keys` (digest once each, and more) that the index has, with keep_id: the largest if writers raced."""
+        dealt = keys.repartition(self.buckets, "digest")
+        found = self.rows().groupBy("digest").agg(F.max("keep_id").alias("keep_id"))  # within buckets: no exchange
+        return found.hint("merge").join(dealt, "digest")
 
     def ingest(self, delivery: DataFrame) -> None:
         """Append the digests of `delivery` (doc_id, digest) that the index lacks; the largest doc_id represents each.
 
-        The new rows are stored before they are appended, as Spark doesn't overwrite or append to what it reads.
+        The first rows are stored before the join, or the optimizer would push it below their aggregate, where a text's
+        copies still meet; the new ones before they are appended, as Spark doesn't append to what it reads. A failed
+        append commits nothing, so it can be repeated.
+        """
+        firsts = stored(delivery.groupBy("digest").agg(F.max("doc_id").alias("keep_id")), "digest-firsts")
+        dealt = firsts.repartition(self.buckets, "digest")
+        new = stored(dealt.join(self.rows().select("digest").hint("merge"), "digest", "left_anti"), "digest-delta")
+        self._append(new)
+
+    def compact(self, buckets: int | None = None) -> None:
+        """A new generation with one file per bucket and one row per digest, in `buckets` buckets if given.
+
+        Each append adds a file to every bucket; a compaction now and then keeps their number small. The earlier
+        generation's folder stays for those who still read it.
         """
-        firsts = delivery.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
-        known = self.rows().select("digest")
-        new = stored(firsts.join(known, "digest", "left_anti"), "digest-delta")
-        (
-            new.repartition(self.buckets, "digest")
-            .write.mode("append")
-            .format("parquet")
-            .option("path", self.path)
-            .bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .saveAsTable(self.name)
-        )
+        rows = self.rows().groupBy("digest").agg(F.max("keep_id").alias("keep_id"))
+        self._open(self.generation + 1, buckets or self.buckets, self._new_folder())
+        self._append(rows)
+        self._publish()
 
 
 def digests(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and SHA-256 of the text with A-Z lower-cased; null counts as empty."""
     norm = ascii_lower(F.coalesce(F.col(text), F.lit("")))
-    return docs.select(F.col("doc_id"), F.unhex(F.sha2(norm.cast("binary"), 256)).alias("digest"))
+    return docs.select("doc_id", F.unhex(F.sha2(norm.cast("binary"), 256)).alias("digest"))
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex, deliveries: int = 2) -> DataFrame:
@@ -82,7 +124,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, deliveries: int = 2) -> Dat
     for part in range(len(edges) + 1):
         index.ingest(marks.where(at == part))
     sizes = marks.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
-    groups = stored(index.plain_rows().join(sizes, "digest"), "digest-groups")
+    groups = stored(index.known(sizes), "digest-groups")
     return marks.join(groups, "digest").select(
         "doc_id",
         "keep_id",
@@ -93,7 +135,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, deliveries: int = 2) -> Dat
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = DigestIndex(spark, fresh_path(spark, "digest-index"), max(8, shuffle_partitions(spark)))
+    index = DigestIndex(spark, fresh_path(spark, "digest-index"))
     return exact_dedup(table(spark, sf_dir, "documents"), index)
 
 

@@ -1,62 +1,29 @@
-"""Intermediate tables in the shared folder that the cluster names, and small column helpers."""
+"""Column helpers, and stored tables with this subpackage's codec."""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Used only by a local session that sets no spark.checkpoint.dir (tests).
-LOCAL_DIR = "/tmp/checkpoints"
+from arcweave.plans import tables
+from arcweave.plans.tables import discard, fresh_path  # noqa: F401
+from arcweave.plans.tables import partitions as shuffle_partitions  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path of its own below spark.checkpoint.dir, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = LOCAL_DIR
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df written as Parquet to the shared folder and read back: cuts the lineage, and a lost executor loses nothing.
-
-    Tables that a lazy result still reads cannot be removed here; a cluster clears the folder as it clears checkpoints.
-    """
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table.stored_at = path
-    return table
-
-
-def discard(df: DataFrame) -> None:
-    """Remove the files of a stored() table that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """tables.stored, with texts in mind. What a lazy result still reads cannot be removed here; a cluster clears the
+    folder as it clears checkpoints."""
+    return tables.stored(df, name, codec)
 
 
-class Scratch:
-    """Stored tables of one computation, to be discarded together but for those that its result reads."""
-
+class Scratch(tables.Scratch):
     def __init__(self):
-        self.tables: list[DataFrame] = []
-
-    def __call__(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        self.tables.append(stored(df, name, codec))
-        return self.tables[-1]
-
-    def discard_but(self, *held: DataFrame) -> None:
-        for t in self.tables:
-            if not any(t is h for h in held):
-                discard(t)
-        self.tables = list(held)
+        super().__init__("zstd")
 
 
 def ascii_lower(text: Column | str) -> Column:
@@ -64,8 +31,14 @@ def ascii_lower(text: Column | str) -> Column:
     return F.translate(F.col(text) if isinstance(text, str) else text, UPPER, LOWER)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def held_schema(docs: DataFrame, held: Sequence[str], new: str) -> StructType:
+    """The schema of `held` columns of docs, then the DDL `new`."""
+    return StructType([docs.schema[c] for c in held] + StructType.fromDDL(new).fields)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from arcweave.llm import exact_dedup, line_dedup, near_dedup
-from arcweave.llm.store import fresh_path
+from arcweave.llm.store import fresh_path, stored
 from tests.llm.conftest import rows_of
 
 
@@ -30,6 +30,49 @@ def test_exact_dedup_index_persists(spark, docs_of):
     assert again.rows().count() == 3
 
 
+def test_exact_dedup_index_reopens_in_another_session(spark, docs_of):
+    """With another number of shuffle partitions, and a catalogue that does not know the table."""
+    docs = docs_of([(i, f"text {i % 150}", "s") for i in range(200)])
+    index = exact_dedup.DigestIndex(spark, fresh_path(spark, "digest-index"))
+    exact_dedup.exact_dedup(docs, index)
+    spark.sql(f"DROP TABLE {index.name}")
+    other = spark.newSession()
+    other.conf.set("spark.sql.shuffle.partitions", "3")
+    again = exact_dedup.DigestIndex(other, index.path)
+    assert again.buckets == index.buckets != 3
+    with pytest.raises(ValueError, match="buckets"):
+        exact_dedup.DigestIndex(other, index.path, index.buckets + 1)
+    more = other.createDataFrame([(1000 + i, f"TEXT {i}") for i in range(160)], "doc_id bigint, text string")
+    found = exact_dedup.exact_dedup(more, again).collect()
+    assert sorted(r.doc_id for r in found if r.kept) == list(range(1150, 1160)) and len(found) == 160
+    assert again.rows().count() == 160
+    again.compact(5)
+    assert (exact_dedup.DigestIndex(spark, index.path).buckets, again.rows().count()) == (5, 160)
+    assert exact_dedup.exact_dedup(more, exact_dedup.DigestIndex(spark, index.path)).where("kept").count() == 10
+
+
+def test_exact_dedup_does_not_shuffle_the_index_and_bears_racing_writers(spark, docs_of):
+    index = index_of(spark)
+    delivery = stored(exact_dedup.digests(docs_of([(i, f"t{i}", "s") for i in range(20)])), "delivery")
+    index.ingest(delivery)
+    index._append(delivery.selectExpr("digest", "doc_id + 100 AS keep_id"))  # as another writer would have
+    assert index.rows().count() == 40
+    keys = delivery.groupBy("digest").count()
+    found = index.known(keys)
+    assert sorted(r.keep_id for r in found.collect()) == list(range(100, 120))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scan = plan.split("SortMergeJoin")[-1].split("REPARTITION_BY_NUM")[0]
+    assert "Bucketed: true" in scan and scan.count("Exchange") == 1  # the one of the keys
+    index.compact()
+    assert index.rows().count() == 20
+
+
+def test_exact_dedup_of_a_very_long_text(spark, docs_of):
+    long = "Word " * 400_000
+    found = exact_dedup.exact_dedup(docs_of([(1, long, "s"), (2, long.lower(), "s"), (3, long + "x", "s")]), index_of(spark)).collect()
+    assert {(r.doc_id, r.keep_id, r.kept) for r in found} == {(1, 2, False), (2, 2, True), (3, 3, True)}
+
+
 def test_exact_dedup_only_ids_missing_and_empty(spark, docs_of):
     assert [tuple(r)[:4] for r in exact_dedup.exact_dedup(docs_of([(None, "a", "s")]), index_of(spark)).collect()] == [(None, None, 1, False)]
     assert exact_dedup.exact_dedup(docs_of([]), index_of(spark)).count() == 0
