@@ -12,13 +12,13 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm.store import stored, table
+from arcweave.llm.store import named, stored, table
 
 MIN_SITES = 10
 LG_K = 9
 HASH = ["h1", "h2"]
-#: White space of Unicode at the ends of a line; a run is tried once.
-ENDS = r"(?U)^\s++|(?<!\s)\s++\z"
+#: White space of Unicode: what lines lose at their ends before they are compared.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def near_band(min_sites: int, lg_k: int = LG_K) -> tuple[float, float]:
@@ -41,27 +41,30 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """`docs` with text without its boilerplate lines, and n_lines, n_removed.
 
-    Lines end with a line feed and are compared without white space at their ends; blank lines stay. Sites are
+    Lines end with a line feed and are compared without Unicode white space (SPACES) at their ends; blank lines stay. Sites are
     values of `source`, null being one. Null text stays null (no lines); an empty text is one blank line. Lines that
     repeat within a document are removed together. Columns n_lines and n_removed of `docs` are replaced.
     """
+    # the document is one column, so names of its columns meet none of ours
     held = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = docs.select(*held).withColumn("__key", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    site = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    line = F.regexp_replace("line", ENDS, "")
-    rows = keyed.select("__key", site.alias("site"), F.posexplode(F.split("text", "\n")).alias("at", "line")).where(line != "")
-    rows = rows.select("__key", "site", "at", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"))
+    row = F.struct(*[named(c).alias(c) for c in held]).alias("row")
+    keyed = docs.select(row, F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("key"))
+    site = F.coalesce(F.concat(F.lit("="), F.col("row.source")), F.lit(""))
+    line = F.btrim("line", F.lit(SPACES))
+    rows = keyed.select("key", site.alias("site"), F.posexplode(F.split("row.text", "\n")).alias("at", "line")).where(line != "")
+    rows = rows.select("key", "site", "at", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"))
     rows = stored(rows, "lines")
     marked = stored(boilerplate(rows.select(*HASH, "site"), min_sites), "line-boilerplate")
-    removed = rows.select("__key", "at", *HASH).join(marked, HASH, "left_semi").select("__key", "at").distinct()
-    removed = stored(removed.groupBy("__key").agg(F.array_sort(F.collect_list("at")).alias("__at")), "line-removed")
-    joined = keyed.join(removed, "__key", "left").withColumn("__lines", F.split("text", "\n"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__at"))
-    text = F.array_join(F.transform(kept, lambda at: F.get("__lines", at)), "\n")
+    removed = rows.select("key", "at", *HASH).join(marked, HASH, "left_semi").select("key", "at").distinct()
+    removed = stored(removed.groupBy("key").agg(F.array_sort(F.collect_list("at")).alias("gone")), "line-removed")
+    joined = keyed.join(removed, "key", "left").withColumn("lines", F.split("row.text", "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    text = F.array_join(F.transform(kept, lambda at: F.get("lines", at)), "\n")
+    clean = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(text)
     return joined.select(
-        *[F.when(F.col("__at").isNull(), F.col(c)).otherwise(text).alias(c) if c == "text" else F.col(c) for c in held],
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("__lines")).cast("bigint").alias("n_lines"),
-        F.when(F.col("__at").isNull(), F.lit(0)).otherwise(F.size("__at")).cast("bigint").alias("n_removed"),
+        *[(clean if c == "text" else F.col("row").getField(c)).alias(c) for c in held],
+        F.when(F.col("row.text").isNull(), F.lit(0)).otherwise(F.size("lines")).cast("bigint").alias("n_lines"),
+        F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("bigint").alias("n_removed"),
     )
 
 
@@ -71,11 +74,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "n_lines", "n_removed", digest.alias("text_sha256"))
 
 
-OP8_SQL = r"""
+OP8_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS site, string_split(text, chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, site, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
-b AS (SELECT trim(line) AS t FROM l WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT site) >= 10),
-k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n FROM l WHERE trim(line) NOT IN (SELECT t FROM b) GROUP BY 1)
+l AS (SELECT *, trim(line, '{SPACES}') AS bare FROM (SELECT doc_id, site, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d)),
+b AS (SELECT bare AS t FROM l WHERE bare <> '' GROUP BY 1 HAVING count(DISTINCT site) >= {MIN_SITES}),
+k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n FROM l WHERE bare NOT IN (SELECT t FROM b) GROUP BY 1)
 SELECT d.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ls), 0) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(k.text, '')) AS text_sha256
 FROM d LEFT JOIN k USING (doc_id)
