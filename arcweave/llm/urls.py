@@ -1,21 +1,24 @@
 """URL filters: allow and block rules by host and path, then gradient-boosted trees on lexical features.
 
 DataFrame functions and Spark ML only. Rules compile to one expression. The trees are fitted on at most SAMPLE labelled
-URLs (by hash of the URL); suffix statistics are counted over all labelled URLs and joined, so a hot suffix is a join
-that adaptive execution can split or broadcast by size.
+URLs (by hash of the URL). Suffix statistics are counted over all labelled URLs and joined, so a hot suffix is a join that
+adaptive execution can split or broadcast by size; a training row gets its suffix's rate from the other folds, so the
+trees do not read a row's own label from it. URLs are judged beside their row, which is one column, so no name of the
+caller's clashes with a feature.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import evaluation
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm.store import ascii_lower, stored, table
+from arcweave.llm.store import ascii_lower, named, stored, table
 
 #: (verdict, host, path); a rule is shown as host + path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -24,6 +27,7 @@ FEATURES = ("length", "host_length", "depth", "labels", "digit_ratio", "entropy"
 TREES = {"maxIter": 10, "maxDepth": 4, "seed": 7}
 #: Labelled URLs that the overall rate counts for in a suffix's rate.
 PRIOR = 20.0
+FOLDS = 5
 
 
 def host_of(url: Column) -> Column:
@@ -46,13 +50,12 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 
 
 def lexical(urls: DataFrame) -> DataFrame:
-    """`urls` (url, host, path) with all features but suffix_rate, and suffix."""
-    url = F.coalesce(F.col("url"), F.lit(""))
+    """`urls` (url, not null, host, path and more) with all features but suffix_rate, and suffix."""
+    url = F.col("url")
     n = F.greatest(F.length(url), F.lit(1))
     letters = F.array_distinct(F.filter(F.split(url, ""), lambda c: c != ""))
-    rows = urls.withColumns({"__url": url, "__n": n})
-    counts = F.transform(letters, lambda c: (F.length("__url") - F.length(F.replace(F.col("__url"), c, F.lit("")))) / F.col("__n"))
-    return rows.withColumns(
+    counts = F.transform(letters, lambda c: (F.length("url") - F.length(F.replace(F.col("url"), c, F.lit("")))) / n)
+    return urls.withColumns(
         {
             "length": F.length(url).cast("double"),
             "host_length": F.length("host").cast("double"),
@@ -64,7 +67,7 @@ def lexical(urls: DataFrame) -> DataFrame:
             "hyphens": F.regexp_count("host", F.lit("-")).cast("double"),
             "suffix": F.substring_index("host", ".", -2),
         }
-    ).drop("__url", "__n")
+    )
 
 
 class UrlModel:
@@ -75,48 +78,80 @@ class UrlModel:
 
     def with_features(self, urls: DataFrame) -> DataFrame:
         joined = lexical(urls).join(self.suffixes, "suffix", "left")
-        rows = joined.withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(self.rate)))
-        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
+        return _assembled(joined.withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(self.rate))))
 
-    def verdicts(self, urls: DataFrame) -> DataFrame:
-        """`urls` (with url, host, path) and learned: block or allow; block_probability."""
-        held = urls.columns
+    def scored(self, urls: DataFrame) -> DataFrame:
+        """`urls` (url, host, path and more) with block_probability."""
         if self.trees is None:
-            p = 1.0 if self.constant == "block" else 0.0
-            return urls.select(*held, F.lit(self.constant).alias("learned"), F.lit(p).alias("block_probability"))
-        scored = self.trees.transform(self.with_features(urls))
-        p = vector_to_array("probability")[1]
-        return scored.select(*held, F.when(p >= 0.5, "block").otherwise("allow").alias("learned"), p.alias("block_probability"))
+            return urls.withColumn("block_probability", F.lit(1.0 if self.constant == "block" else 0.0))
+        return self.trees.transform(self.with_features(urls)).withColumn("block_probability", vector_to_array("probability")[1])
+
+
+def _assembled(rows: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
+
+
+def _parts(url: Column) -> list[Column]:
+    return [F.coalesce(url, F.lit("")).alias("url"), host_of(url).alias("host"), path_of(url).alias("path")]
 
 
 def fit_urls(labelled: DataFrame, sample: int = SAMPLE) -> UrlModel:
-    """labelled: url, block (0 or 1); rows with a null label are left out."""
-    rows = labelled.where("block IS NOT NULL").select("url", F.col("block").cast("double").alias("block"))
-    rows = stored(rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}), "url-labels")
+    """labelled: url, block (0 or 1); rows with a null label are left out.
+
+    Equal URLs are in one fold. The rate of a suffix is shrunk to the overall rate as by PRIOR labels of that rate.
+    """
+    rows = labelled.where("block IS NOT NULL").select(*_parts(F.col("url")), F.col("block").cast("double").alias("block"))
+    suffix, fold = F.substring_index("host", ".", -2), F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS))
+    rows = stored(rows.withColumns({"suffix": suffix, "fold": fold}), "url-labels")
     n, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("block"), F.lit(0.0))).first()
     rate = ones / n if n else 0.0
-    suffix = F.substring_index("host", ".", -2)
-    rates = rows.groupBy(suffix.alias("suffix")).agg(((F.sum("block") + PRIOR * rate) / (F.count(F.lit(1)) + PRIOR)).alias("suffix_rate"))
+    by_fold = stored(rows.groupBy("suffix", "fold").agg(F.sum("block").alias("own"), F.count(F.lit(1)).alias("own_n")), "url-folds")
+    totals = stored(by_fold.groupBy("suffix").agg(F.sum("own").alias("ones"), F.sum("own_n").alias("n")), "url-totals")
+    rates = totals.select("suffix", ((F.col("ones") + PRIOR * rate) / (F.col("n") + PRIOR)).alias("suffix_rate"))
     model = UrlModel(None, "block" if n and ones == n else "allow", stored(rates, "url-suffixes"), rate)
     chosen = stored(rows.orderBy(F.xxhash64("url"), "url", "block").limit(sample), "url-sample")
     if chosen.select("block").distinct().count() == 2:
-        features = model.with_features(chosen).select("features", "block")
-        model.trees = GBTClassifier(featuresCol="features", labelCol="block", **TREES).fit(features)
+        others = by_fold.join(totals, "suffix").select("suffix", "fold", F.col("ones") - F.col("own"), F.col("n") - F.col("own_n")).toDF("suffix", "fold", "ones", "n")
+        out_of_fold = (F.col("ones") + PRIOR * rate) / (F.col("n") + PRIOR)
+        train = lexical(chosen.join(others, ["suffix", "fold"]).withColumn("suffix_rate", out_of_fold))
+        model.trees = GBTClassifier(featuresCol="features", labelCol="block", **TREES).fit(_assembled(train).select("features", "block"))
     return model
 
 
+def held_out_auc(labelled: DataFrame, sample: int = SAMPLE) -> float:
+    """Area under the ROC curve over all labelled URLs, each scored by a model fitted without its fold."""
+    rows = stored(labelled.where("block IS NOT NULL").select("url", F.col("block").cast("double").alias("block")), "url-labels")
+    fold = F.pmod(F.xxhash64(F.coalesce("url", F.lit("")), F.lit("held out")), F.lit(FOLDS))
+    parts = []
+    for f in range(FOLDS):
+        model = fit_urls(rows.where(fold != f), sample)
+        parts.append(model.scored(rows.where(fold == f).select(*_parts(F.col("url")), "block")).select("block_probability", "block"))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    metric = evaluation.BinaryClassificationEvaluator(rawPredictionCol="block_probability", labelCol="block", metricName="areaUnderROC")
+    return metric.evaluate(every)
+
+
 def judge(urls: DataFrame, model: UrlModel, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """`urls` with host, path, rule (null if none fits), verdict (the rule's, else the model's) and block_probability.
 
-    Null urls and urls without :// have an empty host and path and are judged by the model. Columns that clash are
-    replaced; repeated rows are judged each.
+    Null urls and urls without :// have an empty host and path and are judged by the model. Columns of `urls` with the
+    names of these five are replaced, all others stay as they are; repeated rows are judged each.
     """
-    new = ("host", "path", "rule", "verdict", "block_probability", "learned")
+    new = ("host", "path", "rule", "verdict", "block_probability")
     held = [c for c in urls.columns if c not in new]
-    parts = urls.select(*held, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    scored = model.verdicts(parts).withColumn("__rule", matched_rule(F.col("host"), F.col("path"), rules))
+    rows = urls.select(F.struct(*[named(c).alias(c) for c in held]).alias("row"), *_parts(F.col("url")))
+    chosen = matched_rule(F.col("host"), F.col("path"), rules)
+    scored = model.scored(rows).withColumn("chosen", chosen)
+    learned = F.when(F.col("block_probability") >= 0.5, "block").otherwise("allow")
     return scored.select(
-        *held, "host", "path", F.col("__rule.rule").alias("rule"), F.coalesce("__rule.verdict", "learned").alias("verdict"), "block_probability"
+        *[F.col("row").getField(c).alias(c) for c in held],
+        "host",
+        "path",
+        F.col("chosen.rule").alias("rule"),
+        F.coalesce("chosen.verdict", learned).alias("verdict"),
+        "block_probability",
     )
 
 
