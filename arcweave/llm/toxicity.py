@@ -6,7 +6,7 @@ on out-of-fold log-odds of the earlier ones, so it meets them as it will on unse
 the labels' low quality, then toxicity; any list of 0/1 label columns will do.
 
 The chain is fitted in one task on at most SAMPLE labelled documents (by hash of doc_id) with at most SAMPLE_FEATURES
-features in all; everything else - scoring every document - is a map over all rows with the model broadcast, whose size
+features in all (a document that would exceed them is passed over); both are parameters. Everything else - scoring every document - is a map over all rows with the model broadcast, whose size
 is fixed by BITS.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm.store import table
+from arcweave.llm.store import held_schema, named, table
 
 SAMPLE = 6_000
 SAMPLE_FEATURES = 8_000_000
@@ -154,12 +154,12 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in held], pa.array(found, pa.binary())], [*held, "features"])
 
 
-def _fit(categories: Sequence[str]):
+def _fit(categories: Sequence[str], sample_features: int):
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists, labels, total = [], [], 0
         for batch in batches:
             for y, x in zip(batch.column("labels").to_pylist(), batch.column("features").to_pylist(), strict=True):
-                if total + len(x) // 4 <= SAMPLE_FEATURES:
+                if total + len(x) // 4 <= sample_features:
                     lists.append(np.frombuffer(x, np.int32)), labels.append(y)
                     total += len(x) // 4
         model = ClassifierChain(lists, np.array(labels, float).reshape(-1, len(categories)), categories)
@@ -168,21 +168,22 @@ def _fit(categories: Sequence[str]):
     return fit
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATEGORIES, sample: int = SAMPLE) -> ClassifierChain:
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATEGORIES, sample: int = SAMPLE, sample_features: int = SAMPLE_FEATURES) -> ClassifierChain:
     """Fit on labelled documents. labels: doc_id and a 0/1 column per category; rows with a null are left out.
 
-    Of several label rows for a document the largest values count, of several documents with an id any one. A chain
-    fitted on no documents, or on none of a category, never flags it.
+    Of several label rows for a document the largest values count; of several documents with an id, the one whose
+    features are the smallest as bytes, so that runs agree. A chain fitted on no documents, or on none of a category, never flags it.
     """
     known = labels.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories]).dropna()
     order = F.xxhash64("doc_id")
     chosen = known.orderBy(order, "doc_id").limit(sample)  # at most `sample` rows of numbers: safe to broadcast
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    rows = texts.withColumn("labels", F.array(*[F.col(c).cast("int") for c in categories])).select("labels", "text", order.alias("o"), "doc_id")
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = texts.withColumn("labels", F.array(*[named(c).cast("int") for c in categories])).select("labels", "text", order.alias("o"), "doc_id")
     # only hashed features, bounded by BITS, meet in the one task
     found = rows.mapInArrow(_feature_batches, f"labels array<int>, o bigint, doc_id {dict(rows.dtypes)['doc_id']}, features binary")
+    found = found.groupBy("doc_id", "o", "labels").agg(F.min("features").alias("features"))
     found = found.repartition(1).sortWithinPartitions("o", "doc_id").select("labels", "features")
-    fitted = found.mapInArrow(_fit(categories), "model binary").first()
+    fitted = found.mapInArrow(_fit(categories, sample_features), "model binary").first()
     return pickle.loads(fitted[0]) if fitted else ClassifierChain([], np.empty((0, len(categories))), categories)
 
 
@@ -207,9 +208,8 @@ def toxicity(docs: DataFrame, model: ClassifierChain, keep_text: bool = True) ->
     read = [c for c in docs.columns if c not in new]
     held = [c for c in read if keep_text or c != "text"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    types = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in held] + [f"`{c}` double" for c in new[:-1]] + ["toxic boolean"])
-    return docs.select(*[F.col(f"`{c}`") for c in read]).mapInArrow(_score(shared, held), schema)
+    schema = held_schema(docs, held, ", ".join([f"`{c}` double" for c in new[:-1]] + ["toxic boolean"]))
+    return docs.select(*[named(c) for c in read]).mapInArrow(_score(shared, held), schema)
 
 
 def labelled(labels: DataFrame) -> DataFrame:
