@@ -153,3 +153,17 @@ def test_line_dedup_ignores_all_white_space_at_ends(spark, docs_of):
     docs = docs_of([(i, f"own {i}\r\n\r\n{e}sha red{e}", f"s{i}") for i, e in enumerate(ends)])
     found = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.remove_boilerplate(docs, 6).collect()}
     assert found == {i: (f"own {i}\r\n\r", 1) for i in range(6)}
+
+
+def test_line_dedup_columns_that_clash_and_long_texts(spark):
+    names = ["key", "at", "lines", "gone", "row", "site", "line", "__key", "a.b"]
+    rows = [(i, "all\nsites\n" + f"own {i}\n" * (200_000 if i == 0 else 1), f"s{i}", *[f"{n}{i}" for n in names]) for i in range(6)]
+    rows += [(None, None, None, *[None] * len(names))] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    found = line_dedup.remove_boilerplate(docs, 6)
+    assert found.columns == [*docs.columns, "n_lines", "n_removed"]
+    by_id = {r.doc_id: tuple(r) for r in found.collect()}
+    for i in range(6):
+        assert by_id[i][3:-2] == rows[i][3:] and by_id[i][-1] == 2
+    assert len(by_id[0][1]) == 200_000 * len("own 0\n") and by_id[0][-2] == 200_003
+    assert found.count() == 9 and by_id[None][-2:] == (0, 0)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +87,29 @@ def test_weak_candidates_need_a_complement(spark, docs_of):
     assert kinds == {0: ["access", "blob", "endpoint"], 1: [], 2: ["access"], 3: ["access"], 4: ["assign", "endpoint"]}
 
 
+def brute_spans(text):
+    """All spans: base ones, and weak ones near a complement and outside of base spans."""
+    base, weak = brute_base(text), []
+    for o, kind in ((3, "endpoint"), (4, "blob")):
+        for m in re.finditer(secrets.PATTERNS[kind], text or ""):
+            a, b = m.span()
+            near = [k for x, _, k, y in base if max(x - b, a - y) <= secrets.SCOPE]
+            if (near if kind == "endpoint" else "access" in near) and not any(x < b and y > a for x, _, _, y in base):
+                weak.append((a, o, kind, b))
+    return sorted(base + weak)
+
+
+def test_linked_spans_equal_brute_force(spark, docs_of):
+    rng = random.Random(11)
+    bits = ["AKIA" + "Q" * 16, "wJalrXUtnFEMI/K7MDENG/bPxRfiCY", "https://s3.example.com:90", "token=abcdefgh", "f0" * 14, " pad" * 50, " word" * 30, " é ", "\n", "/" * 24 + "=="]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(120)]
+    texts.append(" plain words" * 60_000 + " token=abcdefgh http://x.example" + " more" * 60_000)
+    found = {r.doc_id: r.spans for r in secrets.secret_spans(docs_of([(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        assert found[i] == ",".join(f"{k}:{a}:{b}" for a, _, k, b in brute_spans(t)), t[:400]
+    assert sum("endpoint" in s for s in found.values()) > 20 and sum("blob" in s for s in found.values()) > 20
+
+
 def test_rules_hosts_and_paths(spark):
     cases = {
         "http://a.net/x": ("a.net", "/x", "net/", "block"),
@@ -116,6 +140,45 @@ def test_trees_learn_lexical_labels(spark):
     assert sum(r.verdict == held[r.url] for r in found) >= 98
 
 
+def test_url_columns_that_clash_stay(spark):
+    names = ["features", "probability", "prediction", "length", "labels", "suffix", "suffix_rate", "row", "chosen", "a.b", "fold"]
+    rows = [(f"http://{'x' * (1 + 30 * b)}{i}.com/p", b, *[f"{n}{i}" for n in names]) for i in range(40) for b in (0, 1)]
+    schema = "url string, block int, " + ", ".join(f"`{n}` string" for n in names)
+    frame = spark.createDataFrame(rows, schema)
+    model = urls.fit_urls(frame)
+    assert model.trees is not None
+    found = urls.judge(frame, model, rules=())
+    assert found.columns == ["url", "block", *names, "host", "path", "rule", "verdict", "block_probability"]
+    assert sorted(tuple(r)[:13] for r in found.collect()) == sorted(rows)
+    assert all(r.verdict == ("block" if r.block else "allow") for r in found.collect())
+    long = spark.createDataFrame([("http://h.org/" + "a/" * 200_000,)], "url string")
+    assert [r.verdict in ("allow", "block") and len(r.path) for r in urls.judge(long, model).collect()] == [400_001]
+
+
+def test_url_suffix_rates_are_out_of_fold(spark):
+    """A label that nothing but the suffix's own row could tell is not learned."""
+    rows = [(f"http://w.s{i:03}.com/", i * 7919 % 2) for i in range(200)]
+    assert 0.3 < urls.held_out_auc(spark.createDataFrame(rows, "url string, block int")) < 0.7
+
+
+def test_op4_equals_plain_rules_over_all_pages(spark, sf_dir):
+    from arcweave.llm import catalog
+
+    def plain(url):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = ("", "") if m is None else (re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2])
+        fits = [(len(h + p), h + p, v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return host, path, *(max(fits)[1:] if fits else (None, None))
+
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    found = catalog.queries()["op4_url_filter"](spark, sf_dir).collect()
+    assert len(found) == len(pages)
+    for r in found:
+        host, path, rule, verdict = plain(pages[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == (verdict or ("block" if r.block_probability >= 0.5 else "allow"))
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "system", None), (1, 1, "user", "</s> <|end|> <\\|x<|turn|>"), (1, 2, "assistant", "a<|text|>b <|endoftext|>\n"), (1, 3, "assistant", " é😀"), (1, 4, "user", "x"),
             (2, None, None, "t"), (2, 0, "assistant", ""), (None, 0, "assistant", "y"), (3, 0, "assistant", "z"), (3, 0, "assistant", "z")]
@@ -180,6 +243,55 @@ def test_chain_learns_and_handles_edges(spark, docs_of):
     assert {r.toxic for r in toxicity.toxicity(docs.limit(3), nothing).collect()} == {False}
 
 
+def plain_features(text):
+    """Slots of a text's distinct words (letters, or any character beyond ASCII) and of their first 4 and 5 letters."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c if "a" <= c <= "z" or ord(c) > 127 else " " for c in text or "")
+    names = set()
+    for word in set(low.split(" ")) - {""}:
+        names |= {word, "4" + word[:4], "5" + word[:5]}
+    return {zlib.crc32(n.encode()) >> (32 - toxicity.BITS) for n in names}
+
+
+def test_op5_equals_a_plain_chain(spark, sf_dir):
+    """Scores of the query over all documents from the models' weights alone, one document and one category at a time."""
+    from arcweave.llm import catalog
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = toxicity.fit_chain(docs, toxicity.labelled(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    found = {r.doc_id: r for r in catalog.queries()["op5_toxicity"](spark, sf_dir).collect()}
+    assert len(found) == docs.count()
+    for r in docs.collect():
+        at, chain = sorted(plain_features(r.text)), []
+        for m in model.models:
+            odds = sum(float(m.weights[i]) for i in at) + m.bias + sum(float(w) * c for w, c in zip(m.chain, chain, strict=True))
+            chain.append(min(max(odds, -9.0), 9.0))
+        p = [1 / (1 + np.exp(-c)) for c in chain]
+        assert [found[r.doc_id].p_low_quality, found[r.doc_id].p_toxic] == pytest.approx(p, abs=1e-6)
+        assert found[r.doc_id].toxic == (chain[-1] >= model.thresholds[-1])
+
+
+def test_chain_on_held_out_labels(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = toxicity.labelled(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held = "pmod(hash(doc_id), 4) = 0"
+    model = toxicity.fit_chain(docs, labels.where(f"NOT {held}"))
+    rows = toxicity.toxicity(docs.drop("toxic"), model).select("doc_id", "toxic").join(labels.where(held).selectExpr("doc_id", "toxic AS truth"), "doc_id").collect()
+    hits = sum(r.toxic and r.truth == 1 for r in rows)
+    flagged, wanted = sum(r.toxic for r in rows), sum(r.truth for r in rows)
+    print("held-out", len(rows), "precision", hits / max(flagged, 1), "recall", hits / wanted)
+    assert hits >= 0.85 * flagged and hits >= 0.7 * wanted
+
+
+def test_chain_does_not_depend_on_which_copy_comes_first(spark, docs_of):
+    rows = [(i % 40, f"word{i % 5} text{i % 7} more{i}", "s") for i in range(120)]
+    known = spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(40)], "doc_id bigint, low_quality int, toxic int")
+    one, two = toxicity.fit_chain(docs_of(rows), known), toxicity.fit_chain(docs_of(rows[::-1]), known)
+    assert all((a.weights == b.weights).all() and a.bias == b.bias for a, b in zip(one.models, two.models, strict=True))
+    few = toxicity.fit_chain(docs_of(rows), known, sample_features=10)
+    assert len(few.models) == 2
+
+
 def test_only_features_meet_in_one_task(spark, docs_of, monkeypatch):
     docs = docs_of([(i, f"word{i % 5} text", "s") for i in range(30)])
     known = spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(30)], "doc_id bigint, low_quality int, toxic int")
