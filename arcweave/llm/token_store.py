@@ -1,24 +1,30 @@
 """Token-ID output: shards of raw little-endian ids with a minimal perfect hash from document keys to offsets.
 
-A shard is one row of a Parquet table, written and committed by Spark, so any store that Spark writes will do and a lost
-executor leaves nothing behind:
+A store is a folder. `shards` is a Parquet table, written and committed by Spark, so any store that Spark writes will do
+and a lost executor leaves nothing behind; its pages are not compressed, so payloads are raw ids. Its files are the
+parts, in key order, and a row is a shard:
 
     part, seq        order of the shards: ascending doc_id, rows without doc_id first
     first_key, last_key, n_docs, n_null, n_tokens
+    part_start       ids in earlier shards of the part
     width            bytes of an id: 2 if the vocabulary and the end id fit, else 4
     payload          the ids of all its documents, each followed by the end id
-    offsets          u64[n_docs + 1], where each document begins in the payload, in ids
+    offsets          u64[n_docs + 1], where each document begins in the payload, in bytes
     keys             i64[n_docs - n_null], in the same order
     mph_sizes, mph_words   the perfect hash over the distinct keys
     slots            (u32 fingerprint, u32 ordinal)[distinct keys]: the first document with that key
 
-A key is found by its shard's key range (which the table's statistics prune), a slot, a fingerprint and an offset.
+`manifest` has a row per part: its file, its key range, and the ids before it. There are at most as many parts as write
+tasks, so a reader holds the manifest in memory, finds the part of a key by binary search, and reads that one file,
+whose statistics lead to the shard; there a slot, a fingerprint and an offset lead to the ids. The cost of a lookup does
+not grow with the number of documents.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +41,10 @@ SHARD_TOKENS = 1 << 20
 SLICE_BYTES = 8 << 20
 END_ID = 2
 SHARD = (
-    "part int, seq int, first_key bigint, last_key bigint, n_docs bigint, n_null bigint, n_tokens bigint, width int, payload binary, "
+    "part int, seq int, first_key bigint, last_key bigint, n_docs bigint, n_null bigint, n_tokens bigint, part_start bigint, width int, payload binary, "
     "offsets binary, keys binary, mph_sizes binary, mph_words binary, slots binary"
 )
+MANIFEST = "part int, file string, first_key bigint, last_key bigint, n_docs bigint, n_tokens bigint, start bigint"
 _SLOT = np.dtype([("fingerprint", "<u4"), ("ordinal", "<u4")])
 
 
@@ -67,13 +74,14 @@ def ordinals(shard: dict, keys: np.ndarray) -> np.ndarray:
     return np.where(hit, slots["ordinal"][at].astype(np.int64), -1)
 
 
-def _shard_row(part: int, seq: int, keys: list, lengths: list[int], payload: bytes, width: int) -> pa.RecordBatch:
+def _shard_row(part: int, seq: int, part_start: int, keys: list, lengths: list[int], payload: bytes, width: int) -> pa.RecordBatch:
     n_null = keys.count(None)
     known = np.array(keys[n_null:], np.int64)
     sizes, words, slots = shard_index(known, n_null)
-    offsets = np.r_[0, np.cumsum(lengths)].astype("<u8")
+    n_tokens = sum(lengths)
+    offsets = (np.r_[0, np.cumsum(lengths)] * width).astype("<u8")
     first, last = (int(known[0]), int(known[-1])) if len(known) else (None, None)
-    row = [part, seq, first, last, len(keys), n_null, int(offsets[-1]), width, payload, offsets.tobytes(), known.astype("<i8").tobytes(), sizes, words, slots]
+    row = [part, seq, first, last, len(keys), n_null, n_tokens, part_start, width, payload, offsets.tobytes(), known.astype("<i8").tobytes(), sizes, words, slots]
     kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
     fields = [x.split() for x in SHARD.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([v], kinds[k]) for v, (_, k) in zip(row, fields, strict=True)], [n for n, _ in fields])
@@ -91,7 +99,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def _writer(tokenizer: str, end_id: int, shard_tokens: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        own, part, seq, before = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
         width = own.width if end_id < 1 << (8 * own.width.itemsize) else np.dtype("<u4")
         end = np.array([end_id], width).tobytes()
         keys, lengths, pieces, total = [], [], [], 0
@@ -105,28 +113,66 @@ def _writer(tokenizer: str, end_id: int, shard_tokens: int):
                     keys.append(key), lengths.append(n + 1), pieces.extend((data[a:b], end))
                     total += n + 1
                     if total >= shard_tokens:
-                        yield _shard_row(part, seq, keys, lengths, b"".join(pieces), width.itemsize)
-                        keys, lengths, pieces, total, seq = [], [], [], 0, seq + 1
+                        yield _shard_row(part, seq, before, keys, lengths, b"".join(pieces), width.itemsize)
+                        keys, lengths, pieces, total, seq, before = [], [], [], 0, seq + 1, before + total
         if keys:
-            yield _shard_row(part, seq, keys, lengths, b"".join(pieces), width.itemsize)
+            yield _shard_row(part, seq, before, keys, lengths, b"".join(pieces), width.itemsize)
 
     return write
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Write the token ids of `docs` (doc_id, text) to `path` in ascending doc_id order and return the table of shards.
+class TokenStore:
+    """A store that write_tokens made, by its path."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.shards = spark.read.schema(SHARD).parquet(f"{self.path}/shards")
+        self.manifest = spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
+
+    @cached_property
+    def _parts(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Files, first and last keys of the parts with keys, in key order; at most a row per write task."""
+        rows = self.manifest.where("first_key IS NOT NULL").orderBy("first_key", "part").select("file", "first_key", "last_key").collect()
+        return [r.file for r in rows], np.array([r.first_key for r in rows], np.int64), np.array([r.last_key for r in rows], np.int64)
+
+    def ids(self, key: int) -> list[int] | None:
+        """The ids of the first document with this key, end id included; None if there is none."""
+        files, first, last = self._parts
+        at = int(np.searchsorted(last, key))  # the first part that ends at or after the key
+        if at == len(files) or first[at] > key:
+            return None
+        part = self.spark.read.schema(SHARD).parquet(files[at])
+        near = part.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).select("seq", "width", "payload", "offsets", "mph_sizes", "mph_words", "slots")
+        for row in sorted(near.collect(), key=lambda r: r.seq):  # one shard, or those that share the key
+            shard = row.asDict()
+            slot = int(ordinals(shard, np.array([key], np.int64))[0])
+            if slot >= 0:
+                a, b = np.frombuffer(shard["offsets"], "<u8")[slot : slot + 2].tolist()
+                return np.frombuffer(shard["payload"][a:b], f"<u{shard['width']}").tolist()
+        return None
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> TokenStore:
+    """Write the token ids of `docs` (doc_id, text) to a store at `path` in ascending doc_id order.
 
     Null text is an empty document (the end id only). Rows that repeat a doc_id follow one another, in order of a hash
     of the text; keyed access finds the first. Rows without doc_id come first and have no key. A document is never cut:
     a shard ends with the first document that brings it to shard_tokens. An empty table makes no shards. Other columns
     are not read.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
     tie = F.xxhash64("text")
     ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
     shards = ranged.mapInArrow(_writer(tokenizer or default_tokenizer(), end_id, shard_tokens), SHARD)
-    shards.write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(SHARD).parquet(path)
+    shards.write.option("compression", "none").parquet(f"{path}/shards")
+    small = spark.read.schema(SHARD).parquet(f"{path}/shards").select("part", "first_key", "last_key", "n_docs", "n_tokens", F.col("_metadata.file_path").alias("file"))
+    totals = [F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"), F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")]
+    parts = small.groupBy("part", "file").agg(*totals)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over a row per part
+    manifest = parts.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    manifest.select(*[x.split()[0] for x in MANIFEST.split(", ")]).write.parquet(f"{path}/manifest")
+    return TokenStore(spark, path)
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,37 +188,24 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (found < 0).any():
                 raise ValueError("a key of the shard is missing from its index")
             ids = np.frombuffer(shard["payload"], f"<u{shard['width']}")
-            starts, ends = offsets[at], offsets[at + 1]
+            starts, ends = offsets[at] // shard["width"], offsets[at + 1] // shard["width"]
             crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, shard["part"], np.int32)), pa.array(np.full(n, shard["seq"], np.int32)), pa.array([None] * n_null + keys.tolist(), pa.int64()),
-                 pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())],
-                ["part", "seq", "doc_id", "local", "n_tokens", "ids_crc32"],
+                [pa.array(np.full(n, shard["part"], np.int32)), pa.array([None] * n_null + keys.tolist(), pa.int64()),
+                 pa.array(starts + shard["part_start"]), pa.array(ends - starts), pa.array(crc, pa.int64())],
+                ["part", "doc_id", "local", "n_tokens", "ids_crc32"],
             )
 
 
-def stored_documents(shards: DataFrame) -> DataFrame:
+def stored_documents(store: TokenStore) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read from the shards through their indexes.
 
-    Only numbers leave the tasks; the payload is not shuffled. Shard starts are a running sum over one row per shard.
+    Only numbers leave the tasks; the payload is not shuffled. The starts of the parts, one row per write task, are
+    broadcast.
     """
-    rows = shards.mapInArrow(_read_back, "part int, seq int, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint")
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("part", "seq", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("shard_start"))
-    joined = rows.join(starts, ["part", "seq"])
-    return joined.select("doc_id", (F.col("shard_start") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
-
-
-def token_ids(shards: DataFrame, key: int) -> list[int] | None:
-    """The ids of the first document with this key, end id included; None if there is none."""
-    near = shards.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("part", "seq")
-    for row in near.toLocalIterator():
-        shard = row.asDict()
-        at = int(ordinals(shard, np.array([key], np.int64))[0])
-        if at >= 0:
-            a, b = np.frombuffer(shard["offsets"], "<u8")[at : at + 2].tolist()
-            return np.frombuffer(shard["payload"], f"<u{shard['width']}")[a:b].tolist()
-    return None
+    rows = store.shards.mapInArrow(_read_back, "part int, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint")
+    joined = rows.join(F.broadcast(store.manifest.select("part", F.col("start").alias("part_before"))), "part")
+    return joined.select("doc_id", (F.col("part_before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
