@@ -1,27 +1,37 @@
 """Benchmark decontamination: windows of normalised benchmark words, found in documents and verified word by word.
 
-The benchmark's windows are collected into a hash set and broadcast if the benchmark has at most BROADCAST_WORDS words
-(a hard bound: about 100 bytes a window). Beyond it, hashes of the windows of distinct texts meet the benchmark's by a
-shuffled join on (length, hash), and only texts with a candidate are looked at again. Both ways compare word by word.
+The benchmark is cut into pieces of at most PIECE_WORDS words (whose windows are the items' windows), and the pieces are
+dealt to chunks of at most `chunk_words` words. A chunk's windows become a hash set in arrays - sorted 64-bit hashes, the
+word each window begins at, a bit table that most other hashes miss, and the words themselves - of at most CHUNK_BYTES a
+word, and are broadcast. Documents are scanned once for each chunk; a hash that is found is compared word by word. One
+chunk, the usual case, is one map over the documents; several are as many maps, whose findings meet by text. So the
+method is the same for any benchmark, and the driver and a worker never hold more than a chunk.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arcweave.llm.store import stored, table
+from arcweave.llm.store import by_place, held_schema, stored, table
 
 WINDOW = 10
-BROADCAST_WORDS = 5_000_000
+CHUNK_WORDS = 5_000_000
+PIECE_WORDS = 10_000
+#: Bytes of a broadcast chunk for each of its words, at most, for words of 32 bytes: a text, hashes and places.
+CHUNK_BYTES = 80
+SLICE_BYTES = 8 << 20
+MEMO_WORDS = 500_000
 #: Bytes of words (digits, letters, all of non-ASCII) map to themselves with A-Z lower-cased, the others to a space.
 NORMAL = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c > 127 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -32,47 +42,83 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(NORMAL).split() if text else []
 
 
-def item_windows(words: list[bytes], window: int) -> list[tuple[bytes, ...]]:
-    """Windows of an item; an item of fewer words, but not none, is one window."""
-    width = min(len(words), window)
-    return [tuple(words[i : i + width]) for i in range(len(words) - width + 1)] if width else []
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of the windows of n words, by where they begin, from hashes of the words."""
+    acc = hashes[: len(hashes) - n + 1].copy()
+    for j in range(1, n):
+        acc = (acc ^ (acc >> np.uint64(31))) * _P + hashes[j : len(hashes) - n + 1 + j]
+    return acc ^ (acc >> np.uint64(29))
 
 
 class WindowSet:
-    """The benchmark's windows: window -> item ids, by length, over a vocabulary of word numbers."""
-
-    def __init__(self, items: list[tuple[int, bytes | None]], window: int):
-        self.vocabulary: dict[bytes, int] = {}
-        self.by_length: dict[int, dict[tuple[int, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
-        for item_id, text in items:
-            for w in item_windows(words_of(text), window):
-                numbers = tuple(self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w)
-                self.by_length[len(w)][numbers].add(item_id)
-        self.by_length = {n: dict(ws) for n, ws in self.by_length.items()}
-
-    def hits(self, words: list[bytes]) -> list[tuple[int, int, set[int]]]:
-        """(first word, number of words, item ids) of every occurrence."""
-        numbers = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
-        unknown = np.r_[0, np.cumsum(numbers < 0)]
-        found = []
-        for n, windows in self.by_length.items():
-            if len(words) < n:
+    """The windows of pieces (item_id, window length, words joined by blanks) as arrays."""
+
+    def __init__(self, pieces: list[tuple[int, int, bytes]]):
+        split = [(item, n, text.split()) for item, n, text in pieces]
+        self.text = b"".join(w + b" " for _, _, words in split for w in words)
+        length = np.fromiter((len(w) + 1 for _, _, words in split for w in words), np.int64)
+        self.word_at = np.r_[0, np.cumsum(length)].astype(np.uint32 if len(self.text) < 1 << 32 else np.int64)
+        self.items = np.array([item for item, _, _ in split], np.int64)
+        self.first = np.r_[0, np.cumsum([len(words) for _, _, words in split])].astype(np.int64)
+        memo = _WordHashes()
+        hashes = np.fromiter((memo[w] for _, _, words in split for w in words), np.uint64, len(length))
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for k, (_, n, words) in enumerate(split):
+            if len(words) >= n > 0:
+                h = window_hashes(hashes[self.first[k] : self.first[k + 1]], n)
+                found.setdefault(n, []).append((h, self.first[k] + np.arange(len(h))))
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n, parts in found.items():
+            h, at = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            order = np.argsort(h, kind="stable")
+            h, at = h[order], at[order].astype(np.uint32)
+            bits = max(10, math.ceil(math.log2(16 * len(h))))
+            table_ = np.zeros(1 << (bits - 3), np.uint8)
+            low = h & np.uint64((1 << bits) - 1)
+            np.bitwise_or.at(table_, (low >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (low & np.uint64(7)).astype(np.uint8)))
+            self.by_length[n] = (h, at, table_)
+
+    @property
+    def nbytes(self) -> int:
+        return len(self.text) + self.word_at.nbytes + self.items.nbytes + self.first.nbytes + sum(x.nbytes for t in self.by_length.values() for x in t)
+
+    def _ids(self, n: int, low: int, high: int, words: bytes) -> frozenset[int]:
+        """Items whose windows low to high, of one hash, are these words."""
+        at = self.by_length[n][1][low:high].astype(np.int64)
+        same = [p for p in at.tolist() if self.text[self.word_at[p] : self.word_at[p + n]] == words]
+        return frozenset(self.items[np.searchsorted(self.first, same, side="right") - 1].tolist())
+
+    def hits(self, texts: list[list[bytes]], memo: dict) -> Iterator[tuple[int, int, int, frozenset[int]]]:
+        """(text, first word, number of words, item ids) of every occurrence in texts, given as lists of words."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        starts = np.r_[0, np.cumsum(sizes)]
+        hashes = np.fromiter(map(memo.__getitem__, chain.from_iterable(texts)), np.uint64, int(starts[-1]))
+        for n, (known, _, bits) in self.by_length.items():
+            if len(hashes) < n:
                 continue
-            for at in np.flatnonzero(unknown[n:] == unknown[:-n]).tolist():
-                ids = windows.get(tuple(numbers[at : at + n].tolist()))
+            h = window_hashes(hashes, n)
+            low = h & np.uint64(8 * len(bits) - 1)
+            maybe = np.flatnonzero((bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
+            a, b = np.searchsorted(known, h[maybe], side="left"), np.searchsorted(known, h[maybe], side="right")
+            owner = np.searchsorted(starts, maybe, side="right") - 1
+            inside = (b > a) & (maybe + n <= starts[owner + 1])
+            seen: dict[bytes, frozenset[int]] = {}
+            for k, at, x, y in zip(owner[inside].tolist(), maybe[inside].tolist(), a[inside].tolist(), b[inside].tolist(), strict=True):
+                first = at - int(starts[k])
+                words = b" ".join(texts[k][first : first + n]) + b" "
+                ids = seen.get(words)
+                if ids is None:
+                    ids = seen[words] = self._ids(n, x, y, words)
                 if ids:
-                    found.append((at, n, ids))
-        return found
-
-
-def _marks(n_words: int, hits) -> tuple[np.ndarray, set]:
-    edge = np.zeros(n_words + 1, np.int64)
-    items = set()
-    for at, n, ids in hits:
-        edge[at] += 1
-        edge[at + n] -= 1
-        items |= ids
-    return np.cumsum(edge[:-1]) > 0, items
+                    yield k, first, n, ids
 
 
 def cleaned(text: bytes, hit: np.ndarray) -> bytes:
@@ -87,128 +133,160 @@ def cleaned(text: bytes, hit: np.ndarray) -> bytes:
 
 
 _REPORT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, clean_text string"
+_NAMES = [x.split()[0] for x in _REPORT.split(", ")]
+_NONE = hashlib.sha256(b"").hexdigest()
 
 
-def _report(text: bytes | None, n_words: int, hits) -> tuple:
-    hit, items = _marks(n_words, hits)
+def _report(text: bytes | None, n_words: int, hits: list) -> tuple:
+    """hits: (first word, number of words, item ids)."""
+    if not hits:
+        return n_words, 0, 0, _NONE, False, None if text is None else text.decode()
+    edge, items = np.zeros(n_words + 1, np.int64), set()
+    for at, n, ids in hits:
+        edge[at] += 1
+        edge[at + n] -= 1
+        items.update(ids)
+    hit = np.cumsum(edge[:-1]) > 0
     joined = ",".join(sorted(map(str, items)))
-    n_hit = int(hit.sum())
-    clean = None if text is None else cleaned(text, hit).decode() if n_hit else text.decode()
-    return n_words, n_hit, len(items), hashlib.sha256(joined.encode()).hexdigest(), n_hit > 0, clean
+    return n_words, int(hit.sum()), len(items), hashlib.sha256(joined.encode()).hexdigest(), True, None if text is None else cleaned(text, hit).decode()
 
 
-def _report_batch(batch: pa.RecordBatch, reports: list[tuple], with_text: bool) -> pa.RecordBatch:
+def _report_batch(held: list[pa.Array], reports: list[tuple], with_text: bool) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
-    names = [x.split()[0] for x in _REPORT.split(", ")]
-    n = len(names) if with_text else len(names) - 1
-    columns = list(zip(*reports, strict=True)) if reports else [[]] * len(names)
-    held = [(c, batch.column(c)) for c in batch.schema.names if c not in ("text_bytes", "hits")]
-    return pa.RecordBatch.from_arrays([x for _, x in held] + [pa.array(columns[i], kinds[i]) for i in range(n)], [c for c, _ in held] + names[:n])
+    n = len(_NAMES) if with_text else len(_NAMES) - 1
+    columns = list(zip(*reports, strict=True)) if reports else [[]] * len(_NAMES)
+    arrays = held + [pa.array(columns[i], kinds[i]) for i in range(n)]
+    return pa.RecordBatch.from_arrays(arrays, [f"c{i}" for i in range(len(arrays))])  # names may repeat; Spark reads by place
+
+
+def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about SLICE_BYTES of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    turn = np.cumsum(sizes) // SLICE_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(edges, edges[1:], strict=False) if b > a)
 
 
 def _scan(shared, with_text: bool):
+    """Held columns and the text last, to held columns and report."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = shared.value
+        windows, memo = shared.value, _WordHashes()
         for batch in batches:
-            reports = []
-            for text in batch.column("text_bytes").to_pylist():
-                words = words_of(text)
-                reports.append(_report(text if with_text else None, len(words), windows.hits(words)))
-            yield _report_batch(batch, reports, with_text)
+            for part in _slices(batch, -1):
+                texts = part.column(part.num_columns - 1).to_pylist()
+                words = [words_of(t) for t in texts]
+                found: list[list] = [[] for _ in texts]
+                for k, at, n, ids in windows.hits(words, memo):
+                    found[k].append((at, n, ids))
+                reports = [_report(t if with_text else None, len(w), f) for t, w, f in zip(texts, words, found, strict=True)]
+                yield _report_batch(part.columns[:-1], reports, with_text)
 
     return scan
 
 
-def _hashes(words: list[bytes], n: int) -> np.ndarray:
-    """64-bit hashes of the windows of n words."""
-    h = np.fromiter((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in words), np.uint64, len(words))
-    acc = h[: len(h) - n + 1].copy()
-    for j in range(1, n):
-        acc = (acc ^ (acc >> np.uint64(31))) * _P + h[j : len(h) - n + 1 + j]
-    return acc.view(np.int64)
+_FOUND = "row_id binary, at bigint, n bigint, item_id bigint"
 
 
-def _document_windows(lengths: list[int]):
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find(shared):
+    """(row_id, text) to a row per occurrence and item."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows, memo = shared.value, _WordHashes()
         for batch in batches:
-            for row, text in zip(batch.column("row_id").to_pylist(), batch.column("text_bytes").to_pylist(), strict=True):
-                words = words_of(text)
-                for n in lengths:
-                    if len(words) >= n:
-                        h = np.unique(_hashes(words, n))
-                        yield pa.RecordBatch.from_arrays([pa.array([row] * len(h), pa.binary()), pa.array(np.full(len(h), n)), pa.array(h)], ["row_id", "n", "hash"])
+            for part in _slices(batch, -1):
+                rows = part.column(0).to_pylist()
+                for k, at, n, ids in windows.hits([words_of(t) for t in part.column(1).to_pylist()], memo):
+                    items = sorted(ids)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([rows[k]] * len(items), pa.binary()), pa.array([at] * len(items)), pa.array([n] * len(items)), pa.array(items, pa.int64())],
+                        [x.split()[0] for x in _FOUND.split(", ")],
+                    )
+
+    return find
 
-    return emit
 
+def _merge(with_text: bool):
+    """Held columns, findings and the text last, to held columns and report."""
 
-def _benchmark_windows(window: int):
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for item_id, text in zip(batch.column("item_id").to_pylist(), batch.column("text_bytes").to_pylist(), strict=True):
-                words = words_of(text)
-                width = min(len(words), window)
-                if width:
-                    rows += zip(repeat(width), _hashes(words, width).tolist(), (b" ".join(w) for w in item_windows(words, window)), repeat(item_id))
-            n, h, w, i = zip(*rows, strict=True) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(w, pa.binary()), pa.array(i, pa.int64())], ["n", "hash", "window", "item_id"])
+            reports = []
+            for text, found in zip(batch.column(batch.num_columns - 1).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), strict=True):
+                hits = [(f["at"], f["n"], f["items"]) for f in found or []]
+                reports.append(_report(text if with_text else None, len(words_of(text)), hits))
+            yield _report_batch(batch.columns[:-2], reports, with_text)
 
-    return emit
+    return merge
 
 
-def _verify(with_text: bool):
-    """Reports from texts and the benchmark windows that may occur in them."""
+def _pieces(window: int):
+    """Items to pieces: item_id, seq, n (window length), n_words, words. Neighbours share the words of a window but one."""
 
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reports = []
-            for text, candidates in zip(batch.column("text_bytes").to_pylist(), batch.column("hits").to_pylist(), strict=True):
-                words, found = words_of(text), []
-                wanted = {tuple(c["window"].split()): set(c["items"]) for c in candidates or []}
-                for n in {len(w) for w in wanted}:
-                    for at in range(len(words) - n + 1):
-                        ids = wanted.get(tuple(words[at : at + n]))
-                        if ids:
-                            found.append((at, n, ids))
-                reports.append(_report(text if with_text else None, len(words), found))
-            yield _report_batch(batch, reports, with_text)
-
-    return report
-
-
-def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_text: bool = False, broadcast_words: int = BROADCAST_WORDS
-) -> DataFrame:
+            rows = []
+            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                n = min(len(words), window)
+                for seq, at in enumerate(range(0, max(len(words) - n + 1, 0) if n else 0, PIECE_WORDS)):
+                    part = words[at : at + PIECE_WORDS + n - 1]
+                    rows.append((item_id, seq, n, len(part), b" ".join(part)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item_id", "seq", "n", "n_words", "words"])
+
+    return cut
+
+
+def window_chunks(benchmark: DataFrame, window: int, chunk_words: int) -> tuple[DataFrame, int]:
+    """Pieces of the benchmark with their chunk, and the number of chunks. A chunk has at most chunk_words words and a piece."""
+    items = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("binary")).where("item_id IS NOT NULL")
+    pieces = stored(items.mapInArrow(_pieces(window), "item_id bigint, seq bigint, n bigint, n_words bigint, words binary").distinct(), "benchmark-pieces")
+    # one row of numbers for each piece of up to PIECE_WORDS words
+    numbers = pieces.select("item_id", "seq", F.xxhash64("words").alias("tie"), "n_words")
+    upto = Window.orderBy("item_id", "seq", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n_words").over(upto), F.lit(0))
+    dealt = numbers.select("item_id", "seq", "tie", F.floor(before / chunk_words).cast("int").alias("chunk"))
+    chunked = stored(pieces.withColumn("tie", F.xxhash64("words")).join(dealt, ["item_id", "seq", "tie"]), "benchmark-chunks")
+    last = chunked.agg(F.max("chunk")).first()[0]
+    return chunked, 1 if last is None else last + 1
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_text: bool = False, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """One row per row of `docs`: its other columns, n_words, n_hit, n_items, items_sha256, contaminated (and clean_text).
 
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A word inside any occurrence of a benchmark
     window is hit; n_items counts the items whose windows occur, items_sha256 digests their ids, sorted as strings and
     comma-joined. clean_text is the text without hit words. Null text has no words and keeps null; items without words
     have no windows; items that repeat an id or a text count once per id; null item ids are not read. Names of `docs`
-    that clash with those above are replaced.
+    that clash with those above are replaced, all others stay. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    held = [c for c in docs.columns if c != "text" and c not in {x.split()[0] for x in _REPORT.split(", ")} | {"row_id", "hits", "text_bytes"}]
-    types = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in held] + _REPORT.split(", ")[: 6 if with_text else 5])
-    texts = docs.select(*held, F.col("text").cast("binary").alias("text_bytes"))
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("binary").alias("text_bytes")).where("item_id IS NOT NULL")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text_bytes")), F.lit(0)) / 2).first()[0]  # words, at most
-    if size <= broadcast_words:
-        rows = [(r.item_id, None if r.text_bytes is None else bytes(r.text_bytes)) for r in items.collect()]
-        shared = spark.sparkContext.broadcast(WindowSet(rows, window))
-        return texts.mapInArrow(_scan(shared, with_text), schema)
-    windows = stored(items.mapInArrow(_benchmark_windows(window), "n bigint, hash bigint, window binary, item_id bigint"), "windows")
-    windows = stored(windows.groupBy("n", "hash", "window").agg(F.sort_array(F.collect_set("item_id")).alias("items")), "windows")
-    lengths = sorted(r.n for r in windows.select("n").distinct().collect())  # at most `window` numbers
-    # equal texts share their windows, so a digest of the text is row enough
-    digest = F.substring(F.unhex(F.sha2(F.coalesce(F.col("text_bytes"), F.lit(b"")), 256)), 1, 16)
-    keyed = texts.withColumn("row_id", digest)
-    emitted = keyed.select("row_id", "text_bytes").mapInArrow(_document_windows(lengths), "row_id binary, n bigint, hash bigint").distinct()
-    pairs = stored(emitted.join(windows.select("n", "hash").distinct(), ["n", "hash"]), "window-pairs")
-    hits = pairs.join(windows, ["n", "hash"]).groupBy("row_id").agg(F.collect_list(F.struct("window", "items")).alias("hits"))
-    joined = keyed.join(stored(hits, "window-hits"), "row_id", "left").drop("row_id")
-    return joined.mapInArrow(_verify(with_text), schema)
+    held = [c for c in docs.columns if c != "text" and c not in _NAMES]
+    schema = held_schema(docs, held, ", ".join(_REPORT.split(", ")[: 6 if with_text else 5]))
+    text = F.col("text").cast("binary")
+    pieces, chunks = window_chunks(benchmark, window, chunk_words)
+
+    def share(chunk: int):
+        rows = pieces.where(F.col("chunk") == chunk).select("item_id", "n", "words").collect()  # chunk_words words and a piece, at most
+        return spark.sparkContext.broadcast(WindowSet([(r.item_id, r.n, bytes(r.words)) for r in rows]))
+
+    if chunks == 1:
+        return docs.select(*by_place(held), text.alias("text")).mapInArrow(_scan(share(0), with_text), schema)
+    # equal texts have equal findings, so a digest of the text is row enough
+    row_id = F.unhex(F.sha2(F.coalesce(text, F.lit(b"")), 256))
+    found = None
+    for chunk in range(chunks):
+        shared = share(chunk)
+        part = stored(docs.select(row_id.alias("row_id"), text.alias("text")).mapInArrow(_find(shared), _FOUND).distinct(), "window-hits")
+        shared.unpersist()
+        found = part if found is None else found.unionByName(part)
+    occurrences = found.groupBy("row_id", "at", "n").agg(F.collect_set("item_id").alias("items"))
+    hits = stored(occurrences.groupBy("row_id").agg(F.collect_list(F.struct("at", "n", "items")).alias("found")), "window-texts")
+    keyed = docs.select(*by_place(held), text.alias("text"), row_id.alias("row_id"))
+    joined = keyed.join(hits.hint("merge"), "row_id", "left")
+    return joined.select(*[f"c{i}" for i in range(len(held))], "found", "text").mapInArrow(_merge(with_text), schema)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

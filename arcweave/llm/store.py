@@ -36,6 +36,11 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def by_place(columns: Sequence[str]) -> list[Column]:
+    """These columns under names of their places, for mapInArrow, which resolves names and would trip over dots."""
+    return [named(c).alias(f"c{i}") for i, c in enumerate(columns)]
+
+
 def held_schema(docs: DataFrame, held: Sequence[str], new: str) -> StructType:
     """The schema of `held` columns of docs, then the DDL `new`."""
     return StructType([docs.schema[c] for c in held] + StructType.fromDDL(new).fields)
