@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm.store import held_schema, named, table
+from arcweave.llm.store import by_place, held_schema, named, table
 
 SAMPLE = 6_000
 SAMPLE_FEATURES = 8_000_000
@@ -187,14 +187,17 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CA
     return pickle.loads(fitted[0]) if fitted else ClassifierChain([], np.empty((0, len(categories))), categories)
 
 
-def _score(shared, held: Sequence[str]):
+def _score(shared, n_held: int):
+    """Held columns and the text last, to held columns, probabilities and the verdict."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = shared.value, _WordFeatures()
         for batch in batches:
-            odds = model.odds([features(t, memo) for t in batch.column("text").cast(pa.binary()).to_pylist()])
+            texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
+            odds = model.odds([features(t, memo) for t in texts])
             p = 1 / (1 + np.exp(-odds))
-            columns = [batch.column(c) for c in held] + [pa.array(p[:, c]) for c in range(p.shape[1])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(odds[:, -1] >= model.thresholds[-1])], [*held, *[f"p_{c}" for c in model.categories], "toxic"])
+            columns = [*batch.columns[:n_held], *[pa.array(p[:, c]) for c in range(p.shape[1])], pa.array(odds[:, -1] >= model.thresholds[-1])]
+            yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])  # Spark reads by place
 
     return score
 
@@ -202,14 +205,14 @@ def _score(shared, held: Sequence[str]):
 def toxicity(docs: DataFrame, model: ClassifierChain, keep_text: bool = True) -> DataFrame:
     """`docs` (without text unless keep_text) with p_<category> per category of the chain, and toxic: the last one's verdict.
 
-    Null and empty texts have no features and get the models' base rates. Columns of `docs` that clash are replaced.
+    Null and empty texts have no features and get the models' base rates. Columns of `docs` with the names of these are
+    replaced, all others stay.
     """
     new = [*[f"p_{c}" for c in model.categories], "toxic"]
-    read = [c for c in docs.columns if c not in new]
-    held = [c for c in read if keep_text or c != "text"]
+    held = [c for c in docs.columns if c not in new and (keep_text or c != "text")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = held_schema(docs, held, ", ".join([f"`{c}` double" for c in new[:-1]] + ["toxic boolean"]))
-    return docs.select(*[named(c) for c in read]).mapInArrow(_score(shared, held), schema)
+    return docs.select(*by_place(held), F.col("text").alias("text")).mapInArrow(_score(shared, len(held)), schema)
 
 
 def labelled(labels: DataFrame) -> DataFrame:
