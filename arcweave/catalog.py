@@ -11,9 +11,12 @@ from arcweave.functions.shipping import shipped
 from arcweave.operators import degrees
 from arcweave.operators.components import wcc
 from arcweave.operators.graph import Graph
-from arcweave.operators.rank import pagerank, ppr_topk
+from arcweave.operators.rank import AUDIT, pagerank, ppr_topk, seeds_from_arrays
 from arcweave.operators.traverse import bfs, k_hop
+from arcweave.plans.tables import fresh_path
 from arcweave.sources import relations as rel
+from arcweave.sources.files import load_edges, read_edge_text, save_edges
+from arcweave.sources.generate import power_law, rmat
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -23,7 +26,6 @@ STEPS, TOL = 10, 1e-18
 
 EDGES = {
     "sp": "SELECT l_suppkey AS src, l_partkey + 1000000 AS dst, CAST(CAST(sum(l_quantity) AS FLOAT) AS DOUBLE) AS weight FROM lineitem GROUP BY 1, 2",
-    "sp_small": "SELECT l_suppkey AS src, l_partkey + 1000000 AS dst, CAST(1 AS DOUBLE) AS weight FROM lineitem WHERE l_orderkey < 100 GROUP BY 1, 2",
     "cs": "SELECT o_custkey + 2000000 AS src, l_suppkey AS dst, CAST(CAST(round(sum(l_extendedprice), 2) AS FLOAT) AS DOUBLE) AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2",
     "cs_multi": "SELECT o_custkey + 2000000 AS src, l_suppkey AS dst, CAST(1 AS DOUBLE) AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
     "hier": "SELECT CAST(n_regionkey AS BIGINT) AS src, CAST(n_nationkey + 100 AS BIGINT) AS dst, CAST(1 AS DOUBLE) AS weight FROM nation UNION ALL SELECT CAST(c_nationkey + 100 AS BIGINT), c_custkey + 2000000, 1 FROM customer UNION ALL SELECT o_custkey + 2000000, o_orderkey + 10000000, 1 FROM orders",
@@ -39,7 +41,6 @@ def graph_of(spark: SparkSession, sf_dir: str, name: str, directed: bool = True,
     """The graph that EDGES[name] describes, by the DataFrame way."""
     make = {
         "sp": rel.supplier_part,
-        "sp_small": lambda s, d: rel.supplier_part(s, d, orders_below=100),
         "cs": rel.customer_supplier,
         "cs_multi": lambda s, d: rel.customer_supplier(s, d, multi=True),
         "hier": rel.hierarchy,
@@ -104,6 +105,47 @@ SELECT v.idx, v.idx AS ext_id, coalesce(o.n, 0) AS out_deg, coalesce(i.n, 0) AS
 )
 _add("transpose_edges", lambda s, d: graph_of(s, d, "cs", weighted=True).transpose(), _sql("cs", "SELECT edge_id, dst AS src, src AS dst, weight FROM s", weighted=True))
 
+
+
+def _index_of_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indices of a list of ids and of a single one."""
+    graph, wanted = graph_of(spark, sf_dir, "evchain"), [5, 0, 17, 5]
+    found = [*graph.index_of(wanted), graph.index_of(9)]
+    return spark.createDataFrame(list(enumerate(found)), "place bigint, idx bigint")
+
+
+_add("index_of_list", _index_of_list, _sql("evchain", "SELECT place, idx FROM (VALUES (0::BIGINT, 5), (1, 0), (2, 17), (3, 5), (4, 9)) x(place, ext_id) JOIN v USING (ext_id)"))
+
+# sources
+
+
+def _edge_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges written as lines of text between comments, compressed, and read again."""
+    path = fresh_path(spark, "edge-text")
+    lines = rel.supplier_part(spark, sf_dir).select(F.concat_ws("\t", "src", F.concat(F.lit(" "), "dst", F.lit(" "))).alias("value"))
+    lines.union(spark.createDataFrame([("# a comment",), ("",), ("  # another",)], "value string")).write.option("compression", "gzip").text(path)
+    return read_edge_text(spark, path)
+
+
+def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "snapshot")
+    save_edges(rel.customer_supplier(spark, sf_dir), path)
+    return load_edges(spark, path).select("src", "dst", F.round("weight", 2).alias("weight"))
+
+
+def _generated(make, vertices: int) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        outside = F.count_if((F.least("src", "dst") < 0) | (F.greatest("src", "dst") >= vertices))
+        return make(spark).agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("edge_id").alias("ids"), outside.alias("outside"))
+
+    return run
+
+
+_add("edge_text_lines", _edge_text, _sql("sp", "SELECT DISTINCT e.src, e.dst FROM e"))
+_add("snapshot_round_trip", _snapshot, "SELECT o_custkey + 2000000 AS src, l_suppkey AS dst, round(sum(l_extendedprice), 2) AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2")
+_add("rmat_bounds", _generated(lambda s: rmat(s, 12, 8), 1 << 12), "SELECT 32768 AS edges, 32768 AS ids, 0 AS outside")
+_add("power_law_bounds", _generated(lambda s: power_law(s, 5_000, 40_000), 5_000), "SELECT 40000 AS edges, 40000 AS ids, 0 AS outside")
+
 # degrees
 
 _add(
@@ -133,21 +175,26 @@ _add(
 # ranks
 
 
-def _rank_sql(name: str, directed: bool, weighted: bool, teleport: str = "SELECT idx, CAST(1 AS DOUBLE) / count(*) OVER () AS p FROM v") -> str:
+def _rank_sql(name: str, directed: bool, weighted: bool, teleport: str = "SELECT idx, CAST(1 AS DOUBLE) / count(*) OVER () AS p FROM v", steps: int = STEPS, tol: float = TOL) -> str:
     ctes = f"""o AS (SELECT src, sum(weight) AS ows FROM s GROUP BY 1), a AS MATERIALIZED (SELECT s.src, s.dst, s.weight / o.ows AS p FROM s JOIN o USING (src) WHERE ows > 0),
 dang AS MATERIALIZED (SELECT idx FROM v WHERE idx NOT IN (SELECT src FROM a)), t AS MATERIALIZED ({teleport}),
 pr AS (SELECT 0 AS i, idx, p AS r FROM t UNION ALL
   SELECT k.i + 1, t.idx, (0.15 + 0.85 * d.m) * t.p + 0.85 * coalesce(f.acc, 0) FROM t CROSS JOIN (SELECT max(i) AS i FROM pr) k
   CROSS JOIN (SELECT coalesce(sum(r), 0) AS m FROM pr WHERE idx IN (SELECT idx FROM dang)) d
-  LEFT JOIN (SELECT a.dst, sum(a.p * pr.r) AS acc FROM a JOIN pr ON a.src = pr.idx GROUP BY 1) f ON f.dst = t.idx WHERE k.i < {STEPS})"""
-    return _sql(name, f"SELECT idx, round(r, 9) AS rank FROM pr WHERE i = {STEPS}", directed, weighted, ctes)
+  LEFT JOIN (SELECT a.dst, sum(a.p * pr.r) AS acc FROM a JOIN pr ON a.src = pr.idx GROUP BY 1) f ON f.dst = t.idx WHERE k.i < {steps})"""
+    last = f"i = {steps}"
+    if tol > TOL:  # the first audit with a small change ends the iteration
+        ctes += f""", gap AS (SELECT n.i, sum(abs(n.r - o.r)) AS change FROM pr n JOIN pr o ON o.idx = n.idx AND o.i = n.i - 1 GROUP BY 1),
+stop AS (SELECT coalesce(min(i), {steps}) AS i FROM gap WHERE i % {AUDIT} = 0 AND change < (SELECT count(*) FROM v) * {tol!r})"""
+        last = "i = (SELECT i FROM stop)"
+    return _sql(name, f"SELECT idx, round(r, 9) AS rank FROM pr WHERE {last}", directed, weighted, ctes)
 
 
-def _ranked(name: str, directed: bool, weighted: bool, personal=None) -> Query:
+def _ranked(name: str, directed: bool, weighted: bool, personal=None, steps: int = STEPS, tol: float = TOL) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         graph = graph_of(spark, sf_dir, name, directed, weighted)
         given = personal(graph) if personal else None
-        return pagerank(graph, tol=TOL, max_iter=STEPS, personalization=given).select("idx", F.round("rank", 9).alias("rank"))
+        return pagerank(graph, tol=tol, max_iter=steps, personalization=given).select("idx", F.round("rank", 9).alias("rank"))
 
     return run
 
@@ -168,12 +215,16 @@ _add(
 )
 _add(
     "pagerank_personalized_dict",
-    _ranked("cs", False, True, lambda g: {0: 2.0, 5: 1.0, 97: 3.0}),
-    _rank_sql("cs", False, True, "SELECT idx, (CASE idx WHEN 0 THEN 2.0 WHEN 5 THEN 1.0 WHEN 97 THEN 3.0 ELSE 0.0 END)::DOUBLE / 6 AS p FROM v"),
+    _ranked("cs", False, True, lambda g: {3: 1.5, 11: 4.0, 42: 2.5}),
+    _rank_sql("cs", False, True, "SELECT idx, (CASE idx WHEN 3 THEN 1.5 WHEN 11 THEN 4.0 WHEN 42 THEN 2.5 ELSE 0.0 END)::DOUBLE / 8 AS p FROM v"),
 )
 
+# ended by their tolerance, at an audit before the last step
+for _key, _args, _tol in (("pagerank_converged", ("cs", False, True), 1e-5), ("pagerank_converged_loops", ("evt", True, False), 1e-6)):
+    _add(_key, _ranked(*_args, steps=30, tol=_tol), _rank_sql(*_args, steps=30, tol=_tol))
+
 
-def _ppr_sql(name: str, directed: bool, weighted: bool, seeds: str, k: int) -> str:
+def _ppr_sql(name: str, directed: bool, weighted: bool, seeds: str, k: int, steps: int = STEPS, tol: float = TOL) -> str:
     ctes = f"""o AS (SELECT src, sum(weight) AS ows FROM s GROUP BY 1), a AS MATERIALIZED (SELECT s.src, s.dst, s.weight / o.ows AS p FROM s JOIN o USING (src) WHERE ows > 0),
 dang AS MATERIALIZED (SELECT idx FROM v WHERE idx NOT IN (SELECT src FROM a)), seeds AS ({seeds}),
 n AS (SELECT query_id, idx, sum(weight) AS w FROM seeds GROUP BY 1, 2), q AS (SELECT query_id, sum(w) AS total FROM n GROUP BY 1),
@@ -181,16 +232,18 @@ t AS MATERIALIZED (SELECT q.query_id, v.idx, coalesce(n.w, 0) / q.total AS p FRO
 pr AS (SELECT 0 AS i, query_id, idx, p AS r FROM t UNION ALL
   SELECT k.i + 1, t.query_id, t.idx, (0.15 + 0.85 * coalesce(d.m, 0)) * t.p + 0.85 * coalesce(f.acc, 0) FROM t CROSS JOIN (SELECT max(i) AS i FROM pr) k
   LEFT JOIN (SELECT query_id, sum(r) AS m FROM pr WHERE idx IN (SELECT idx FROM dang) GROUP BY 1) d ON d.query_id = t.query_id
-  LEFT JOIN (SELECT query_id, a.dst, sum(a.p * pr.r) AS acc FROM a JOIN pr ON a.src = pr.idx GROUP BY 1, 2) f ON f.dst = t.idx AND f.query_id = t.query_id WHERE k.i < {STEPS}),
-top AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(r, 9) DESC, idx) AS rnk, idx, round(r, 9) AS score FROM pr WHERE i = {STEPS} QUALIFY rnk <= {k}),
+  LEFT JOIN (SELECT query_id, a.dst, sum(a.p * pr.r) AS acc FROM a JOIN pr ON a.src = pr.idx GROUP BY 1, 2) f ON f.dst = t.idx AND f.query_id = t.query_id WHERE k.i < {steps}),
+gap AS (SELECT n.i, n.query_id, sum(abs(n.r - o.r)) AS change FROM pr n JOIN pr o ON o.idx = n.idx AND o.query_id = n.query_id AND o.i = n.i - 1 GROUP BY 1, 2),
+stop AS (SELECT query_id, coalesce(min(i) FILTER (i % {AUDIT} = 0 AND change < (SELECT count(*) FROM v) * {tol!r}::DOUBLE), {steps}) AS i FROM gap GROUP BY 1),
+top AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(r, 9) DESC, idx) AS rnk, idx, round(r, 9) AS score FROM pr JOIN stop USING (query_id, i) QUALIFY rnk <= {k}),
 pad AS (SELECT q.query_id, unnest(range((SELECT count(*) FROM v) + 1, {k} + 1)) AS rnk, CAST(-1 AS BIGINT) AS idx, CAST(0 AS DOUBLE) AS score FROM q)"""
     return _sql(name, "SELECT query_id, rnk, idx, score FROM top UNION ALL SELECT * FROM pad", directed, weighted, ctes)
 
 
-def _ppr(name: str, directed: bool, weighted: bool, seeds, k: int) -> Query:
+def _ppr(name: str, directed: bool, weighted: bool, seeds, k: int, steps: int = STEPS, tol: float = TOL) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         graph = graph_of(spark, sf_dir, name, directed, weighted)
-        found = ppr_topk(graph, seeds(graph), k=k, tol=TOL, max_iter=STEPS)
+        found = ppr_topk(graph, seeds(graph), k=k, tol=tol, max_iter=steps)
         return found.select("query_id", "rnk", "idx", F.round("score", 9).alias("score"))
 
     return run
@@ -201,7 +254,11 @@ def _spread_seeds(graph: Graph) -> DataFrame:
 
 
 def _repeated_seeds(graph: Graph) -> DataFrame:
-    return graph.spark.createDataFrame([(0, 4, 1.0), (0, 4, 2.0), (0, 9, 3.0), (1, 9, 1.0)], "query_id bigint, idx bigint, weight double")
+    """Two packed queries; the first names a vertex three times."""
+    return seeds_from_arrays(graph, [6, 17, 6, 6, 31], [0.5, 2.0, 1.25, 0.25, 3.0], [0, 4, 5])
+
+
+_REPEATED = "SELECT * FROM (VALUES (0::BIGINT, 6::BIGINT, 0.5::DOUBLE), (0, 17, 2.0), (0, 6, 1.25), (0, 6, 0.25), (1, 31, 3.0)) x(query_id, idx, weight)"
 
 
 def _few_seeds(graph: Graph) -> DataFrame:
@@ -209,10 +266,17 @@ def _few_seeds(graph: Graph) -> DataFrame:
 
 
 _add("ppr_topk_batch", _ppr("sp", False, True, _spread_seeds, 64), _ppr_sql("sp", False, True, "SELECT idx % 4 AS query_id, idx, CAST(1 + idx % 3 AS DOUBLE) AS weight FROM v WHERE idx % 97 = 0", 64))
-_add("ppr_topk_dup_seeds", _ppr("sp", False, True, _repeated_seeds, 10), _ppr_sql("sp", False, True, "SELECT * FROM (VALUES (0::BIGINT, 4::BIGINT, 1.0::DOUBLE), (0, 4, 2.0), (0, 9, 3.0), (1, 9, 1.0)) x(query_id, idx, weight)", 10))
-_add("ppr_topk_dangling", _ppr("cs", True, True, _repeated_seeds, 30), _ppr_sql("cs", True, True, "SELECT * FROM (VALUES (0::BIGINT, 4::BIGINT, 1.0::DOUBLE), (0, 4, 2.0), (0, 9, 3.0), (1, 9, 1.0)) x(query_id, idx, weight)", 30))
+_add("ppr_topk_dup_seeds", _ppr("sp", False, True, _repeated_seeds, 10), _ppr_sql("sp", False, True, _REPEATED, 10))
+_add("ppr_topk_dangling", _ppr("cs", True, True, _repeated_seeds, 30), _ppr_sql("cs", True, True, _REPEATED, 30))
 _add("ppr_topk_pad", _ppr("evt", True, False, _few_seeds, 12), _ppr_sql("evt", True, False, "SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, 1.0::DOUBLE), (1, 2, 1.0), (1, 3, 3.0)) x(query_id, idx, weight)", 12))
 
+# the first query is spread wide and set aside at an earlier audit than the second, which starts at one vertex
+_add(
+    "ppr_topk_frozen",
+    _ppr("sp", False, True, lambda g: g.vertices.where("idx % 3 = 0").selectExpr("CAST(0 AS BIGINT) AS query_id", "idx", "CAST(1 AS DOUBLE) AS weight").union(g.vertices.where("idx = 1").selectExpr("CAST(1 AS BIGINT)", "idx", "CAST(1 AS DOUBLE)")), 20, 30, 5e-5),
+    _ppr_sql("sp", False, True, "SELECT 0 AS query_id, idx, CAST(1 AS DOUBLE) AS weight FROM v WHERE idx % 3 = 0 UNION ALL SELECT 1, idx, 1 FROM v WHERE idx = 1", 20, 30, 5e-5),
+)
+
 # traversal
 
 
@@ -248,7 +312,7 @@ for _key, (_name, _start, _from, _dir, _out, _directed) in {
     "bfs_both": ("cs", 0, _FIRST, "both", "dense", True),
     "bfs_multi_source": ("conv", lambda g: g.vertices.where("idx % 10 IN (0, 5)").select("idx"), "SELECT idx FROM v WHERE idx % 10 IN (0, 5)", "out", "dense", True),
     "bfs_sparse": ("hier", [1, 3, 3], "SELECT CAST(unnest([1, 3]) AS BIGINT) AS idx", "out", "sparse", True),
-    "bfs_undirected": ("sp_small", 0, _FIRST, "out", "dense", False),
+    "bfs_undirected": ("cs", 0, _FIRST, "out", "dense", False),
     "bfs_undirected_sp": ("sp", 0, _FIRST, "out", "dense", False),
 }.items():
     _add(_key, _bfs(_name, _start, _dir, _out, _directed), _sql(_name, _DENSE if _out == "dense" else _SPARSE, _directed, ctes=_bfs_ctes(_from, _dir, _directed)))
@@ -287,8 +351,7 @@ def _khop_subgraph(name: str) -> Query:
     return run
 
 
-# over the first orders, and over the whole table
-for _name, _tag in (("sp_small", ""), ("sp", "_sp")):
+for _name, _tag in (("cs", ""), ("sp", "_sp")):
     _add(f"khop_edges{_tag}", _khop(_name, "edges", directed=False, k=2), _khop_sql(_name, _INSIDE, 2, directed=False))
     _add(f"khop_capped_vertices{_tag}", _khop(_name, "vertices", k=3, max_vertices=25), _khop_sql(_name, "SELECT idx FROM r", 3, cap=25))
     _add(f"khop_capped_edges{_tag}", _khop(_name, "edges", k=3, max_edges=7), _khop_sql(_name, f"{_INSIDE} ORDER BY edge_id LIMIT 7", 3))
@@ -310,7 +373,7 @@ _WCC = """y AS MATERIALIZED (SELECT src AS a, dst AS b FROM g UNION SELECT dst,
 lab(x, l) USING KEY (x) AS (SELECT idx, idx FROM v UNION
   SELECT y.b, min(lab.l) FROM lab JOIN y ON y.a = lab.x JOIN recurring.lab o ON o.x = y.b WHERE lab.l < o.l GROUP BY y.b),
 comp AS (SELECT x AS idx, dense_rank() OVER (ORDER BY l) - 1 AS comp FROM lab)"""
-for _name in ("dup", "conv", "sp_small", "sp", "evchain"):
+for _name in ("dup", "conv", "cs", "sp", "evchain"):
     _add(f"wcc_labels_{_name}", lambda s, d, name=_name: wcc(graph_of(s, d, name)), _sql(_name, "SELECT idx, comp FROM comp", ctes=_WCC))
 _add(
     "wcc_sizes",

@@ -10,7 +10,7 @@ from pyspark.sql.types import IntegralType, StringType
 
 from arcweave.functions.checks import MAX_INDEX, check_direction
 from arcweave.operators.ids import dense_index, lookup
-from arcweave.plans.tables import measured, partitions, stored
+from arcweave.plans.tables import discard, measured, partitions, stored
 
 #: Largest finite and smallest normal single-precision numbers: bounds of a vertex's weight sum.
 FLOAT_MAX, FLOAT_MIN = 3.4028234663852886e38, 1.1754943508222875e-38
@@ -134,7 +134,8 @@ class Graph:
         if edge_id and unnumbered:
             raise ValueError("edge ids must not be null")
         if not edge_id:
-            rows = _numbered(rows)
+            given, rows = rows, _numbered(rows)
+            discard(given)
         spark = edges.sparkSession
         if num_vertices is None:
             universe = rows.select(F.col("src").alias("ext_id")).union(rows.select("dst"))
@@ -153,17 +154,19 @@ class Graph:
     def _build(cls, rows: DataFrame, vertices: DataFrame, directed: bool, weighted: bool, n: int, identity: bool) -> Graph:
         self = object.__new__(cls)
         self.spark, self.directed, self.weighted, self.identity, self.num_edges = rows.sparkSession, directed, weighted, identity, n
-        vertices, seen = measured(vertices, "ids", n=F.count(F.lit(1)))
+        vertices, seen = measured(vertices, "ids", n=F.count(F.lit(1)))  # removed below; `rows` as well, once replaced
         self.num_vertices = seen["n"]
         if self.num_vertices > MAX_INDEX:
             raise ValueError("too many vertices")
         if identity:
             self.edges = rows
         else:
+            given = rows
             for end in ("src", "dst"):
                 known = vertices.select(F.col("ext_id").alias(end), F.col("idx").alias(f"{end}_idx"))
                 rows = rows.join(known, end)
             self.edges = stored(rows.select("edge_id", F.col("src_idx").alias("src"), F.col("dst_idx").alias("dst"), "weight"), "edges")
+            discard(given)
         self.stored = self.edges
         if not directed:
             back = self.edges.where("src <> dst").select("edge_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
@@ -182,6 +185,7 @@ class Graph:
             stored=F.coalesce(F.sum("out_deg"), zero),
             dangling=F.count_if("dangling"),
         )
+        discard(vertices)
         most, self.stored_count, self.dangling_count = seen["most"], seen["stored"], seen["dangling"]
         if most is not None and most > FLOAT_MAX:
             raise ValueError("a vertex's weights have no finite float32 sum")
@@ -251,7 +255,9 @@ def _numbered(rows: DataFrame) -> DataFrame:
     starts = sizes.selectExpr("part", "coalesce(sum(size) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start")
     place = F.row_number().over(Window.partitionBy("part").orderBy("src", "dst", "weight")) - 1
     placed = ranged.withColumn("place", place).join(F.broadcast(starts), "part")
-    return stored(placed.select((F.col("start") + F.col("place")).alias("edge_id"), "src", "dst", "weight"), "edges-numbered")
+    numbered = stored(placed.select((F.col("start") + F.col("place")).alias("edge_id"), "src", "dst", "weight"), "edges-numbered")
+    discard(ranged)
+    return numbered
 
 
 def check_graph(graph) -> Graph:

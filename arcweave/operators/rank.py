@@ -123,8 +123,7 @@ def ppr_topk(
         teleport, n_queries = _normalized_seeds(graph, seeds)
         adjacency = graph.adjacency("out")
         dangling = graph.vertices.where("dangling").select("idx")
-        state = teleport.select("query_id", "idx", F.col("t").alias("rank"))
-        finished = []
+        state, table, finished = teleport.select("query_id", "idx", F.col("t").alias("rank")), None, []
         while info.iterations < max_iter and n_queries:
             restart = teleport
             if graph.dangling_count:
@@ -143,14 +142,22 @@ def ppr_topk(
                 settled = stored(change.where(F.col("change") < graph.num_vertices * tol).select("query_id"), "settled")
                 n_settled = settled.count()
                 if n_settled:
-                    finished.append(new.join(settled, "query_id", "left_semi"))
-                    new = stored(new.join(settled, "query_id", "left_anti"), "ppr")
-                    teleport = stored(teleport.join(settled, "query_id", "left_anti"), "teleport")
+                    both, seeded = new, teleport
+                    finished.append(stored(both.join(settled, "query_id", "left_semi"), "ppr"))
+                    new = stored(both.join(settled, "query_id", "left_anti"), "ppr")
+                    teleport = stored(seeded.join(settled, "query_id", "left_anti"), "teleport")
                     n_queries -= n_settled
-            state = new
+                    discard(both), discard(seeded)
+                discard(settled)
+            if table is not None:
+                discard(table)
+            state = table = new
         for part in finished:
             state = state.unionByName(part)
-        return top_k(graph, state.where("rank > 0"), k)
+        found = top_k(graph, state.where("rank > 0"), k)
+        for part in [*finished, *([] if table is None else [table])]:
+            discard(part)
+        return found
 
 
 def top_k(graph: Graph, ranks: DataFrame, k: int) -> DataFrame:
@@ -158,6 +165,7 @@ def top_k(graph: Graph, ranks: DataFrame, k: int) -> DataFrame:
     ranks = stored(ranks.select("query_id", "idx", F.col("rank").alias("score")), "ranks")
     best = Window.partitionBy("query_id").orderBy(F.round("score", TIE_DIGITS).desc(), "idx")
     top = stored(ranks.withColumn("rnk", F.row_number().over(best)).where(F.col("rnk") <= k), "top")
+    discard(ranks)
     short = top.groupBy("query_id").count().where(F.col("count") < k).select("query_id")
     # of the k smallest indices, as many as are missing have no score
     slots = short.select("query_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))).alias("id"))

@@ -11,7 +11,10 @@ from arcweave.functions.checks import check_cap, check_direction, check_reserved
 from arcweave.operators.graph import Graph, check_graph
 from arcweave.operators.ids import dense_index
 from arcweave.plans.runtime import recorded
-from arcweave.plans.tables import fresh_path, stored
+from arcweave.plans.tables import fresh_path, remove, stored
+
+#: Segments of a search that are merged at a time.
+MERGE = 8
 
 
 def _sources(graph: Graph, sources) -> DataFrame:
@@ -28,26 +31,44 @@ def _sources(graph: Graph, sources) -> DataFrame:
 
 
 class _Levels:
-    """Levels of a search, one folder each below one path, read back as one table."""
+    """Levels of a search as stored segments below one path, read back as one table.
+
+    MERGE neighbouring segments of a size class become one of the next class, so there are at most MERGE * log(depth)
+    of them and a vertex is written log(depth) times.
+    """
+
+    SCHEMA = "idx bigint, dist bigint, parent bigint"
 
     def __init__(self, graph: Graph, start: DataFrame):
         self.graph, self.path, self.depth, self.reached = graph, fresh_path(graph.spark, "levels"), 0, 0
+        self.segments: list[tuple[int, str]] = []
         self.size = self.add(start.select("idx", F.lit(0).cast("bigint").alias("dist"), F.lit(-1).cast("bigint").alias("parent")))
 
     def add(self, rows: DataFrame) -> int:
         seen = Observation()
-        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.path}/level={self.depth}")
+        self.frontier = f"{self.path}/level={self.depth}"
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(self.frontier)
         size = int(seen.get["n"])
         self.reached += size
+        self.segments.append((0, self.frontier))
+        while len(self.segments) >= MERGE and len({c for c, _ in self.segments[-MERGE:]}) == 1:
+            last = self.segments[-MERGE:]
+            merged = stored(self._table([p for _, p in last]), "levels-merged")
+            self.segments[-MERGE:] = [(last[0][0] + 1, merged.stored_at)]
+            for _, p in last:
+                if p != self.frontier:
+                    remove(self.graph.spark, p)
         return size
 
-    def read(self, level: int | None = None) -> DataFrame:
-        reader = self.graph.spark.read.schema("idx bigint, dist bigint, parent bigint")
-        return reader.parquet(*[f"{self.path}/level={i}" for i in (range(self.depth + 1) if level is None else [level])])
+    def _table(self, paths: list[str]) -> DataFrame:
+        return self.graph.spark.read.schema(self.SCHEMA).parquet(*paths)
+
+    def read(self) -> DataFrame:
+        return self._table([p for _, p in self.segments])
 
     def step(self, direction: str) -> int:
         """Add the next level: unvisited neighbours, each with its smallest parent on the frontier."""
-        frontier = self.read(self.depth).select("idx")
+        frontier = self._table([self.frontier]).select("idx")
         found = self.graph.adjacency(direction).expand(frontier).groupBy(F.col("to").alias("idx")).agg(F.min("at").alias("parent"))
         new = found.join(self.read().select("idx"), "idx", "left_anti")
         self.depth += 1

@@ -36,11 +36,15 @@ def measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, di
     return table, seen.get
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder below spark.checkpoint.dir."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a stored() table that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(df.sparkSession, df.stored_at)
 
 
 class Scratch:

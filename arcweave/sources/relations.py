@@ -19,11 +19,9 @@ def _sortable(number: Column) -> Column:
     return F.lpad(F.hex(number.cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
 
 
-def supplier_part(spark: SparkSession, sf_dir: str, orders_below: int | None = None) -> DataFrame:
-    """Supplier to part with the quantity sold, optionally of the first orders only."""
+def supplier_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier to part with the quantity sold."""
     lines = _read(spark, sf_dir, "lineitem")
-    if orders_below is not None:
-        lines = lines.where(F.col("l_orderkey") < orders_below)
     return lines.groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + PART).alias("dst")).agg(F.sum("l_quantity").alias("weight"))
 
 

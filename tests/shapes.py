@@ -1,4 +1,4 @@
-"""Small graphs of many shapes, and plain Python versions of the operators."""
+"""Small graphs of many families, and plain Python versions of the operators."""
 
 from __future__ import annotations
 
@@ -6,40 +6,72 @@ import random
 from collections import defaultdict, deque
 
 
-def shapes() -> dict[str, tuple[int, list[tuple[int, int]]]]:
-    """name -> (vertices, edges)."""
-    rng = random.Random(11)
+def grid(rows: int, columns: int) -> list[tuple[int, int]]:
+    """Streets to the right and down."""
+    at = lambda r, c: r * columns + c
+    right = [(at(r, c), at(r, c + 1)) for r in range(rows) for c in range(columns - 1)]
+    return right + [(at(r, c), at(r + 1, c)) for r in range(rows - 1) for c in range(columns)]
+
+
+def caterpillar(spine: int, legs: int) -> list[tuple[int, int]]:
+    """A spine whose joints each point at legs of their own."""
+    body = [(i, i + 1) for i in range(spine - 1)]
+    return body + [(i, spine + i * legs + j) for i in range(spine) for j in range(legs)]
+
+
+def bipartite(left: int, right: int, each: int) -> list[tuple[int, int]]:
+    """Every left vertex points at `each` right ones, a fixed stride apart; the right ones point at nothing."""
+    return [(i, left + (i * 5 + j * 3) % right) for i in range(left) for j in range(each)]
+
 
-    def gnp(n, p):
-        return sorted({(i, j) for i in range(n) for j in range(n) if i != j and rng.random() < p} | {(i, (i + 1) % n) for i in range(n)})
+def hubs_of_hubs(fans: int, leaves: int) -> list[tuple[int, int]]:
+    """One vertex points at fans, each fan at leaves, and each leaf back at the first vertex."""
+    out = [(0, 1 + f) for f in range(fans)]
+    for f in range(fans):
+        for x in range(leaves):
+            leaf = 1 + fans + f * leaves + x
+            out += [(1 + f, leaf), (leaf, 0)]
+    return out
 
-    multi = [(rng.randrange(25), rng.randrange(25)) for _ in range(22)]
-    multi += multi[:8] + [(i, i) for i in range(5)]
-    tree = [((i - 1) // 2, i) for i in range(1, 15)] + [(15, i) for i in range(16, 30)]
-    sinks = [(i, rng.randrange(100)) for i in range(70) for _ in range(rng.randint(1, 5))]
-    classes = [(0, 400 + i) for i in range(33)] + [(1, 440 + i) for i in range(32)] + [(2, 480 + i) for i in range(31)] + [(3, 520)] + [(i, 5) for i in range(10, 240)] * 5
+
+def wheel(rim: int) -> list[tuple[int, int]]:
+    return [(1 + i, 1 + (i + 1) % rim) for i in range(rim)] + [(0, 1 + i) for i in range(0, rim, 2)] + [(1 + i, 0) for i in range(1, rim, 2)]
+
+
+def braid(strands: int, length: int, rng: random.Random) -> list[tuple[int, int]]:
+    """Layers of vertices with random threads to the next layer, some of them doubled, and a loop in each layer."""
+    out = []
+    for layer in range(length - 1):
+        threads = [(layer * strands + s, (layer + 1) * strands + rng.randrange(strands)) for s in range(strands)]
+        out += threads + threads[: layer % 3] + [(layer * strands, layer * strands)]
+    return out
+
+
+def shapes() -> dict[str, tuple[int, list[tuple[int, int]]]]:
+    """name -> (vertices, edges)."""
+    rng = random.Random(77)
+    archipelago = [e for k in range(6) for e in [(7 * k + a, 7 * k + (a * 3 + 1) % 5) for a in range(5)]]
     return {
-        "star": (41, [(0, i) for i in range(1, 41)]),
-        "path": (50, [(i, i + 1) for i in range(49)]),
-        "ring": (48, [(i, (i + 1) % 48) for i in range(48)]),
-        "clique": (18, [(i, j) for i in range(18) for j in range(18) if i != j]),
-        "singleton": (1, []),
-        "forest": (30, tree),
-        "random": (60, gnp(60, 0.06)),
-        "multi": (25, multi),
-        "sinks": (100, sinks),
-        "isolated": (60, [(rng.randrange(40), rng.randrange(40)) for _ in range(80)]),
-        "classes": (530, classes),
+        "grid": (54, grid(6, 9)),
+        "caterpillar": (12 + 12 * 3, caterpillar(12, 3)),
+        "bipartite": (33, bipartite(20, 13, 4)),
+        "hubs": (1 + 8 + 8 * 12, hubs_of_hubs(8, 12)),
+        "wheel": (24, wheel(23)),
+        "braid": (9 * 8, braid(9, 8, rng)),
+        "archipelago": (44, archipelago),  # islands of 5, and vertices without edges between them
+        "lone": (2, []),
+        "loops only": (3, [(0, 0), (2, 2), (2, 2)]),
+        "scatter": (90, [(rng.randrange(90), min(rng.randrange(90), rng.randrange(90))) for _ in range(260)]),
     }
 
 
 def union() -> tuple[int, list[tuple[int, int, float]]]:
-    """All shapes side by side, with weights; two of each ten vertices' edges have weight 0 in one of them."""
-    rng, base, edges = random.Random(3), 0, []
+    """All shapes side by side, with weights; all edges from some of the vertices have weight 0."""
+    rng, base, edges = random.Random(19), 0, []
     for n, es in shapes().values():
-        edges += [(base + a, base + b, rng.randint(7, 128) / 64) for a, b in es]
+        edges += [(base + a, base + b, rng.randint(3, 96) / 32) for a, b in es]
         base += n
-    zero = {rng.randrange(base) for _ in range(20)}
+    zero = set(rng.sample(range(base), 25))
     return base, [(a, b, 0.0 if a in zero else w) for a, b, w in edges]
 
 
