@@ -1,8 +1,10 @@
-"""Tokenizers inside tasks: one per worker process, with a bounded memo of encoded words."""
+"""Tokenizers inside tasks: one per worker process, with a bounded memo of encoded words where words are apart."""
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from array import array
 
 import numpy as np
@@ -14,13 +16,14 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Words in each of the memo's two generations.
 MEMO_WORDS = 250_000
 BREAKS = (" ", "\n")
-#: Letters beyond it are left to the tokenizer's own pre-tokeniser, whose Unicode tables may differ from Python's.
-LAST_LETTER = "\u024f"
+#: A word whose pre-tokens are plain: a blank or line feed, letters, full stops and commas. Letters beyond U+024F are
+#: left to the tokenizer's own pre-tokeniser, whose Unicode tables may differ from Python's.
+_PLAIN = re.compile("([ \n]?)([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([.,]*)")
 #: Texts with white space that is not a single blank or line feed between two words are encoded in one call.
 _UNEVEN = (
     r"[ \n][ \n]|\A[ \n]|[ \n]\z|[\t\x{0B}\x{0C}\r\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 )
-_LOADED: dict[str, WordEncoder] = {}
+_LOADED: dict[str, WordEncoder | TextEncoder] = {}
 
 
 def byte_spelling() -> dict[int, str]:
@@ -30,20 +33,50 @@ def byte_spelling() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def id_type(size: int) -> np.dtype:
+    return np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+
+
+def is_byte_level(definition: dict) -> bool:
+    """Whether a tokenizer file is of the kind that WordEncoder's cuts are right for: BPE over bytes, words parted by
+    the usual pattern, texts neither normalised nor changed around them, and added tokens without white space."""
+    before, model = definition.get("pre_tokenizer") or {}, definition.get("model") or {}
+    plain_model = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    plain_cut = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    whole = all(definition.get(k) is None for k in ("normalizer", "truncation", "padding"))
+    tokens = definition.get("added_tokens") or []
+    plain_tokens = all(not re.search(r"\s", t["content"]) and not any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in tokens)
+    return plain_model and plain_cut and whole and plain_tokens
+
+
+class TextEncoder:
+    """Encodes texts one by one with a function from text to ids below `size`."""
+
+    def __init__(self, whole, size: int):
+        self.whole, self.width = whole, id_type(size)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids one text after the other, number of ids of each text) of an array without nulls."""
+        found = [self.whole(t) for t in texts.to_pylist()]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for ids in found for i in ids), self.width, int(counts.sum())), counts
+
+
 class WordEncoder:
     """Encodes whole texts to ids; equal to Tokenizer.encode(text, add_special_tokens=False).ids for byte-level BPE.
 
-    Byte-level pre-tokenisers of the kind used here have a boundary before white space that follows a word, and between
-    a letter or number and a full stop or comma. So evenly spaced texts are cut into words, the distinct words of a
-    batch are encoded unless the memo has them, and ids are gathered by word number.
+    Byte-level pre-tokenisers of the kind that is_byte_level admits have a boundary before white space that follows a
+    word, and between a letter or number and a full stop or comma. So evenly spaced texts are cut into words, the
+    distinct words of a batch are encoded unless the memo has them, and ids are gathered by word number.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
+        self.width = id_type(self.tokenizer.get_vocab_size(with_added_tokens=True))
         self.model, self.marks, self.spelling = self.tokenizer.model, {}, byte_spelling()
+        self.blank = self.spelling[32]
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -51,18 +84,16 @@ class WordEncoder:
         return array(self.width.char, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _letters(self, word: str) -> bytes | None:
-        """Ids of a word whose pre-tokens are plain: a blank or line feed, letters, full stops and commas; else None."""
-        stem = word.rstrip(".,")
-        body = stem[1:] if stem[:1] in BREAKS else stem
-        if not body.isalpha() or max(body) > LAST_LETTER:
+        """Ids of a plain word; None of any other."""
+        parts = _PLAIN.fullmatch(word)
+        if parts is None:
             return None
-        begin = b""
-        if stem[0] == "\n":
-            begin, stem = self._mark("\n"), body
-        spelled = stem.encode().decode("latin-1").translate(self.spelling)
-        ids = array(self.width.char, [t.id for t in self.model.tokenize(spelled)]).tobytes()
-        tail = word[len(word.rstrip(".,")) :]
-        return begin + ids + self._mark(tail) if tail else begin + ids
+        lead, body, tail = parts.groups()
+        spelled = body if body.isascii() else body.encode().decode("latin-1").translate(self.spelling)
+        ids = array(self.width.char, [t.id for t in self.model.tokenize(self.blank + spelled if lead == " " else spelled)]).tobytes()
+        if lead == "\n":
+            ids = self._mark("\n") + ids
+        return ids + self._mark(tail) if tail else ids
 
     def _mark(self, text: str) -> bytes:
         if text not in self.marks:
@@ -139,7 +170,34 @@ class WordEncoder:
         return values[at], np.diff(ends)
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> WordEncoder | TextEncoder:
+    """The encoder of a tokenizer file: a definition of the tokenizers library (.json), ranks of byte pairs (.tiktoken)
+    or a sentencepiece model (.model). Files of the tokenizers library that is_byte_level admits are encoded by words."""
     if path not in _LOADED:
-        _LOADED[path] = WordEncoder(path)
+        if path.endswith(".tiktoken"):
+            import base64
+
+            import public_tokenizers
+            import tiktoken
+
+            with open(path, "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            ranked = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            _LOADED[path] = TextEncoder(ranked.encode_ordinary, max(ranks.values()) + 1)
+        elif path.endswith(".model"):
+            import sentencepiece
+
+            pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+            _LOADED[path] = TextEncoder(pieces.encode, pieces.get_piece_size())
+        else:
+            with open(path, encoding="utf-8") as definition:
+                plain = is_byte_level(json.load(definition))
+            _LOADED[path] = WordEncoder(path) if plain else _by_text(path)
     return _LOADED[path]
+
+
+def _by_text(path: str) -> TextEncoder:
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return TextEncoder(lambda text: tokenizer.encode(text, add_special_tokens=False).ids, tokenizer.get_vocab_size(with_added_tokens=True))
