@@ -26,23 +26,57 @@ def brute_contamination(text, items, window=10):
     return len(words), len(hit), len(ids), hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("broadcast_words", [10**9, 0])
-def test_contamination_by_either_way(spark, docs_of, broadcast_words):
+@pytest.mark.parametrize("chunk_words", [10**9, 30])
+def test_contamination_in_one_chunk_and_many(spark, docs_of, chunk_words):
     rng = random.Random(3)
     w = [f"W{i}é" for i in range(30)]
     items = [(i, " ".join(rng.choice(w) for _ in range(rng.choice([1, 3, 9, 10, 14])))) for i in range(8)] + [(8, None), (9, " .. "), (0, "again W1é"), (None, "W2é")]
     texts = [None, "", "!!"] + [", ".join(rng.choice(w) for _ in range(40)) for _ in range(6)] + ["x " + t.upper() + "-y " + t for _, t in items[:8]]
     docs = docs_of([(i, t, "s") for i, t in enumerate(texts)])
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    found = {r.doc_id: r for r in decontaminate.contamination(docs, bench, with_text=True, broadcast_words=broadcast_words).collect()}
+    found = {r.doc_id: r for r in decontaminate.contamination(docs, bench, with_text=True, chunk_words=chunk_words).collect()}
     for i, t in enumerate(texts):
         r = found[i]
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute_contamination(t, [x for x in items if x[0] is not None]), t
         assert (r.clean_text is None) == (t is None)
         if t and not r.n_hit:
             assert r.clean_text == t
-    assert decontaminate.contamination(docs_of([]), bench, broadcast_words=broadcast_words).count() == 0
-    assert {r.n_hit for r in decontaminate.contamination(docs, bench.limit(0), broadcast_words=broadcast_words).collect()} == {0}
+    assert decontaminate.contamination(docs_of([]), bench, chunk_words=chunk_words).count() == 0
+    assert {r.n_hit for r in decontaminate.contamination(docs, bench.limit(0), chunk_words=chunk_words).collect()} == {0}
+
+
+def test_contamination_columns_that_clash_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 50)
+    rng = random.Random(8)
+    names = ["a.b", "hits", "found", "held", "row_id", "at", "text_bytes", "c0", "n_hit"]
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(400))
+    bench = spark.createDataFrame([(1, passage), (2, passage), (3, "alone")], "item_id bigint, text string")
+    texts = ["x " * 200_000 + passage + " y" * 200_000, "Alone!", None, " ".join(passage.split()[195:205]), " ".join(passage.split()[196:205])]
+    docs = spark.createDataFrame([(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)], "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for chunk_words in (10**6, 100):
+        found = decontaminate.contamination(docs, bench, chunk_words=chunk_words)
+        assert found.columns == ["doc_id", *names[:-1], "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+        rows = {r.doc_id: tuple(r) for r in found.collect()}
+        assert all(rows[i][1 : len(names)] == tuple(f"{n}{i}" for n in names[:-1]) for i in range(5))
+        assert [rows[i][len(names) : len(names) + 3] for i in range(5)] == [(400_400, 400, 2), (1, 1, 1), (0, 0, 0), (10, 10, 2), (9, 0, 0)]
+
+
+def test_window_set_memory_and_chunk_sizes(spark):
+    rng = random.Random(9)
+    pieces = [(i, 10, b" ".join(b"%032d" % rng.randrange(10**9) for _ in range(200))) for i in range(200)]
+    windows = decontaminate.WindowSet(pieces)
+    assert windows.nbytes <= decontaminate.CHUNK_BYTES * 200 * 200
+    bench = spark.createDataFrame([(i, "word " * (i * 37 % 900)) for i in range(60)], "item_id bigint, text string")
+    chunked, n = decontaminate.window_chunks(bench, 10, 2_000)
+    sizes = chunked.groupBy("chunk").agg({"n_words": "sum"}).collect()
+    assert len(sizes) == n > 5 and max(r[1] for r in sizes) <= 2_000 + 900
+
+
+def test_equal_hashes_are_told_apart_by_words(monkeypatch):
+    """Windows whose words all hash alike."""
+    monkeypatch.setattr(decontaminate._WordHashes, "__missing__", lambda self, word: 7)
+    windows = decontaminate.WindowSet([(1, 2, b"a b c"), (2, 2, b"b c")])
+    assert list(windows.hits([[b"b", b"c"], [b"c", b"a"], [b"a", b"b"]], decontaminate._WordHashes())) == [(0, 0, 2, {1, 2}), (2, 0, 2, {1})]
 
 
 def test_cleaned_text_loses_the_hit_words():
@@ -181,7 +215,7 @@ def test_op4_equals_plain_rules_over_all_pages(spark, sf_dir):
 
 def test_chat_round_trip(spark):
     rows = [(1, 0, "system", None), (1, 1, "user", "</s> <|end|> <\\|x<|turn|>"), (1, 2, "assistant", "a<|text|>b <|endoftext|>\n"), (1, 3, "assistant", " é😀"), (1, 4, "user", "x"),
-            (2, None, None, "t"), (2, 0, "assistant", ""), (None, 0, "assistant", "y"), (3, 0, "assistant", "z"), (3, 0, "assistant", "z")]
+            (2, None, None, "t"), (2, 0, "assistant", ""), (None, 0, "assistant", "y"), (3, 0, "assistant", "z"), (3, 0, "assistant", "z"), (4, 0, "user", "long é " * 300_000)]
     frame = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id bigint, turn bigint, role string, text string, formatted string")
     out = chat.format_chats(frame)
     found = {r.conv_id: r for r in chat.chat_digests(out).collect()}
@@ -191,10 +225,37 @@ def test_chat_round_trip(spark):
         loss = "".join(x for _, o, x in turns if o == "assistant")
         assert (r.n_turns, r.turns_sha256) == (len(turns), hashlib.sha256(told.encode()).hexdigest())
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    assert len(found) == 4
+    assert len(found) == 5
     assert chat.format_chats(frame.limit(0)).count() == 0
 
 
+def test_rows_without_conversation_stand_alone(spark):
+    frame = spark.createDataFrame([(None, i, "assistant", f"t{i}") for i in range(50)] + [(1, 0, "user", "x")], "conv_id bigint, turn bigint, role string, text string")
+    found = chat.chat_digests(chat.format_chats(frame)).collect()
+    assert sorted((r.n_turns, r.loss_chars > 0, r.conv_id or 0) for r in found) == [(1, False, 1)] + [(1, True, 0)] * 50
+    assert len({r.loss_sha256 for r in found}) == 51
+
+
+def test_chat_encoding_equals_the_tokenizer_with_special_marks():
+    import public_tokenizers
+    from tokenizers import AddedToken, Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, own = Tokenizer.from_file(path), chat.ChatTokenizer(path)
+    plain.add_special_tokens([AddedToken(x, special=True, normalized=False) for x in (chat.TURN, chat.TEXT, chat.END)])
+    rng = random.Random(6)
+    bits = list("ab1.,' \n_)é-$中́　 \t|<\\") + ["<|endoftext|>", "word ", " text", chat.TURN]
+    talks = [[(rng.choice(["user", "assistant", "", "é"]), "".join(rng.choice(bits) for _ in range(rng.randint(0, 20)))) for _ in range(rng.randint(0, 4))] for _ in range(300)]
+    rendered = [chat.render(t, "assistant")[0] for t in talks]
+    ids, starts, ends = own.encode(rendered)
+    expected = [plain.encode(t, add_special_tokens=False).ids for t in rendered]
+    assert ids.tolist() == [i for e in expected for i in e]
+    data = "".join(rendered).encode()
+    assert all(data[a:b] == own.bytes[i] for i, a, b in zip(ids.tolist(), starts.tolist(), ends.tolist(), strict=True))
+    with pytest.raises(ValueError):
+        chat.ChatTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+
+
 @pytest.mark.parametrize("text", ["<|", "<\\|", "<\\\\|", "a<|b|>", "<<|", "<\\", "|>", ""])
 def test_escape_is_reversible(text):
     assert "<|" not in chat.escape(text) and chat.unescape(chat.escape(text)) == text
@@ -288,6 +349,9 @@ def test_chain_does_not_depend_on_which_copy_comes_first(spark, docs_of):
     known = spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(40)], "doc_id bigint, low_quality int, toxic int")
     one, two = toxicity.fit_chain(docs_of(rows), known), toxicity.fit_chain(docs_of(rows[::-1]), known)
     assert all((a.weights == b.weights).all() and a.bias == b.bias for a, b in zip(one.models, two.models, strict=True))
+    clash = docs_of(rows).selectExpr("doc_id", "text", "1 AS `a.b`", "2 AS p_toxic", "3 AS c0")
+    assert toxicity.toxicity(clash, one).columns == ["doc_id", "text", "a.b", "c0", "p_low_quality", "p_toxic", "toxic"]
+    assert {(r["a.b"], r.c0) for r in toxicity.toxicity(clash, one, keep_text=False).collect()} == {(1, 3)}
     few = toxicity.fit_chain(docs_of(rows), known, sample_features=10)
     assert len(few.models) == 2
 
