@@ -2,18 +2,22 @@
 
 A document is the set of its distinct word shingles (64-bit hashes; Jaccard similarities are computed on whole sets).
 
-1. Documents with equal sets are one node, so groups of exact copies collapse by a partial aggregate.
+1. Documents with equal sets - known by a 128-bit digest - are one node, so groups of exact copies collapse by a partial
+   aggregate. Nodes are numbered when they are written, so no two share a number.
 2. Two collections of `m` short MinHash tuples (2 hashes each) give m * m tables keyed by a pair of tuples, one from
    each: 4 m hash functions where plain banding of the same selectivity needs 4 m * m. A pair at the threshold t misses
    all tables with probability below 2 (1 - t^2)^m, and m is chosen to make that at most MISS.
 3. Table keys are combined inside a batch first - one row per key goes on, the rest become edges to it - and then meet
-   by key, where every node points to the bucket's smallest node. A bucket is never collected, and a hot one is spread.
-4. Components of those edges are families: nodes that could be linked. Families are verified on whole sets, exactly:
-   small ones many to a task; large ones in blocks of at most BLOCK nodes by set size (sizes further apart than the
-   threshold allows never meet), first each block with itself and with one pivot block, and then, after what is linked
-   has been contracted, the block pairs that are not already inside one component. A task returns a spanning forest of
-   the links it finds, not the pairs. The work on a large family that holds many unlinked texts is the square of their
-   number in blocks, spread over tasks by block pair; nothing is capped.
+   by key, where every node points to the bucket's smallest node. So a key that a third of all documents have is a row
+   per batch of them, and a bucket is read as a stream, never collected.
+4. Components of those edges are families: nodes that could be linked. Loose hits chain into large families, so a family
+   of more than a block is split again by finer tables (4 hashes a tuple, of their own m), which unlike texts rarely
+   share. Families are then verified on whole sets, exactly: small ones many to a task; large ones in blocks of at most
+   BLOCK nodes by set size (sizes further apart than the threshold allows never meet), first each block with itself and
+   with one pivot block, and then, after what is linked has been contracted, the block pairs that are not already inside
+   one component. A task returns a spanning forest of the links it finds, not the pairs. The work on a family that stays
+   large through the finer tables and still holds many unlinked texts is the square of their number in blocks, spread
+   over tasks by block pair; nothing is capped.
 5. Components of the verified links are the result.
 """
 
@@ -29,12 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm.store import Scratch, shuffle_partitions, table
+from arcweave.llm.store import Scratch, named, shuffle_partitions, table
 from arcweave.operators.contraction import component_labels
 
 BLOCK = 256
 BLOCK_SHINGLES = 1_000_000
 MISS = 1e-5
+#: Hashes of a tuple: for all documents, and for those of large families.
+COARSE, FINE = 2, 4
+#: Table keys that a task holds at a time.
+KEYS = 1_500_000
 MEMO_WORDS = 1_000_000
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA24BAED4963EE407)
 
@@ -66,41 +74,61 @@ def shingle_set(text: bytes | None, k: int, memo: dict) -> np.ndarray:
     return np.unique(_mixed(acc + np.uint64(width)))
 
 
-def collection_size(percent: int) -> int:
-    """m, so that a pair at the threshold escapes all tables with probability MISS at most."""
-    return math.ceil(math.log(MISS / 2) / math.log(1 - (percent / 100) ** 2))
+def collection_size(percent: int, width: int = COARSE) -> int:
+    """m, so that a pair at the threshold escapes all tables of tuples of `width` with probability MISS at most."""
+    return math.ceil(math.log(MISS / 2) / math.log(1 - (percent / 100) ** width))
 
 
-def _multipliers(m: int) -> np.ndarray:
-    return np.random.default_rng(20_240_611).integers(1, 2**63, size=4 * m, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def _multipliers(m: int, width: int) -> np.ndarray:
+    return np.random.default_rng(20_240_611 + width).integers(1, 2**63, size=2 * width * m, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _tuples(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+def _tuples(shingles: np.ndarray, multipliers: np.ndarray, width: int) -> np.ndarray:
+    """2 m tuples, each of `width` MinHash values."""
     least = np.full(len(multipliers), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 8192):
         np.minimum(least, (shingles[at : at + 8192, None] * multipliers).min(0), out=least)
-    return _mixed(least[0::2] * _P1 + least[1::2])
+    out = least[0::width]
+    for j in range(1, width):
+        out = out * _P1 + least[j::width]
+    return _mixed(out)
+
+
+def set_digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+_SIGNED = "doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, tuples binary"
 
 
 def _signer(k: int, m: int):
+    """(doc_id, text_hash, text) to signed documents; digest and tuples are null without words."""
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, multipliers = _WordHashes(), _multipliers(m)
+        memo, multipliers = _WordHashes(), _multipliers(m, COARSE)
         for batch in batches:
-            sizes, nodes, checks, tuples = [], [], [], []
+            sizes, digests, tuples = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, k, memo)
                 sizes.append(len(s))
-                if len(s):
-                    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    nodes.append(int.from_bytes(digest[:8], "little", signed=True))
-                    checks.append(int.from_bytes(digest[8:], "little", signed=True))
-                    tuples.append(_tuples(s, multipliers).tobytes())
-                else:
-                    nodes.append(None), checks.append(None), tuples.append(None)
+                digests.append(set_digest(s) if len(s) else None)
+                tuples.append(_tuples(s, multipliers, COARSE).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(tuples, pa.binary())],
-                ["doc_id", "n_shingles", "node", "check", "tuples"],
-            )
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(tuples, pa.binary())],
+                [x.split()[0] for x in _SIGNED.split(", ")],
+            )
+
+    return sign
+
+
+def _fine_signer(m: int):
+    """(node, shingles) to (node, tuples)."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        multipliers = _multipliers(m, FINE)
+        for batch in batches:
+            tuples = [_tuples(np.frombuffer(x, np.uint64), multipliers, FINE).tobytes() for x in batch.column("shingles").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(tuples, pa.binary())], ["node", "tuples"])
 
     return sign
 
@@ -108,9 +136,8 @@ def _signer(k: int, m: int):
 def _table_keys(m: int):
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = (np.arange(m * m, dtype=np.uint64) * _P2).reshape(m, m)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        step = max(1, KEYS // (m * m))
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             node = batch.column("node").to_numpy(zero_copy_only=False).astype(np.int64)
             t = np.frombuffer(b"".join(batch.column("tuples").to_pylist()), np.uint64).reshape(-1, 2, m)
             key = _mixed(t[:, 0, :, None] * _P3 + _mixed(t[:, 1, None, :] + salt)).reshape(len(node), m * m)
@@ -135,17 +162,24 @@ def _table_keys(m: int):
     return keys
 
 
+def _candidates(signed: DataFrame, m: int) -> DataFrame:
+    """(src, dst): each node of `signed` (node, tuples) and the smallest one that it shares a table key with."""
+    keyed = signed.select("node", "tuples").mapInArrow(_table_keys(m), "key bigint, node bigint, head bigint")
+    smallest = F.expr("first(node) OVER (PARTITION BY key ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    return keyed.select(F.col("node").alias("src"), F.coalesce("head", smallest).alias("dst")).where("src <> dst").distinct()
+
+
 def _set_reader(k: int):
+    """(node, digest, text) to (node, shingles) of the texts whose set has this digest."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _WordHashes()
         for batch in batches:
             nodes, sets = [], []
-            for text in batch.column("text").to_pylist():
+            for node, digest, text in zip(*[batch.column(c).to_pylist() for c in ("node", "digest", "text")], strict=True):
                 s = shingle_set(text, k, memo)
-                if len(s):
-                    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    nodes.append(int.from_bytes(digest[:8], "little", signed=True))
-                    sets.append(s.tobytes())
+                if set_digest(s) == digest:
+                    nodes.append(node), sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     return read
@@ -262,6 +296,24 @@ def _verified_blocks(members: DataFrame, sets: DataFrame, percent: int, pivots_o
     return stored(_verified(rows.join(pairs, "block").withColumn("part", F.lit(0)), percent), "near-links")
 
 
+def set_classes(worded: DataFrame) -> DataFrame:
+    """A row per digest of signed documents: node, its number; first_id; known_by, one of its rows; n_shingles, tuples."""
+    found = worded.groupBy("digest").agg(
+        F.min("doc_id").alias("first_id"),
+        F.min(F.struct("doc_id", "text_hash")).alias("known_by"),
+        F.min("n_shingles").alias("n_shingles"),
+        F.first("tuples").alias("tuples"),
+    )
+    return found.withColumn("node", F.monotonically_increasing_id())
+
+
+def _sized(members: DataFrame, stored: Scratch) -> DataFrame:
+    """members (node, family, n_shingles) with family_size and the family's weight in shingles."""
+    members = stored(members, "near-members")
+    counted = stored(members.groupBy("family").agg(F.count(F.lit(1)).alias("family_size"), F.sum("n_shingles").alias("weight")), "near-counted")
+    return stored(members.join(counted, "family"), "near-sized")
+
+
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
 
@@ -272,37 +324,30 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     that repeat the kept doc_id are all kept. An empty table gives no rows. Other columns of `docs` are not read.
     """
     spark, m, stored = docs.sparkSession, collection_size(percent), Scratch()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    signed = stored(
-        texts.mapInArrow(_signer(k, m), "doc_id bigint, n_shingles bigint, node bigint, check bigint, tuples binary"), "near-signed"
-    )
-    worded = signed.where("node IS NOT NULL")
-    classes = stored(
-        worded.groupBy("node").agg(
-            F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n_shingles"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.first("tuples").alias("tuples")
-        ),
-        "near-classes",
-    )
-    if not classes.where("c0 <> c1").isEmpty():
-        raise ArithmeticError("two different shingle sets share a 64-bit id; change the digest's key")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    signed = stored(texts.mapInArrow(_signer(k, m), _SIGNED), "near-signed")
+    worded = signed.where("digest IS NOT NULL")
+    classes = stored(set_classes(worded), "near-classes")
 
-    keyed = classes.select("node", "tuples").mapInArrow(_table_keys(m), "key bigint, node bigint, head bigint")
-    smallest = F.expr("first(node) OVER (PARTITION BY key ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
-    edges = keyed.select(F.col("node").alias("src"), F.coalesce("head", smallest).alias("dst")).where("src <> dst").distinct()
-    families, _ = component_labels(edges, stored)
-    members = stored(families.withColumnRenamed("label", "family").join(classes.select("node", "first_id", "n_shingles"), "node"), "near-families")
+    families, _ = component_labels(_candidates(classes, m), stored)
+    members = stored(families.withColumnRenamed("label", "family").join(classes.select("node", "digest", "known_by", "n_shingles"), "node"), "near-families")
 
-    wanted = members.select(F.col("first_id").alias("doc_id")).distinct()
-    wanted = wanted.hint("merge")  # as many ids as the corpus has near copies: never broadcast
-    theirs = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
+    # as many rows as the corpus has near copies: never broadcast
+    wanted = members.select("node", "digest", F.col("known_by.doc_id").alias("by_id"), F.col("known_by.text_hash").alias("by_hash")).hint("merge")
+    theirs = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["by_id"]) & (texts["text_hash"] == wanted["by_hash"])).select("node", "digest", "text")
     sets = theirs.mapInArrow(_set_reader(k), "node bigint, shingles binary")
-    sets = stored(sets.dropDuplicates(["node"]).join(members.select("node"), "node", "left_semi"), "near-sets", "none")
+    sets = stored(sets.dropDuplicates(["node"]), "near-sets", "none")
 
-    counted = stored(members.groupBy("family").agg(F.count(F.lit(1)).alias("family_size"), F.sum("n_shingles").alias("weight")), "near-counted")
+    sized = _sized(members.select("node", "family", "n_shingles"), stored)
     small_one = (F.col("family_size") <= BLOCK) & (F.col("weight") <= BLOCK_SHINGLES)
-    weight = counted.where(small_one).agg(F.sum("weight")).first()[0] or 0
+    if not sized.where(~small_one).isEmpty():
+        fine = collection_size(percent, FINE)
+        refined = sets.join(sized.where(~small_one).select("node").hint("merge"), "node", "left_semi").mapInArrow(_fine_signer(fine), "node bigint, tuples binary")
+        parts, _ = component_labels(_candidates(refined, fine), stored)
+        parts = parts.withColumnRenamed("label", "family").join(members.select("node", "n_shingles"), "node")
+        sized = _sized(parts.unionByName(sized.where(small_one).select("node", "family", "n_shingles")), stored)
+    weight = sized.where(small_one).agg(F.sum("n_shingles")).first()[0] or 0
     bins = max(2 * shuffle_partitions(spark), math.ceil(weight / BLOCK_SHINGLES))
-    sized = stored(members.join(counted, "family"), "near-sized")
     small = sized.where(small_one).select("node", F.col("family").alias("part"), F.pmod(F.xxhash64("family"), F.lit(bins)).alias("task"), F.lit(0).alias("side"))
     links = stored(_verified(stored(small, "near-small").join(sets, "node"), percent), "near-links")
 
@@ -322,12 +367,12 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     named = stored(joined.join(classes.select("node", "first_id"), "node"), "near-joined")
     ids = stored(named.groupBy("label").agg(F.min("first_id").alias("component_id")), "near-ids")
     linked = stored(named.join(ids, "label").select("node", "component_id"), "near-linked")
-    every = classes.select("node", "first_id").join(linked, "node", "left")
-    every = stored(every.select("node", F.coalesce("component_id", "first_id").alias("component_id")), "near-every")
+    every = classes.select("node", "digest", "first_id").join(linked, "node", "left")
+    every = stored(every.select("digest", F.coalesce("component_id", "first_id").alias("component_id")), "near-every")
     stored.discard_but(signed, every)
-    result = worded.select("doc_id", "n_shingles", "node").join(every, "node").select("doc_id", "n_shingles", "component_id")
+    result = worded.select("doc_id", "n_shingles", "digest").join(every, "digest").select("doc_id", "n_shingles", "component_id")
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("n_shingles") == 0)
-    wordless = signed.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    wordless = signed.where("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return result.unionByName(wordless).withColumn("kept", kept)
 
 
@@ -338,9 +383,10 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     that repeat a doc_id stay or go together.
     """
     surrogate = -1 - F.pmod(F.xxhash64("text"), F.lit(2**62))
-    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), surrogate))
-    kept = near_components(rows.select(F.col("__id").alias("doc_id"), "text"), k, percent).where("kept")
-    return rows.join(kept.select(F.col("doc_id").alias("__id")), "__id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = F.coalesce(F.col("doc_id").cast("bigint"), surrogate)
+    kept = near_components(docs.select(key.alias("doc_id"), "text"), k, percent).where("kept").select("doc_id")
+    rows = docs.select(F.struct(*[named(c).alias(c) for c in docs.columns]).alias("row"), key.alias("doc_id"))
+    return rows.join(kept, "doc_id", "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,6 +128,44 @@ def test_near_components_without_ids_or_rows(spark, docs_of):
     assert {8, 10} <= {r.doc_id for r in kept.collect()} and kept.count() == 3
 
 
+def test_sets_that_share_half_a_digest_stay_apart(spark):
+    """Nodes are the digests' whole 128 bits, and their numbers never clash."""
+    same = b"8 bytes!"
+    rows = [(i, i, 3, same + bytes([i % 4]) * 8, b"t") for i in range(40)] + [(99, 99, 3, bytes([7]) * 8 + same, b"t")]
+    signed = spark.createDataFrame(rows, near_dedup._SIGNED).repartition(8)
+    found = near_dedup.set_classes(signed).collect()
+    assert len(found) == 5 and len({r.node for r in found}) == 5
+    assert {r.first_id for r in found} == {0, 1, 2, 3, 99}
+
+
+def test_near_components_of_repeated_ids_and_long_texts(spark, docs_of):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    near = " ".join(f"w{i}" for i in range(1_000, 31_000))
+    far = " ".join(f"v{i}" for i in range(30_000))
+    rows = [(1, long, "s"), (1, far, "s"), (1, "short text of five words", "s"), (2, near, "s"), (3, far + " end", "s"), (None, near, "s"), (None, far, "s")]
+    found = rows_of(near_dedup.near_components(docs_of(rows)), ["component_id", "n_shingles"])
+    sizes = {len(set(zip(*[t.split()[j:] for j in range(5)], strict=False))) for _, t, _ in rows}
+    assert {n for _, n in found} == sizes and {c for c, _ in found} == {1}
+    clash = docs_of(rows).selectExpr("doc_id", "text", "1 AS row", "2 AS `a.b`", "3 AS __id")
+    kept = near_dedup.keep_one(clash)
+    assert kept.columns == clash.columns and {tuple(r)[2:] for r in kept.collect()} == {(1, 2, 3)}
+    assert [r.doc_id for r in kept.collect()].count(1) == 3
+
+
+def test_loose_chains_are_split_before_blocks_meet(spark, docs_of, monkeypatch):
+    """Neighbours of a chain share half their shingles, so coarse tables join them all; no two are linked."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = random.Random(12)
+    words = [f"u{rng.randrange(10**9)}" for _ in range(30 * 500 + 100)]
+    texts = [" ".join(words[30 * i : 30 * i + 100]) for i in range(500)]
+    sizes, blocks, sized, blocked = [], [], near_dedup._sized, near_dedup._verified_blocks
+    monkeypatch.setattr(near_dedup, "_sized", lambda m, s: (sizes.append(m.count()), sized(m, s))[1])
+    monkeypatch.setattr(near_dedup, "_verified_blocks", lambda members, *a, **k: (blocks.append(members.count()), blocked(members, *a, **k))[1])
+    found = near_dedup.near_components(docs_of([(i, t, "s") for i, t in enumerate(texts + texts[:40])]), k=1)
+    assert [r.component_id for r in found.orderBy("doc_id").collect()] == [*range(500), *range(40)]
+    assert len(sizes) == 2 and max(blocks, default=0) < 100
+
+
 def test_line_dedup_of_nulls_and_edges(spark, docs_of):
     rows = [(i, f"own {i}\n shared \n\nshared", f"s{i}") for i in range(4)]
     rows += [(10, None, None), (11, "", None), (12, "shared", None), (13, "shared\nshared", "s0"), (14, "x\nx", None)]
