@@ -10,14 +10,15 @@ A document is the set of its distinct word shingles (64-bit hashes; Jaccard simi
 3. Table keys are combined inside a batch first - one row per key goes on, the rest become edges to it - and then meet
    by key, where every node points to the bucket's smallest node. So a key that a third of all documents have is a row
    per batch of them, and a bucket is read as a stream, never collected.
-4. Components of those edges are families: nodes that could be linked. Loose hits chain into large families, so a family
-   of more than a block is split again by finer tables (4 hashes a tuple, of their own m), which unlike texts rarely
-   share. Families are then verified on whole sets, exactly: small ones many to a task; large ones in blocks of at most
-   BLOCK nodes by set size (sizes further apart than the threshold allows never meet), first each block with itself and
-   with one pivot block, and then, after what is linked has been contracted, the block pairs that are not already inside
-   one component. A task returns a spanning forest of the links it finds, not the pairs. The work on a family that stays
-   large through the finer tables and still holds many unlinked texts is the square of their number in blocks, spread
-   over tasks by block pair; nothing is capped.
+4. Components of those edges are families: nodes that could be linked. They are verified on whole sets, exactly: small
+   ones many to a task; large ones in blocks of at most BLOCK nodes by set size (sizes further apart than the threshold
+   allows never meet), first each block with itself and with one pivot block. What is linked is contracted. Loose hits
+   chain into large families, so what is left of one is split by finer tables (4 hashes a tuple, of their own m), whose
+   keys unlike texts rarely share and which join contracted parts only: a part that meets no other is done. What still
+   meets is verified again, small groups many to a task, large ones by all block pairs that are not already inside one
+   part. A task returns a spanning forest of the links it finds, not the pairs. The work on a group that stays large
+   through the finer tables and still holds many unlinked texts is the square of their number in blocks, spread over
+   tasks by block pair; nothing is capped.
 5. Components of the verified links are the result.
 """
 
@@ -122,7 +123,7 @@ def _signer(k: int, m: int):
 
 
 def _fine_signer(m: int):
-    """(node, shingles) to (node, tuples)."""
+    """(node, shingles) to (node, tuples), nodes being parts that may have many sets."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers = _multipliers(m, FINE)
@@ -307,8 +308,16 @@ def set_classes(worded: DataFrame) -> DataFrame:
     return found.withColumn("node", F.monotonically_increasing_id())
 
 
+def _verified_families(sized: DataFrame, sets: DataFrame, percent: int, stored: Scratch) -> DataFrame:
+    """Links in small families (node, family, n_shingles), many to a task."""
+    weight = sized.agg(F.sum("n_shingles")).first()[0] or 0
+    bins = max(2 * shuffle_partitions(sized.sparkSession), math.ceil(weight / BLOCK_SHINGLES))
+    dealt = sized.select("node", F.col("family").alias("part"), F.pmod(F.xxhash64("family"), F.lit(bins)).alias("task"), F.lit(0).alias("side"))
+    return stored(_verified(stored(dealt, "near-small").join(sets, "node"), percent), "near-links")
+
+
 def _sized(members: DataFrame, stored: Scratch) -> DataFrame:
-    """members (node, family, n_shingles) with family_size and the family's weight in shingles."""
+    """members (node, family, n_shingles and more) with family_size and the family's weight in shingles."""
     members = stored(members, "near-members")
     counted = stored(members.groupBy("family").agg(F.count(F.lit(1)).alias("family_size"), F.sum("n_shingles").alias("weight")), "near-counted")
     return stored(members.join(counted, "family"), "near-sized")
@@ -340,33 +349,32 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     sized = _sized(members.select("node", "family", "n_shingles"), stored)
     small_one = (F.col("family_size") <= BLOCK) & (F.col("weight") <= BLOCK_SHINGLES)
-    if not sized.where(~small_one).isEmpty():
-        fine = collection_size(percent, FINE)
-        refined = sets.join(sized.where(~small_one).select("node").hint("merge"), "node", "left_semi").mapInArrow(_fine_signer(fine), "node bigint, tuples binary")
-        parts, _ = component_labels(_candidates(refined, fine), stored)
-        parts = parts.withColumnRenamed("label", "family").join(members.select("node", "n_shingles"), "node")
-        sized = _sized(parts.unionByName(sized.where(small_one).select("node", "family", "n_shingles")), stored)
-    weight = sized.where(small_one).agg(F.sum("n_shingles")).first()[0] or 0
-    bins = max(2 * shuffle_partitions(spark), math.ceil(weight / BLOCK_SHINGLES))
-    small = sized.where(small_one).select("node", F.col("family").alias("part"), F.pmod(F.xxhash64("family"), F.lit(bins)).alias("task"), F.lit(0).alias("side"))
-    links = stored(_verified(stored(small, "near-small").join(sets, "node"), percent), "near-links")
+    links = _verified_families(sized.where(small_one), sets, percent, stored)
 
     band = F.floor(F.log("n_shingles") / math.log(100.01 / percent)).cast("bigint")
     large = stored(sized.where(~small_one).select("node", "family", band.alias("band"), "n_shingles"), "near-large")
     if not large.isEmpty():
         first = _verified_blocks(large.withColumn("whole", F.lit(None).cast("bigint")), sets, percent, pivots_only=True, stored=stored)
         so_far, _ = component_labels(first, stored)
-        labelled = stored(large.join(so_far, "node", "left"), "near-labelled")
-        sizes = labelled.where("label IS NOT NULL").groupBy("family", "band", "label").count().where(F.col("count") >= BLOCK)
-        whole = stored(sizes.select("family", "band", "label", F.col("label").alias("whole")), "near-whole")
-        rest = labelled.join(whole, ["family", "band", "label"], "left").drop("label")
-        second = _verified_blocks(rest, sets, percent, pivots_only=False, stored=stored)
-        links = links.unionByName(first).unionByName(second)
+        labelled = large.drop("family").join(so_far, "node", "left").withColumn("part", F.coalesce("label", "node"))
+        labelled = stored(labelled, "near-labelled")
+        fine = collection_size(percent, FINE)
+        refined = sets.join(labelled.select("node", "part").hint("merge"), "node").select(F.col("part").alias("node"), "shingles")
+        meeting, _ = component_labels(_candidates(refined.mapInArrow(_fine_signer(fine), "node bigint, tuples binary"), fine), stored)
+        open_ = labelled.join(meeting.select(F.col("node").alias("part"), F.col("label").alias("family")), "part")
+        again = _sized(open_.select("node", "family", "band", "n_shingles", "label"), stored)
+        links = links.unionByName(first).unionByName(_verified_families(again.where(small_one), sets, percent, stored))
+        left = stored(again.where(~small_one).select("node", "family", "band", "n_shingles", "label"), "near-left")
+        if not left.isEmpty():
+            sizes = left.where("label IS NOT NULL").groupBy("family", "band", "label").count().where(F.col("count") >= BLOCK)
+            whole = stored(sizes.select("family", "band", "label", F.col("label").alias("whole")), "near-whole")
+            rest = left.join(whole, ["family", "band", "label"], "left").drop("label")
+            links = links.unionByName(_verified_blocks(rest, sets, percent, pivots_only=False, stored=stored))
 
     joined, _ = component_labels(links, stored)
-    named = stored(joined.join(classes.select("node", "first_id"), "node"), "near-joined")
-    ids = stored(named.groupBy("label").agg(F.min("first_id").alias("component_id")), "near-ids")
-    linked = stored(named.join(ids, "label").select("node", "component_id"), "near-linked")
+    labels = stored(joined.join(classes.select("node", "first_id"), "node"), "near-joined")
+    ids = stored(labels.groupBy("label").agg(F.min("first_id").alias("component_id")), "near-ids")
+    linked = stored(labels.join(ids, "label").select("node", "component_id"), "near-linked")
     every = classes.select("node", "digest", "first_id").join(linked, "node", "left")
     every = stored(every.select("digest", F.coalesce("component_id", "first_id").alias("component_id")), "near-every")
     stored.discard_but(signed, every)

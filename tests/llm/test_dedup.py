@@ -163,7 +163,8 @@ def test_loose_chains_are_split_before_blocks_meet(spark, docs_of, monkeypatch):
     monkeypatch.setattr(near_dedup, "_verified_blocks", lambda members, *a, **k: (blocks.append(members.count()), blocked(members, *a, **k))[1])
     found = near_dedup.near_components(docs_of([(i, t, "s") for i, t in enumerate(texts + texts[:40])]), k=1)
     assert [r.component_id for r in found.orderBy("doc_id").collect()] == [*range(500), *range(40)]
-    assert len(sizes) == 2 and max(blocks, default=0) < 100
+    # all meet a pivot block once; then nearly all are alone or in small groups
+    assert len(sizes) == 2 and sizes[0] > 400 and sum(blocks[1:]) < 100
 
 
 def test_line_dedup_of_nulls_and_edges(spark, docs_of):

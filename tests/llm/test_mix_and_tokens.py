@@ -67,8 +67,7 @@ MIXES = {
 }
 
 
-@pytest.mark.parametrize("slices", [16, mixing.SLICES])
-@pytest.mark.parametrize("name", sorted(MIXES))
+@pytest.mark.parametrize("name,slices", [*[(n, 16) for n in sorted(MIXES)], ("plain", mixing.SLICES)])
 def test_mix_equals_brute_force(spark, docs_of, name, slices):
     """The cut of the sorted packets, water-filled targets, and how near each source comes."""
     rows = MIXES[name]
