@@ -221,7 +221,7 @@ _add(
 
 # ended by their tolerance, at an audit before the last step
 for _key, _args, _tol in (("pagerank_converged", ("cs", False, True), 1e-5), ("pagerank_converged_loops", ("evt", True, False), 1e-6)):
-    _add(_key, _ranked(*_args, steps=30, tol=_tol), _rank_sql(*_args, steps=30, tol=_tol))
+    _add(_key, _ranked(*_args, steps=60, tol=_tol), _rank_sql(*_args, steps=60, tol=_tol))
 
 
 def _ppr_sql(name: str, directed: bool, weighted: bool, seeds: str, k: int, steps: int = STEPS, tol: float = TOL) -> str:
@@ -273,8 +273,8 @@ _add("ppr_topk_pad", _ppr("evt", True, False, _few_seeds, 12), _ppr_sql("evt", T
 # the first query is spread wide and set aside at an earlier audit than the second, which starts at one vertex
 _add(
     "ppr_topk_frozen",
-    _ppr("sp", False, True, lambda g: g.vertices.where("idx % 3 = 0").selectExpr("CAST(0 AS BIGINT) AS query_id", "idx", "CAST(1 AS DOUBLE) AS weight").union(g.vertices.where("idx = 1").selectExpr("CAST(1 AS BIGINT)", "idx", "CAST(1 AS DOUBLE)")), 20, 30, 5e-5),
-    _ppr_sql("sp", False, True, "SELECT 0 AS query_id, idx, CAST(1 AS DOUBLE) AS weight FROM v WHERE idx % 3 = 0 UNION ALL SELECT 1, idx, 1 FROM v WHERE idx = 1", 20, 30, 5e-5),
+    _ppr("sp", False, True, lambda g: g.vertices.where("idx % 3 = 0").selectExpr("CAST(0 AS BIGINT) AS query_id", "idx", "CAST(1 AS DOUBLE) AS weight").union(g.vertices.where("idx = 1").selectExpr("CAST(1 AS BIGINT)", "idx", "CAST(1 AS DOUBLE)")), 20, 60, 5e-5),
+    _ppr_sql("sp", False, True, "SELECT 0 AS query_id, idx, CAST(1 AS DOUBLE) AS weight FROM v WHERE idx % 3 = 0 UNION ALL SELECT 1, idx, 1 FROM v WHERE idx = 1", 20, 60, 5e-5),
 )
 
 # traversal
