@@ -30,8 +30,8 @@ CHUNK_WORDS = 5_000_000
 PIECE_WORDS = 10_000
 #: Bytes of a broadcast chunk for each of its words, at most, for words of 32 bytes: a text, hashes and places.
 CHUNK_BYTES = 80
-SLICE_BYTES = 8 << 20
-MEMO_WORDS = 500_000
+SLICE_BYTES = 2 << 20
+MEMO_WORDS = 100_000
 #: Bytes of words (digits, letters, all of non-ASCII) map to themselves with A-Z lower-cased, the others to a space.
 NORMAL = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c > 127 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")

@@ -44,7 +44,7 @@ MISS = 1e-5
 COARSE, FINE = 2, 4
 #: Table keys that a task holds at a time.
 KEYS = 1_500_000
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 400_000
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA24BAED4963EE407)
 
 
