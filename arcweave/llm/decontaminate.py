@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arcweave.llm.store import by_place, held_schema, stored, table
+from arcweave.llm.store import by_place, gives_back, held_schema, stored, table
 
 WINDOW = 10
 CHUNK_WORDS = 5_000_000
@@ -170,6 +170,7 @@ def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
 def _scan(shared, with_text: bool):
     """Held columns and the text last, to held columns and report."""
 
+    @gives_back
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, memo = shared.value, _WordHashes()
         for batch in batches:
@@ -191,6 +192,7 @@ _FOUND = "row_id binary, at bigint, n bigint, item_id bigint"
 def _find(shared):
     """(row_id, text) to a row per occurrence and item."""
 
+    @gives_back
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, memo = shared.value, _WordHashes()
         for batch in batches:
@@ -209,6 +211,7 @@ def _find(shared):
 def _merge(with_text: bool):
     """Held columns, findings and the text last, to held columns and report."""
 
+    @gives_back
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             reports = []

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm.store import Scratch, named, shuffle_partitions, table
+from arcweave.llm.store import Scratch, gives_back, named, shuffle_partitions, table
 from arcweave.operators.contraction import component_labels
 
 BLOCK = 256
@@ -105,6 +105,7 @@ _SIGNED = "doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, tu
 def _signer(k: int, m: int):
     """(doc_id, text_hash, text) to signed documents; digest and tuples are null without words."""
 
+    @gives_back
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, multipliers = _WordHashes(), _multipliers(m, COARSE)
         for batch in batches:
@@ -135,6 +136,7 @@ def _fine_signer(m: int):
 
 
 def _table_keys(m: int):
+    @gives_back
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = (np.arange(m * m, dtype=np.uint64) * _P2).reshape(m, m)
         step = max(1, KEYS // (m * m))
@@ -163,9 +165,15 @@ def _table_keys(m: int):
     return keys
 
 
-def _candidates(signed: DataFrame, m: int) -> DataFrame:
-    """(src, dst): each node of `signed` (node, tuples) and the smallest one that it shares a table key with."""
-    keyed = signed.select("node", "tuples").mapInArrow(_table_keys(m), "key bigint, node bigint, head bigint")
+def _fine_table_keys(m: int):
+    """(node, shingles) to table keys, in one worker a task."""
+    sign, keys = _fine_signer(m), _table_keys(m)
+    return lambda batches: keys(sign(batches))
+
+
+def _candidates(rows: DataFrame, keys) -> DataFrame:
+    """(src, dst): each node of `rows` and the smallest one that it shares a table key with; keys maps rows to table keys."""
+    keyed = rows.mapInArrow(keys, "key bigint, node bigint, head bigint")
     smallest = F.expr("first(node) OVER (PARTITION BY key ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
     return keyed.select(F.col("node").alias("src"), F.coalesce("head", smallest).alias("dst")).where("src <> dst").distinct()
 
@@ -173,6 +181,7 @@ def _candidates(signed: DataFrame, m: int) -> DataFrame:
 def _set_reader(k: int):
     """(node, digest, text) to (node, shingles) of the texts whose set has this digest."""
 
+    @gives_back
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _WordHashes()
         for batch in batches:
@@ -338,7 +347,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     worded = signed.where("digest IS NOT NULL")
     classes = stored(set_classes(worded), "near-classes")
 
-    families, _ = component_labels(_candidates(classes, m), stored)
+    families, _ = component_labels(_candidates(classes.select("node", "tuples"), _table_keys(m)), stored)
     members = stored(families.withColumnRenamed("label", "family").join(classes.select("node", "digest", "known_by", "n_shingles"), "node"), "near-families")
 
     # as many rows as the corpus has near copies: never broadcast
@@ -360,7 +369,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         labelled = stored(labelled, "near-labelled")
         fine = collection_size(percent, FINE)
         refined = sets.join(labelled.select("node", "part").hint("merge"), "node").select(F.col("part").alias("node"), "shingles")
-        meeting, _ = component_labels(_candidates(refined.mapInArrow(_fine_signer(fine), "node bigint, tuples binary"), fine), stored)
+        meeting, _ = component_labels(_candidates(refined, _fine_table_keys(fine)), stored)
         open_ = labelled.join(meeting.select(F.col("node").alias("part"), F.col("label").alias("family")), "part")
         again = _sized(open_.select("node", "family", "band", "n_shingles", "label"), stored)
         links = links.unionByName(first).unionByName(_verified_families(again.where(small_one), sets, percent, stored))

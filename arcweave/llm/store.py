@@ -1,9 +1,12 @@
-"""Column helpers, and stored tables with this subpackage's codec."""
+"""Column helpers, maps that give memory back, and stored tables with this subpackage's codec."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import ctypes
+from collections.abc import Callable, Iterator, Sequence
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -26,6 +29,24 @@ class Scratch(tables.Scratch):
         super().__init__("zstd")
 
 
+def gives_back(mapped: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """`mapped`, returning at the end of a task what its worker's allocators hold free to the system.
+
+    Spark's workers serve one stage after another, so each would keep the size of its largest task beside the heap of
+    its executor.
+    """
+
+    @wraps(mapped)
+    def run(batches):
+        yield from mapped(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return run
+
+
 def ascii_lower(text: Column | str) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(F.col(text) if isinstance(text, str) else text, UPPER, LOWER)

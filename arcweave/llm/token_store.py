@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arcweave.llm.perfect_hash import PerfectHash, fingerprints
-from arcweave.llm.store import fresh_path, table
+from arcweave.llm.store import fresh_path, gives_back, table
 from arcweave.llm.tokens import encoder
 
 SHARD_TOKENS = 1 << 20
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 END_ID = 2
 SHARD = (
     "part int, seq int, first_key bigint, last_key bigint, n_docs bigint, n_null bigint, n_tokens bigint, part_start bigint, width int, payload binary, "
@@ -98,6 +98,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _writer(tokenizer: str, end_id: int, shard_tokens: int):
+    @gives_back
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, seq, before = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
         width = own.width if end_id < 1 << (8 * own.width.itemsize) else np.dtype("<u4")
@@ -175,6 +176,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     return TokenStore(spark, path)
 
 
+@gives_back
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for shard in batch.to_pylist():

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm.store import by_place, held_schema, named, table
+from arcweave.llm.store import by_place, gives_back, held_schema, named, table
 
 SAMPLE = 6_000
 SAMPLE_FEATURES = 8_000_000
@@ -146,6 +146,7 @@ def best_threshold(odds: np.ndarray, y: np.ndarray) -> float:
     return float((odds[order[best]] + below) / 2)
 
 
+@gives_back
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = _WordFeatures()
     for batch in batches:
@@ -155,6 +156,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _fit(categories: Sequence[str], sample_features: int):
+    @gives_back
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists, labels, total = [], [], 0
         for batch in batches:
@@ -190,6 +192,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CA
 def _score(shared, n_held: int):
     """Held columns and the text last, to held columns, probabilities and the verdict."""
 
+    @gives_back
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = shared.value, _WordFeatures()
         for batch in batches:
