@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from arcweave.functions.shipping import shipped
-from arcweave.llm import chat, collocations, decontaminate, exact_dedup, line_dedup, mixing, near_dedup, resampling, secrets, token_store, toxicity, urls
+from arcweave.llm import chat, collocations, decontaminate, exact_dedup, html_text, line_dedup, mixing, near_dedup, resampling, secrets, token_store, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_token_output": token_store.op10_token_output,
         "op11_resample": resampling.op11_resample,
         "op12_collocations": collocations.op12_collocations,
+        "op13_html_text": html_text.op13_html_text,
         "pipeline": corpus_pipeline.run,
     }
     return {name: shipped(query) for name, query in found.items()}
@@ -41,4 +42,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_secret_scan": secrets.OP9_SQL,
         "op11_resample": resampling.OP11_SQL,
         "op12_collocations": collocations.OP12_SQL,
+        "op13_html_text": html_text.OP13_SQL,
     }
