@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arcweave.llm.decontaminate import words_of
-from arcweave.llm.store import Scratch, gives_back, named, shuffle_partitions, table
+from arcweave.llm.store import Scratch, from_planes, gives_back, named, planes, shuffle_partitions, table
 
 RUN, BUCKETS, SALT, LEAST_WORDS, PERCENT = 1, 10_000, "2024", 20, 10
 #: Words of a shard, about; a document is never cut.
 SHARD_WORDS = 1_000_000
 #: Most gains that are broadcast.
 BROADCAST_GAINS = 1_000_000
-_SHARD = "shard bigint, doc_ids array<bigint>, words array<bigint>, n_features array<bigint>, features array<string>, totals array<bigint>, docs binary, codes binary, counts binary"
+_SHARD = "shard bigint, doc_ids array<bigint>, words array<bigint>, n_features array<bigint>, features array<string>, totals array<bigint>, distinct binary, codes binary, counts binary"
 _NAMES = [x.split()[0] for x in _SHARD.split(", ")]
 
 
@@ -52,19 +52,24 @@ def features_of(words: list[bytes], run: int) -> list[bytes]:
 
 
 def _shard_row(shard: int, keys: list, n_words: list[int], sizes: list[int], codes: list[np.ndarray], numbers: _Numbers) -> pa.RecordBatch:
-    code = np.concatenate(codes) if codes else np.empty(0, np.int64)
+    """A shard; its features in order of their totals, so that most counts go by small numbers."""
+    n, code = max(len(numbers), 1), np.concatenate(codes)
     totals = np.bincount(code, minlength=len(numbers)).astype(np.int64)
-    cell = np.repeat(np.arange(len(keys)), sizes) * max(len(numbers), 1) + code
-    cell, counts = np.unique(cell, return_counts=True)
-    names = pa.array([x.decode() for x in numbers], pa.string())
+    order = np.argsort(-totals, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    cell, counts = np.unique(np.repeat(np.arange(len(keys)), sizes) * n + place[code], return_counts=True)
+    distinct = np.bincount(cell // n, minlength=len(keys))
+    words = list(numbers)
+    names = pa.array([words[i].decode() for i in order.tolist()], pa.string())
     row = [
         pa.array([shard], pa.int64()),
         pa.array([keys], pa.list_(pa.int64())),
         pa.array([n_words], pa.list_(pa.int64())),
         pa.array([sizes], pa.list_(pa.int64())),
         pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names),
-        pa.ListArray.from_arrays(pa.array([0, len(totals)], pa.int32()), pa.array(totals)),
-        *[pa.array([x.astype("<u4").tobytes()], pa.binary()) for x in (cell // max(len(numbers), 1), cell % max(len(numbers), 1), counts)],
+        pa.ListArray.from_arrays(pa.array([0, len(totals)], pa.int32()), pa.array(totals[order])),
+        *[pa.array([planes(x)], pa.binary()) for x in (distinct, cell % n, counts)],
     ]
     return pa.RecordBatch.from_arrays(row, _NAMES)
 
@@ -98,9 +103,10 @@ def _weigh(key: tuple, shard: pa.Table, gains: pa.Table) -> pa.Table:
     row = shard.to_pylist()[0]
     gain = np.zeros(gains.num_rows, np.int64)
     gain[gains.column("place").to_numpy()] = gains.column("gain").to_numpy()
-    docs, codes, counts = (np.frombuffer(row[c], "<u4").astype(np.int64) for c in ("docs", "codes", "counts"))
-    sums = np.zeros(len(row["doc_ids"]), np.int64)
-    np.add.at(sums, docs, gain[codes] * counts)
+    distinct, codes, counts = (from_planes(row[c]).astype(np.int64) for c in ("distinct", "codes", "counts"))
+    upto = np.r_[0, np.cumsum(gain[codes] * counts)]
+    ends = np.cumsum(distinct)
+    sums = upto[ends] - upto[ends - distinct]
     n = np.array(row["n_features"], np.int64)
     weight = np.where(n > 0, sums // np.maximum(n, 1), 0)
     return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "words": pa.array(row["words"], pa.int64()), "n_features": n, "weight": weight})

@@ -6,6 +6,7 @@ import ctypes
 from collections.abc import Callable, Iterator, Sequence
 from functools import wraps
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,15 @@ def gives_back(mapped: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
     return run
 
 
+def planes(values: np.ndarray) -> bytes:
+    """32-bit numbers by planes of bytes, which codecs take well where the upper ones are 0."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def ascii_lower(text: Column | str) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(F.col(text) if isinstance(text, str) else text, UPPER, LOWER)
