@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from arcweave.functions.checks import check_cap, check_direction, check_reserved
 from arcweave.operators.graph import Graph, check_graph
 from arcweave.operators.ids import dense_index
+from arcweave.operators.selection import first_rows
 from arcweave.plans.runtime import recorded
-from arcweave.plans.tables import fresh_path, remove, stored
+from arcweave.plans.tables import discard, fresh_path, remove, stored
 
 #: Segments of a search that are merged at a time.
 MERGE = 8
@@ -43,6 +44,7 @@ class _Levels:
         self.graph, self.path, self.depth, self.reached = graph, fresh_path(graph.spark, "levels"), 0, 0
         self.segments: list[tuple[int, str]] = []
         self.size = self.add(start.select("idx", F.lit(0).cast("bigint").alias("dist"), F.lit(-1).cast("bigint").alias("parent")))
+        discard(start)
 
     def add(self, rows: DataFrame) -> int:
         seen = Observation()
@@ -66,6 +68,26 @@ class _Levels:
     def read(self) -> DataFrame:
         return self._table([p for _, p in self.segments])
 
+    def first(self, cap: int | None) -> DataFrame:
+        """The indices of the `cap` first vertices by level and index, stored: whole levels, and a part of the last.
+
+        A search for `cap` vertices ends with the level that reaches it, so no other is cut.
+        """
+        if cap is None or self.reached <= cap:
+            return stored(self.read().select("idx"), "reached")
+        last = self._table([self.frontier]).select("idx")
+        cut = first_rows(last, ["idx"], cap - (self.reached - self.size), "reached-last")
+        found = stored(self.read().where(F.col("dist") < self.depth).select("idx").unionByName(cut), "reached")
+        discard(cut)
+        return found
+
+    def remove(self) -> None:
+        """Remove all segments, once nothing reads them."""
+        remove(self.graph.spark, self.path)
+        for _, p in self.segments:
+            if not p.startswith(f"{self.path}/"):
+                remove(self.graph.spark, p)
+
     def step(self, direction: str) -> int:
         """Add the next level: unvisited neighbours, each with its smallest parent on the frontier."""
         frontier = self._table([self.frontier]).select("idx")
@@ -123,7 +145,7 @@ def k_hop(
     """Vertices within k hops of the seeds and the edges among them, whatever their direction.
 
     max_vertices counts seeds: levels are admitted whole until one would exceed it, which is cut by ascending index.
-    max_edges keeps the smallest edge ids. None and 0 are no cap. as_graph builds a graph over the external ids of the
+    max_edges keeps the smallest edge ids. Both cuts are by ranges, so no task sorts more than one of them. None and 0 are no cap. as_graph builds a graph over the external ids of the
     vertices, isolated ones included, with edges numbered anew in the order of their old ids.
     """
     check_graph(graph)
@@ -138,15 +160,12 @@ def k_hop(
         while size and levels.depth < k and (max_vertices is None or levels.reached < max_vertices):
             info.iterations += 1
             size = levels.step(direction)
-        reached = levels.read().select("idx", "dist")
-        if max_vertices is not None:
-            reached = reached.orderBy("dist", "idx").limit(max_vertices)
-        reached = stored(reached.select("idx"), "reached")
+        reached = levels.first(max_vertices)
+        levels.remove()
         edges = graph.edges.join(reached.withColumnRenamed("idx", "src"), "src", "left_semi")
         edges = edges.join(reached.withColumnRenamed("idx", "dst"), "dst", "left_semi")
-        if max_edges is not None:
-            edges = edges.orderBy("edge_id").limit(max_edges)
-        edges = stored(edges.select("edge_id", "src", "dst", "weight"), "induced")
+        edges = edges.select("edge_id", "src", "dst", "weight")
+        edges = stored(edges, "induced") if max_edges is None else first_rows(edges, ["edge_id"], max_edges, "induced")
         result = Neighborhood(reached.orderBy("idx"), edges.select("edge_id").orderBy("edge_id"))
         if as_graph:
             result.graph = _subgraph(graph, reached, edges)
