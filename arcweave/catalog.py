@@ -15,8 +15,9 @@ from arcweave.operators.rank import AUDIT, pagerank, ppr_topk, seeds_from_arrays
 from arcweave.operators.traverse import bfs, k_hop
 from arcweave.plans.tables import fresh_path
 from arcweave.sources import relations as rel
-from arcweave.sources.files import load_edges, read_edge_text, save_edges
+from arcweave.sources.files import read_edge_text
 from arcweave.sources.generate import power_law, rmat
+from arcweave.sources.snapshots import cached_graph, load_edges, save_edges
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -53,6 +54,15 @@ def graph_of(spark: SparkSession, sf_dir: str, name: str, directed: bool = True,
     return Graph.from_edges(make(spark, sf_dir), weight="weight" if weighted else None, directed=directed)
 
 
+def reopened(edges: DataFrame, weighted: bool = False, **options) -> Graph:
+    """The graph of these edges, stored and opened again."""
+    path = fresh_path(edges.sparkSession, "graph")
+    if weighted:
+        options["weight"] = "weight"
+    cached_graph(edges, path, **options)
+    return cached_graph(edges, path, **options)
+
+
 def _sql(name: str, tail: str, directed: bool = True, weighted: bool = False, ctes: str = "") -> str:
     """tail over v(ext_id, idx), g(edge_id, src, dst, weight), s (stored edges) and the given ones."""
     weight = "weight" if weighted else "CAST(1 AS DOUBLE) AS weight"
@@ -116,6 +126,22 @@ def _index_of_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("index_of_list", _index_of_list, _sql("evchain", "SELECT place, idx FROM (VALUES (0::BIGINT, 5), (1, 0), (2, 17), (3, 5), (4, 9)) x(place, ext_id) JOIN v USING (ext_id)"))
 
+
+
+def _index_of_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indices of pages' URLs in a stored graph, looked up in the files that hold them, against a join with all of them."""
+    graph = reopened(rel.page_hosts(spark, sf_dir))
+    low, high = graph.vertices.agg(F.min("ext_id"), F.max("ext_id")).first()
+    found = graph.index_of([low, high, low])
+    return spark.createDataFrame(list(enumerate(found)), "place bigint, idx bigint")
+
+
+_add(
+    "index_of_reopened",
+    _index_of_reopened,
+    _sql("web", "SELECT place, idx FROM (SELECT unnest([0, 1, 2])::BIGINT AS place, unnest([lo, hi, lo]) AS ext_id FROM (SELECT min(ext_id) AS lo, max(ext_id) AS hi FROM v)) JOIN v USING (ext_id)"),
+)
+
 # sources
 
 
@@ -224,6 +250,13 @@ for _key, _args, _tol in (("pagerank_converged", ("cs", False, True), 1e-5), ("p
     _add(_key, _ranked(*_args, steps=60, tol=_tol), _rank_sql(*_args, steps=60, tol=_tol))
 
 
+_add(
+    "pagerank_reopened",
+    lambda s, d: pagerank(reopened(rel.customer_supplier(s, d), weighted=True, directed=False), tol=TOL, max_iter=STEPS).select("idx", F.round("rank", 9).alias("rank")),
+    _rank_sql("cs", False, True),
+)
+
+
 def _ppr_sql(name: str, directed: bool, weighted: bool, seeds: str, k: int, steps: int = STEPS, tol: float = TOL) -> str:
     ctes = f"""o AS (SELECT src, sum(weight) AS ows FROM s GROUP BY 1), a AS MATERIALIZED (SELECT s.src, s.dst, s.weight / o.ows AS p FROM s JOIN o USING (src) WHERE ows > 0),
 dang AS MATERIALIZED (SELECT idx FROM v WHERE idx NOT IN (SELECT src FROM a)), seeds AS ({seeds}),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
@@ -36,10 +37,19 @@ class Adjacency:
         self.hub_count = seen["n"]
         if self.hub_count:
             hubs = F.broadcast(self.hubs)
-            self.light = edges.join(hubs, "at", "left_anti").repartition(n, "at").persist()
+            self.light = edges.join(hubs, "at", "left_anti").repartition(n, "at").sortWithinPartitions("at").persist()
             self.heavy = edges.join(hubs, "at", "left_semi").repartition(n, "to").persist()
         else:
-            self.light, self.heavy = edges.repartition(n, "at").persist(), None
+            self.light, self.heavy = edges.repartition(n, "at").sortWithinPartitions("at").persist(), None
+        self.dealt = n
+
+    @classmethod
+    def of_tables(cls, light: DataFrame, heavy: DataFrame | None, hubs: DataFrame | None, hub_count: int, buckets: int) -> Adjacency:
+        """An adjacency that is stored in this layout already: light edges in `buckets` buckets by `at`."""
+        self = object.__new__(cls)
+        self.light, self.heavy = light.sortWithinPartitions("at").persist(), None if heavy is None else heavy.persist()
+        self.hubs, self.hub_count, self.dealt = hubs, hub_count, buckets
+        return self
 
     def expand(self, rows: DataFrame, times: int = 1) -> DataFrame:
         """Every edge from the vertices of `rows` (idx and more): rows' columns with idx as `at`, and to, edge_id, share.
@@ -47,7 +57,9 @@ class Adjacency:
         `times` is how often a vertex may occur in rows.
         """
         rows = rows.withColumnRenamed("idx", "at")
-        out = self.light.join(rows, "at")
+        # dealt as the edges are, so that they stay where they lie also if the session now asks for other partitions
+        dealt = rows if self.dealt == partitions(rows.sparkSession) else rows.repartition(self.dealt, "at")
+        out = self.light.join(dealt, "at")
         if self.heavy is None:
             return out
         mine = rows.join(F.broadcast(self.hubs), "at", "left_semi")
@@ -71,6 +83,10 @@ class Graph:
     Duplicate edges and loops are kept. A vertex dangles if the weights of its stored out-edges add up to 0.
     """
 
+    #: Of a graph that was opened: the folders of its vertices and of the ranges of their files, and those once read.
+    vertex_files: tuple[str, str] | None = None
+    _ranges: list[tuple] | None = None
+
     def __init__(self):
         raise TypeError("use Graph.from_edges")
 
@@ -169,8 +185,7 @@ class Graph:
             discard(given)
         self.stored = self.edges
         if not directed:
-            back = self.edges.where("src <> dst").select("edge_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-            self.stored = self.edges.unionByName(back)
+            self.stored = self.both_ways(self.edges)
         out = self.stored.groupBy("src").agg(F.sum("weight").alias("out_wsum"), F.count(F.lit(1)).alias("out_deg"))
         into = self.stored.groupBy("dst").agg(F.count(F.lit(1)).alias("in_deg"))
         joined = vertices.join(out, vertices["idx"] == out["src"], "left").join(into, vertices["idx"] == into["dst"], "left")
@@ -192,6 +207,12 @@ class Graph:
         self._adjacency: dict[str, Adjacency] = {}
         return self
 
+    @staticmethod
+    def both_ways(edges: DataFrame) -> DataFrame:
+        """Edges and their reverses, loops once."""
+        back = edges.where("src <> dst").select("edge_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+        return edges.unionByName(back)
+
     def adjacency(self, direction: str) -> Adjacency:
         """Laid out on first use. share is the edge's part of its source's out-weight (0 if that is 0)."""
         direction = check_direction(direction)
@@ -231,9 +252,30 @@ class Graph:
             raise ValueError(f"vertex ids are of type {kind}")
         if not wanted:
             return []
-        table = self.spark.createDataFrame([(i, x) for i, x in enumerate(wanted)], f"place bigint, ext_id {kind}")
-        found = [r.idx for r in lookup(table, self.vertices).orderBy("place").collect()]
-        return found if many else found[0]
+        known = {r.ext_id: r.idx for r in self.vertices_with(wanted).collect()}
+        for x in wanted:
+            if x not in known:
+                raise ValueError(f"unknown vertex id {x!r}")
+        return [known[x] for x in wanted] if many else known[wanted[0]]
+
+    def vertices_with(self, ids: list) -> DataFrame:
+        """(ext_id, idx) of those of `ids` that are vertices.
+
+        The ids are a filter that reaches the files. A graph that was opened knows the range of ids in each file, a row
+        a file, and reads only files whose range has one of them.
+        """
+        table = self.vertices
+        if self.vertex_files is not None:
+            folder, ranges = self.vertex_files
+            if self._ranges is None:
+                self._ranges = sorted((r.low, r.high, r.file) for r in self.spark.read.parquet(ranges).collect())
+            lows = [low for low, _, _ in self._ranges]
+            places = {bisect_right(lows, x) - 1 for x in ids}
+            files = [self._ranges[i][2] for i in sorted(places) if i >= 0 and any(self._ranges[i][0] <= x <= self._ranges[i][1] for x in ids)]
+            if not files:
+                return table.where(F.lit(False)).select("ext_id", "idx")
+            table = self.spark.read.schema(table.schema).parquet(*[f"{folder}/{f}" for f in files])
+        return table.where(F.col("ext_id").isin(list(dict.fromkeys(ids)))).select("ext_id", "idx")
 
     def unpersist(self) -> None:
         for a in self._adjacency.values():

@@ -1,4 +1,4 @@
-"""Edge lists in text files, edge lists from Python sequences, and snapshots of edge tables."""
+"""Edge lists in text files, and edge lists from Python sequences."""
 
 from __future__ import annotations
 
@@ -24,16 +24,3 @@ def edges_from_arrays(spark: SparkSession, src, dst, weights=None) -> DataFrame:
     kind = "string" if texts and texts[0] else "bigint"
     rows = [(i, *e) for i, e in enumerate(zip(src, dst, *([] if weights is None else [map(float, weights)]), strict=True))]
     return spark.createDataFrame(rows, f"edge_id bigint, src {kind}, dst {kind}" + (", weight double" if weights is not None else ""))
-
-
-def save_edges(edges: DataFrame, path: str) -> None:
-    """A snapshot to reload instead of parsing or generating again."""
-    edges.write.mode("overwrite").parquet(path)
-
-
-def load_edges(spark: SparkSession, path: str) -> DataFrame:
-    """A snapshot; ValueError if it holds no src and dst."""
-    edges = spark.read.parquet(path)
-    if not {"src", "dst"} <= set(edges.columns):
-        raise ValueError(f"{path} is no snapshot of edges")
-    return edges
