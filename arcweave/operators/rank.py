@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from arcweave.functions.checks import check_rank_options, check_reserved
 from arcweave.operators.graph import Graph, check_graph
+from arcweave.operators.ids import dense_index
 from arcweave.plans.runtime import recorded
 from arcweave.plans.tables import discard, measured, stored
 
 #: Convergence is tested every so many iterations, and at the last one.
 AUDIT = 5
+#: Queries of personalized PageRank that share a row, and the columns of their ranks.
+LANES = 8
+RANKS = [f"r{j}" for j in range(LANES)]
 #: Digits of a score that decide ties.
 TIE_DIGITS = 9
 
@@ -110,8 +114,8 @@ def ppr_topk(
     """(query_id, rnk, idx, score): the k best vertices of each query's personalized PageRank.
 
     `seeds` (query_id, idx, weight): seeds that repeat add up, weights are normalised per query. All queries share one
-    pass over the edges; only vertices with a score have rows. A query whose change falls below V * tol at an audit is
-    set aside. Scores tie at TIE_DIGITS digits, then the smaller index is first; vertices without score follow, and a
+    pass over the edges, LANES of them a row; only vertices with a score have rows. A query whose change falls below
+    V * tol at an audit leaves its lane, and the lanes are filled up again. Scores tie at TIE_DIGITS digits, then the smaller index is first; vertices without score follow, and a
     graph with fewer than k vertices is padded with idx -1 and score 0. Ranks are cut before they move to their query.
     """
     check_graph(graph)
@@ -123,43 +127,82 @@ def ppr_topk(
         teleport, n_queries = _normalized_seeds(graph, seeds)
         adjacency = graph.adjacency("out")
         dangling = graph.vertices.where("dangling").select("idx")
-        state, table, finished = teleport.select("query_id", "idx", F.col("t").alias("rank")), None, []
+        lanes = _Lanes(teleport.select("query_id", "idx", F.col("t").alias("rank")))
+        state, table, finished = lanes.packed, None, []
         while info.iterations < max_iter and n_queries:
-            restart = teleport
+            restart = lanes.packed
             if graph.dangling_count:
-                held = state.join(dangling, "idx", "left_semi").groupBy("query_id").agg(F.sum("rank").alias("held"))
-                restart = teleport.join(held, "query_id", "left").withColumn("t", F.col("t") * (1 - alpha + alpha * F.coalesce("held", F.lit(0.0))))
+                held = state.join(dangling, "idx", "left_semi").groupBy("lane").agg(*[F.sum(r).alias(f"held{j}") for j, r in enumerate(RANKS)])
+                again = [(F.col(r) * (1 - alpha + alpha * F.coalesce(F.col(f"held{j}"), F.lit(0.0)))).alias(r) for j, r in enumerate(RANKS)]
+                restart = restart.join(held, "lane", "left").select("lane", "idx", *again)
             else:
-                restart = teleport.withColumn("t", F.col("t") * (1 - alpha))
-            flow = adjacency.expand(state, times=n_queries).select("query_id", F.col("to").alias("idx"), (alpha * F.col("rank") * F.col("share")).alias("t"))
-            new = flow.where("t > 0").unionByName(restart.select("query_id", "idx", "t")).groupBy("query_id", "idx").agg(F.sum("t").alias("rank"))
+                restart = restart.select("lane", "idx", *[(F.col(r) * (1 - alpha)).alias(r) for r in RANKS])
+            flow = adjacency.expand(state, times=lanes.count(n_queries))
+            flow = flow.where("share > 0").select("lane", F.col("to").alias("idx"), *[(alpha * F.col(r) * F.col("share")).alias(r) for r in RANKS])
+            new = flow.unionByName(restart).groupBy("lane", "idx").agg(*[F.sum(r).alias(r) for r in RANKS])
             new = stored(new, "ppr")
             info.iterations += 1
             if info.iterations % AUDIT == 0 and info.iterations < max_iter:
-                old = state.select("query_id", "idx", F.col("rank").alias("old"))
-                gap = F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))
-                change = new.join(old, ["query_id", "idx"], "full").groupBy("query_id").agg(F.sum(gap).alias("change"))
-                settled = stored(change.where(F.col("change") < graph.num_vertices * tol).select("query_id"), "settled")
+                old = state.select("lane", "idx", *[F.col(r).alias(f"old{j}") for j, r in enumerate(RANKS)])
+                gaps = [F.sum(F.abs(F.coalesce(F.col(r), F.lit(0.0)) - F.coalesce(F.col(f"old{j}"), F.lit(0.0)))) for j, r in enumerate(RANKS)]
+                change = new.join(old, ["lane", "idx"], "full").groupBy("lane").agg(F.array(*gaps).alias("change"))
+                small = F.get("change", F.col("slot")) < graph.num_vertices * tol
+                settled = stored(lanes.seats.join(change, "lane").where(small).select("query_id", "lane", "slot"), "settled")
                 n_settled = settled.count()
                 if n_settled:
-                    both, seeded = new, teleport
-                    finished.append(stored(both.join(settled, "query_id", "left_semi"), "ppr"))
-                    new = stored(both.join(settled, "query_id", "left_anti"), "ppr")
-                    teleport = stored(seeded.join(settled, "query_id", "left_anti"), "teleport")
+                    finished.append(stored(lanes.unpacked(new, settled), "ppr"))
                     n_queries -= n_settled
-                    discard(both), discard(seeded)
+                    left = lanes.seats.join(settled, "query_id", "left_anti")
+                    ranks, seeded = lanes.unpacked(new, left), lanes.unpacked(lanes.packed, left)
+                    refilled = _Lanes(seeded)
+                    both, new = new, stored(refilled.pack(ranks), "ppr")
+                    lanes.discard(), discard(both)
+                    lanes = refilled
                 discard(settled)
             if table is not None:
                 discard(table)
             state = table = new
+        unpacked = lanes.unpacked(state, lanes.seats)
         for part in finished:
-            state = state.unionByName(part)
-        found = top_k(graph, state.where("rank > 0"), k)
+            unpacked = unpacked.unionByName(part)
+        found = top_k(graph, unpacked, k)
+        lanes.discard()
         for part in [*finished, *([] if table is None else [table])]:
             discard(part)
         return found
 
 
+class _Lanes:
+    """Queries dealt to lanes of LANES each, and tables with a row per lane and vertex that hold a lane's queries in as many
+    columns. So a step moves, joins and adds up a row where it would otherwise LANES of them.
+
+    seats    query_id, lane, slot
+    packed   lane, idx and RANKS: the ranks given at first (query_id, idx, rank)
+    """
+
+    def __init__(self, ranks: DataFrame):
+        number = dense_index(ranks, "query_id")
+        self.seats = stored(number.select("query_id", F.floor(F.col("idx") / LANES).alias("lane"), (F.col("idx") % LANES).cast("int").alias("slot")), "seats")
+        self.packed = stored(self.pack(ranks), "lanes")
+
+    def count(self, n_queries: int) -> int:
+        return -(-n_queries // LANES)
+
+    def pack(self, ranks: DataFrame) -> DataFrame:
+        """(query_id, idx, rank) of seated queries to lanes; a query has a vertex once."""
+        columns = [F.coalesce(F.sum(F.when(F.col("slot") == j, F.col("rank"))), F.lit(0.0)).alias(r) for j, r in enumerate(RANKS)]
+        return ranks.join(self.seats, "query_id").groupBy("lane", "idx").agg(*columns)
+
+    def unpacked(self, packed: DataFrame, seats: DataFrame) -> DataFrame:
+        """(query_id, idx, rank) of the queries with these seats, where rank is not 0."""
+        rows = packed.select("lane", "idx", F.posexplode(F.array(*RANKS)).alias("slot", "rank")).where("rank > 0")
+        return rows.join(seats, ["lane", "slot"]).select("query_id", "idx", "rank")
+
+    def discard(self) -> None:
+        discard(self.seats)
+        discard(self.packed)
+
+
 def top_k(graph: Graph, ranks: DataFrame, k: int) -> DataFrame:
     """The k best (query_id, idx, rank) per query, filled up and padded to k rows."""
     ranks = stored(ranks.select("query_id", "idx", F.col("rank").alias("score")), "ranks")
