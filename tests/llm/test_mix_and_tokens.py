@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -267,3 +268,26 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     assert times == Counter(r.doc_id for r in mixing.mixed_documents(kept).collect())
     assert near_dedup.keep_one(kept).count() == len(rows)
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_a_store_bears_split_files_and_hot_keys(spark, docs_of):
+    """With spark.sql.files.maxRecordsPerFile set, and with 600 rows of one doc_id over many shards."""
+    rows = [(i, f"words of text {i} " * 3, "s") for i in range(200)] + [(77, f"copy {i} " * 5, "s") for i in range(600)]
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "2")
+    try:
+        store = token_store.write_tokens(docs_of(rows), fresh_path(spark, "tokens"), shard_tokens=64)
+        found = token_store.stored_documents(store).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert len(found) == 800
+    order = sorted(found, key=lambda r: r.start)
+    assert [r.start for r in order] == [0, *itertools.accumulate(r.n_tokens for r in order)][:-1] and [r.doc_id for r in order] == sorted(r[0] for r in rows)
+    first = min((r for r in found if r.doc_id == 77), key=lambda r: r.start)
+    assert len(store.ids(77)) == first.n_tokens and store.ids(1000) is None and store.ids(-1) is None
+    assert zlib.crc32(np.array(store.ids(77), "<u4").tobytes()) == first.ids_crc32
+
+
+def test_an_absent_key_with_a_known_fingerprint_is_absent(spark, docs_of, monkeypatch):
+    store = token_store.write_tokens(docs_of([(i, "a b", "s") for i in range(0, 100, 2)]), fresh_path(spark, "tokens"))
+    monkeypatch.setattr(token_store, "ordinals", lambda shard, keys: np.zeros(len(keys), np.int64))  # as if fingerprints agreed
+    assert store.ids(51) is None and store.ids(0) is not None
