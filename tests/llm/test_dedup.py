@@ -55,7 +55,7 @@ def test_exact_dedup_does_not_shuffle_the_index_and_bears_racing_writers(spark,
     index = index_of(spark)
     delivery = stored(exact_dedup.digests(docs_of([(i, f"t{i}", "s") for i in range(20)])), "delivery")
     index.ingest(delivery)
-    index._append(delivery.selectExpr("digest", "doc_id + 100 AS keep_id"))  # as another writer would have
+    index._append(delivery.selectExpr("digest", "doc_id + 100 AS keep_id"), index.folder, index.buckets)  # as another writer would have
     assert index.rows().count() == 40
     keys = delivery.groupBy("digest").count()
     found = index.known(keys)
@@ -67,6 +67,65 @@ def test_exact_dedup_does_not_shuffle_the_index_and_bears_racing_writers(spark,
     assert index.rows().count() == 20
 
 
+def _known(spark, path, marks):
+    return exact_dedup.DigestIndex(spark, path).known(marks.groupBy("digest").count()).count()
+
+
+def test_writers_that_meet_lose_no_digest(spark, docs_of, monkeypatch):
+    """An index opened before a compaction, a compaction that fails, a writer while it runs, and two first openers."""
+    path = fresh_path(spark, "digest-index")
+    halves = [stored(exact_dedup.digests(docs_of([(i, f"t{i}", "s") for i in range(a, a + 50)])), "delivery") for a in (0, 50, 100, 150)]
+    every = halves[0].unionByName(halves[1]).unionByName(halves[2]).unionByName(halves[3])
+    first, early = exact_dedup.DigestIndex(spark, path), exact_dedup.DigestIndex(spark, path)
+    assert first.folder == early.folder
+    first.ingest(halves[0])
+    first.compact()
+    early.ingest(halves[1])  # was opened before
+    assert _known(spark, path, every) == 100 and early.generation == 1
+    real = exact_dedup.DigestIndex._append
+
+    def fails(self, *a):
+        raise OSError("disk")
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_append", fails)
+    with pytest.raises(OSError):
+        first.compact()
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_append", real)
+    first.ingest(halves[2])
+    assert _known(spark, path, every) == 150
+
+    publish = exact_dedup.DigestIndex._publish
+
+    def while_it_runs(self, *a):
+        monkeypatch.setattr(exact_dedup.DigestIndex, "_publish", publish)
+        early.ingest(halves[3])
+        return publish(self, *a)
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_publish", while_it_runs)
+    first.compact()
+    assert _known(spark, path, every) == 200 and exact_dedup.DigestIndex(spark, path).rows().count() == 200
+
+
+def test_two_first_openers_share_a_generation(spark, monkeypatch):
+    path, real = fresh_path(spark, "digest-index"), exact_dedup.DigestIndex._refresh
+    blind = []
+
+    def sees_nothing_at_first(self):
+        if id(self) not in blind:
+            blind.append(id(self))
+            return False
+        return real(self)
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_refresh", sees_nothing_at_first)
+    a, b = exact_dedup.DigestIndex(spark, path), exact_dedup.DigestIndex(spark, path)
+    assert a.folder == b.folder and a.buckets == b.buckets
+
+
+def test_exact_dedup_needs_numbers(spark):
+    with pytest.raises(TypeError):
+        exact_dedup.exact_dedup(spark.createDataFrame([("a", "b")], "doc_id string, text string"), None)
+
+
 def test_exact_dedup_of_a_very_long_text(spark, docs_of):
     long = "Word " * 400_000
     found = exact_dedup.exact_dedup(docs_of([(1, long, "s"), (2, long.lower(), "s"), (3, long + "x", "s")]), index_of(spark)).collect()
