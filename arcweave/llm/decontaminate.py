@@ -1,7 +1,7 @@
 """Benchmark decontamination: windows of normalised benchmark words, found in documents and verified word by word.
 
 The benchmark is cut into pieces of at most PIECE_WORDS words (whose windows are the items' windows), and the pieces are
-dealt to chunks of at most `chunk_words` words. A chunk's windows become a hash set in arrays - sorted 64-bit hashes, the
+dealt to chunks of at most `chunk_words` words of up to UNIT_BYTES bytes (a longer one counts as several). A chunk's windows become a hash set in arrays - sorted 64-bit hashes, the
 word each window begins at, a bit table that most other hashes miss, and the words themselves - of at most CHUNK_BYTES a
 word, and are broadcast. Documents are scanned once for each chunk; a hash that is found is compared word by word. One
 chunk, the usual case, is one map over the documents; several are as many maps, whose findings meet by text. So the
@@ -28,6 +28,8 @@ from arcweave.llm.store import by_place, gives_back, held_schema, stored, table
 WINDOW = 10
 CHUNK_WORDS = 5_000_000
 PIECE_WORDS = 10_000
+#: A longer word counts as several.
+UNIT_BYTES = 32
 #: Bytes of a broadcast chunk for each of its words, at most, for words of 32 bytes: a text, hashes and places.
 CHUNK_BYTES = 80
 SLICE_BYTES = 2 << 20
@@ -59,14 +61,16 @@ def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 class WindowSet:
-    """The windows of pieces (item_id, window length, words joined by blanks) as arrays."""
+    """The windows of pieces (item_id or None, window length, words joined by blanks) as arrays."""
 
-    def __init__(self, pieces: list[tuple[int, int, bytes]]):
+    def __init__(self, pieces: list[tuple[str | None, int, bytes]]):
         split = [(item, n, text.split()) for item, n, text in pieces]
         self.text = b"".join(w + b" " for _, _, words in split for w in words)
         length = np.fromiter((len(w) + 1 for _, _, words in split for w in words), np.int64)
         self.word_at = np.r_[0, np.cumsum(length)].astype(np.uint32 if len(self.text) < 1 << 32 else np.int64)
-        self.items = np.array([item for item, _, _ in split], np.int64)
+        self.names = sorted({item for item, _, _ in split if item is not None})
+        place = {item: i for i, item in enumerate(self.names)}
+        self.items = np.array([place.get(item, -1) for item, _, _ in split], np.int64)
         self.first = np.r_[0, np.cumsum([len(words) for _, _, words in split])].astype(np.int64)
         memo = _WordHashes()
         hashes = np.fromiter((memo[w] for _, _, words in split for w in words), np.uint64, len(length))
@@ -88,15 +92,16 @@ class WindowSet:
 
     @property
     def nbytes(self) -> int:
-        return len(self.text) + self.word_at.nbytes + self.items.nbytes + self.first.nbytes + sum(x.nbytes for t in self.by_length.values() for x in t)
+        return len(self.text) + sum(map(len, self.names)) + self.word_at.nbytes + self.items.nbytes + self.first.nbytes + sum(x.nbytes for t in self.by_length.values() for x in t)
 
-    def _ids(self, n: int, low: int, high: int, words: bytes) -> frozenset[int]:
-        """Items whose windows low to high, of one hash, are these words."""
+    def _ids(self, n: int, low: int, high: int, words: bytes) -> frozenset[str | None]:
+        """Items whose windows low to high, of one hash, are these words; None for those without id."""
         at = self.by_length[n][1][low:high].astype(np.int64)
         same = [p for p in at.tolist() if self.text[self.word_at[p] : self.word_at[p + n]] == words]
-        return frozenset(self.items[np.searchsorted(self.first, same, side="right") - 1].tolist())
+        found = self.items[np.searchsorted(self.first, same, side="right") - 1].tolist()
+        return frozenset(self.names[i] if i >= 0 else None for i in found)
 
-    def hits(self, texts: list[list[bytes]], memo: dict) -> Iterator[tuple[int, int, int, frozenset[int]]]:
+    def hits(self, texts: list[list[bytes]], memo: dict) -> Iterator[tuple[int, int, int, frozenset[str | None]]]:
         """(text, first word, number of words, item ids) of every occurrence in texts, given as lists of words."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         starts = np.r_[0, np.cumsum(sizes)]
@@ -147,7 +152,7 @@ def _report(text: bytes | None, n_words: int, hits: list) -> tuple:
         edge[at + n] -= 1
         items.update(ids)
     hit = np.cumsum(edge[:-1]) > 0
-    joined = ",".join(sorted(map(str, items)))
+    joined = ",".join(sorted(i for i in items if i is not None))
     return n_words, int(hit.sum()), len(items), hashlib.sha256(joined.encode()).hexdigest(), True, None if text is None else cleaned(text, hit).decode()
 
 
@@ -186,7 +191,7 @@ def _scan(shared, with_text: bool):
     return scan
 
 
-_FOUND = "row_id binary, at bigint, n bigint, item_id bigint"
+_FOUND = "row_id binary, at bigint, n bigint, item_id string"
 
 
 def _find(shared):
@@ -199,9 +204,9 @@ def _find(shared):
             for part in _slices(batch, -1):
                 rows = part.column(0).to_pylist()
                 for k, at, n, ids in windows.hits([words_of(t) for t in part.column(1).to_pylist()], memo):
-                    items = sorted(ids)
+                    items = list(ids)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([rows[k]] * len(items), pa.binary()), pa.array([at] * len(items)), pa.array([n] * len(items)), pa.array(items, pa.int64())],
+                        [pa.array([rows[k]] * len(items), pa.binary()), pa.array([at] * len(items)), pa.array([n] * len(items)), pa.array(items, pa.string())],
                         [x.split()[0] for x in _FOUND.split(", ")],
                     )
 
@@ -216,7 +221,7 @@ def _merge(with_text: bool):
         for batch in batches:
             reports = []
             for text, found in zip(batch.column(batch.num_columns - 1).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), strict=True):
-                hits = [(f["at"], f["n"], f["items"]) for f in found or []]
+                hits = [(f["at"], f["n"], [x["item_id"] for x in f["items"]]) for f in found or []]
                 reports.append(_report(text if with_text else None, len(words_of(text)), hits))
             yield _report_batch(batch.columns[:-2], reports, with_text)
 
@@ -224,34 +229,41 @@ def _merge(with_text: bool):
 
 
 def _pieces(window: int):
-    """Items to pieces: item_id, seq, n (window length), n_words, words. Neighbours share the words of a window but one."""
+    """Items to pieces: item_id, n (window length), units, words. Neighbours share the words of a window but one.
+
+    A unit is a word of up to UNIT_BYTES bytes; a longer word is as many. A piece ends with the window that brings it to
+    PIECE_WORDS units.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text)
+            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = words_of(text.as_py())
                 n = min(len(words), window)
-                for seq, at in enumerate(range(0, max(len(words) - n + 1, 0) if n else 0, PIECE_WORDS)):
-                    part = words[at : at + PIECE_WORDS + n - 1]
-                    rows.append((item_id, seq, n, len(part), b" ".join(part)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item_id", "seq", "n", "n_words", "words"])
+                upto = np.r_[0, np.cumsum([-(-(len(w) + 1) // UNIT_BYTES) for w in words])].astype(np.int64)
+                at, last = 0, len(words) - n + 1 if n else 0
+                while at < last:
+                    end = min(max(int(np.searchsorted(upto, upto[at] + PIECE_WORDS)), at + 1), last)
+                    part = words[at : end + n - 1]
+                    row = [item_id, n, int(upto[end + n - 1] - upto[at]), b" ".join(part)]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, [pa.string(), pa.int64(), pa.int64(), pa.binary()], strict=True)], ["item_id", "n", "units", "words"])
+                    at = end
 
     return cut
 
 
 def window_chunks(benchmark: DataFrame, window: int, chunk_words: int) -> tuple[DataFrame, int]:
-    """Pieces of the benchmark with their chunk, and the number of chunks. A chunk has at most chunk_words words and a piece."""
-    items = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("binary")).where("item_id IS NOT NULL")
-    pieces = stored(items.mapInArrow(_pieces(window), "item_id bigint, seq bigint, n bigint, n_words bigint, words binary").distinct(), "benchmark-pieces")
-    # one row of numbers for each piece of up to PIECE_WORDS words
-    numbers = pieces.select("item_id", "seq", F.xxhash64("words").alias("tie"), "n_words")
-    upto = Window.orderBy("item_id", "seq", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n_words").over(upto), F.lit(0))
-    dealt = numbers.select("item_id", "seq", "tie", F.floor(before / chunk_words).cast("int").alias("chunk"))
-    chunked = stored(pieces.withColumn("tie", F.xxhash64("words")).join(dealt, ["item_id", "seq", "tie"]), "benchmark-chunks")
+    """Pieces of the benchmark with their chunk, and the number of chunks. A chunk has at most chunk_words units and a piece."""
+    items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary"))
+    pieces = items.mapInArrow(_pieces(window), "item_id string, n bigint, units bigint, words binary").distinct()
+    pieces = stored(pieces.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), "benchmark-pieces")
+    # running totals inside a part, and over the parts, of which one row each meets
+    ahead = F.coalesce(F.sum("units").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.groupBy("part").agg(F.sum("units").alias("size")).select("part", F.coalesce(F.sum("size").over(upto), F.lit(0)).alias("start"))
+    numbers = pieces.select("part", "place", "units").withColumn("ahead", ahead).join(F.broadcast(starts), "part")
+    dealt = numbers.select("place", F.floor((F.col("start") + F.col("ahead")) / chunk_words).cast("int").alias("chunk"))
+    chunked = stored(pieces.join(dealt, "place").select("item_id", "n", "words", "chunk"), "benchmark-chunks")
     last = chunked.agg(F.max("chunk")).first()[0]
     return chunked, 1 if last is None else last + 1
 
@@ -262,7 +274,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A word inside any occurrence of a benchmark
     window is hit; n_items counts the items whose windows occur, items_sha256 digests their ids, sorted as strings and
     comma-joined. clean_text is the text without hit words. Null text has no words and keeps null; items without words
-    have no windows; items that repeat an id or a text count once per id; null item ids are not read. Names of `docs`
+    have no windows; items that repeat an id or a text count once per id. Ids are numbers or strings; all items without one
+    count as one item, whose words are hit, and add nothing to the digest. Names of `docs`
     that clash with those above are replaced, all others stay. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -285,7 +298,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
         part = stored(docs.select(row_id.alias("row_id"), text.alias("text")).mapInArrow(_find(shared), _FOUND).distinct(), "window-hits")
         shared.unpersist()
         found = part if found is None else found.unionByName(part)
-    occurrences = found.groupBy("row_id", "at", "n").agg(F.collect_set("item_id").alias("items"))
+    occurrences = found.groupBy("row_id", "at", "n").agg(F.collect_set(F.struct("item_id")).alias("items"))
     hits = stored(occurrences.groupBy("row_id").agg(F.collect_list(F.struct("at", "n", "items")).alias("found")), "window-texts")
     keyed = docs.select(*by_place(held), text.alias("text"), row_id.alias("row_id"))
     joined = keyed.join(hits.hint("merge"), "row_id", "left")

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from arcweave.llm import chat, decontaminate, secrets, toxicity, urls
 from arcweave.llm.tokens import encoder
@@ -23,7 +24,7 @@ def brute_contamination(text, items, window=10):
                 if words[b : b + n] == ws[a : a + n]:
                     hit |= set(range(b, b + n))
                     ids.add(i)
-    return len(words), len(hit), len(ids), hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest(), bool(hit)
+    return len(words), len(hit), len(ids), hashlib.sha256(",".join(sorted(str(i) for i in ids if i is not None)).encode()).hexdigest(), bool(hit)
 
 
 @pytest.mark.parametrize("chunk_words", [10**9, 30])
@@ -37,7 +38,7 @@ def test_contamination_in_one_chunk_and_many(spark, docs_of, chunk_words):
     found = {r.doc_id: r for r in decontaminate.contamination(docs, bench, with_text=True, chunk_words=chunk_words).collect()}
     for i, t in enumerate(texts):
         r = found[i]
-        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute_contamination(t, [x for x in items if x[0] is not None]), t
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute_contamination(t, items), t
         assert (r.clean_text is None) == (t is None)
         if t and not r.n_hit:
             assert r.clean_text == t
@@ -63,20 +64,44 @@ def test_contamination_columns_that_clash_and_long_texts(spark, monkeypatch):
 
 def test_window_set_memory_and_chunk_sizes(spark):
     rng = random.Random(9)
-    pieces = [(i, 10, b" ".join(b"%032d" % rng.randrange(10**9) for _ in range(200))) for i in range(200)]
+    pieces = [(i, 10, b" ".join(b"%032d" % rng.randrange(10**9) for _ in range(200))) for i in map(str, range(200))]
     windows = decontaminate.WindowSet(pieces)
     assert windows.nbytes <= decontaminate.CHUNK_BYTES * 200 * 200
     bench = spark.createDataFrame([(i, "word " * (i * 37 % 900)) for i in range(60)], "item_id bigint, text string")
     chunked, n = decontaminate.window_chunks(bench, 10, 2_000)
-    sizes = chunked.groupBy("chunk").agg({"n_words": "sum"}).collect()
+    sizes = chunked.groupBy("chunk").agg(F.sum(F.size(F.split(F.col("words").cast("string"), " ")))).collect()
     assert len(sizes) == n > 5 and max(r[1] for r in sizes) <= 2_000 + 900
 
 
+def test_contamination_by_items_with_string_ids_or_none(spark, docs_of):
+    items = [("gsm8k/1", "one two three"), (None, "four five"), (None, "six"), ("10", "seven"), ("9", "seven")]
+    texts = ["Four five!", "seven", "one two three six", "one two", None]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for chunk_words in (10**9, 3):
+        found = {r.doc_id: r for r in decontaminate.contamination(docs_of([(i, t, "s") for i, t in enumerate(texts)]), bench, chunk_words=chunk_words).collect()}
+        for i, t in enumerate(texts):
+            r = found[i]
+            assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute_contamination(t, items), t
+
+
+def test_chunks_of_long_words_are_bounded_in_bytes(spark, docs_of):
+    """Words of 10 kB: a chunk holds as many bytes as one of short words."""
+    word = [f"{i:05d}" + "x" * 10_000 for i in range(200)]
+    bench = spark.createDataFrame([(i, " ".join(word[i : i + 20])) for i in range(0, 200, 20)], "item_id bigint, text string")
+    units = 40_000
+    chunked, n = decontaminate.window_chunks(bench, 10, units)
+    sizes = [r[1] for r in chunked.groupBy("chunk").agg(F.sum(F.length("words"))).collect()]
+    assert n > 1 and max(sizes) <= (units + decontaminate.PIECE_WORDS) * decontaminate.UNIT_BYTES + 10 * 10_010
+    docs = docs_of([(1, " ".join(word[55:65]), "s"), (2, " ".join(word[25:35]), "s"), (3, " ".join(word[25:34]), "s")])
+    found = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.contamination(docs, bench, chunk_words=units).collect()}
+    assert found == {1: (0, 0), 2: (10, 1), 3: (0, 0)}
+
+
 def test_equal_hashes_are_told_apart_by_words(monkeypatch):
     """Windows whose words all hash alike."""
     monkeypatch.setattr(decontaminate._WordHashes, "__missing__", lambda self, word: 7)
-    windows = decontaminate.WindowSet([(1, 2, b"a b c"), (2, 2, b"b c")])
-    assert list(windows.hits([[b"b", b"c"], [b"c", b"a"], [b"a", b"b"]], decontaminate._WordHashes())) == [(0, 0, 2, {1, 2}), (2, 0, 2, {1})]
+    windows = decontaminate.WindowSet([("1", 2, b"a b c"), ("2", 2, b"b c")])
+    assert list(windows.hits([[b"b", b"c"], [b"c", b"a"], [b"a", b"b"]], decontaminate._WordHashes())) == [(0, 0, 2, {"1", "2"}), (2, 0, 2, {"1"})]
 
 
 def test_cleaned_text_loses_the_hit_words():
