@@ -104,13 +104,14 @@ _add("index_of_lookup", _index_of, _sql("web", "SELECT ext_id, idx FROM v WHERE
 
 def _identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_regionkey").alias("src"), F.col("n_nationkey").alias("dst"))
-    return Graph.from_edges(edges, num_vertices=40).vertices.select("idx", "ext_id", "out_deg", "in_deg", "dangling")
+    tail = edges.agg(F.max("dst")).first()[0] + 16  # fifteen vertices without edges at the end
+    return Graph.from_edges(edges, num_vertices=tail).vertices.select("idx", "ext_id", "out_deg", "in_deg", "dangling")
 
 
 _add(
     "identity_vertices",
     _identity,
-    """WITH v AS (SELECT unnest(range(40)) AS idx), o AS (SELECT n_regionkey AS idx, count(*) AS n FROM nation GROUP BY 1), i AS (SELECT n_nationkey AS idx, count(*) AS n FROM nation GROUP BY 1)
+    """WITH v AS (SELECT unnest(range((SELECT max(n_nationkey) + 16 FROM nation))) AS idx), o AS (SELECT n_regionkey AS idx, count(*) AS n FROM nation GROUP BY 1), i AS (SELECT n_nationkey AS idx, count(*) AS n FROM nation GROUP BY 1)
 SELECT v.idx, v.idx AS ext_id, coalesce(o.n, 0) AS out_deg, coalesce(i.n, 0) AS in_deg, o.n IS NULL AS dangling FROM v LEFT JOIN o USING (idx) LEFT JOIN i USING (idx)""",
 )
 _add("transpose_edges", lambda s, d: graph_of(s, d, "cs", weighted=True).transpose(), _sql("cs", "SELECT edge_id, dst AS src, src AS dst, weight FROM s", weighted=True))
@@ -159,18 +160,27 @@ def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_edges(spark, path).select("src", "dst", F.round("weight", 2).alias("weight"))
 
 
-def _generated(make, vertices: int) -> Query:
+def _generated(make) -> Query:
+    """Bounds of a generated graph that is as large as a given table; make gives it and its number of vertices."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        edges, vertices = make(spark, spark.read.parquet(f"{sf_dir}/lineitem.parquet").count())
         outside = F.count_if((F.least("src", "dst") < 0) | (F.greatest("src", "dst") >= vertices))
-        return make(spark).agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("edge_id").alias("ids"), outside.alias("outside"))
+        return edges.agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("edge_id").alias("ids"), outside.alias("outside"))
 
     return run
 
 
+def _rmat_like(spark: SparkSession, lines: int) -> tuple[DataFrame, int]:
+    """Eight edges a vertex, and at least half as many as there are lines."""
+    scale = max(lines // 8, 1).bit_length() - 1
+    return rmat(spark, scale, 8), 1 << scale
+
+
 _add("edge_text_lines", _edge_text, _sql("sp", "SELECT DISTINCT e.src, e.dst FROM e"))
 _add("snapshot_round_trip", _snapshot, "SELECT o_custkey + 2000000 AS src, l_suppkey AS dst, round(sum(l_extendedprice), 2) AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2")
-_add("rmat_bounds", _generated(lambda s: rmat(s, 12, 8), 1 << 12), "SELECT 32768 AS edges, 32768 AS ids, 0 AS outside")
-_add("power_law_bounds", _generated(lambda s: power_law(s, 5_000, 40_000), 5_000), "SELECT 40000 AS edges, 40000 AS ids, 0 AS outside")
+_add("rmat_bounds", _generated(_rmat_like), "WITH n AS (SELECT 8 * (1::BIGINT << CAST(floor(log2(greatest(count(*) // 8, 1))) AS INT)) AS n FROM lineitem) SELECT n AS edges, n AS ids, 0 AS outside FROM n")
+_add("power_law_bounds", _generated(lambda s, n: (power_law(s, n // 8 + 1, n), n // 8 + 1)), "SELECT count(*) AS edges, count(*) AS ids, 0 AS outside FROM lineitem")
 
 # degrees
 

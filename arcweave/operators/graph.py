@@ -11,6 +11,7 @@ from pyspark.sql.types import IntegralType, StringType
 
 from arcweave.functions.checks import MAX_INDEX, check_direction
 from arcweave.operators.ids import dense_index, lookup
+from arcweave.plans.runtime import execution
 from arcweave.plans.tables import discard, measured, partitions, stored
 
 #: Largest finite and smallest normal single-precision numbers: bounds of a vertex's weight sum.
@@ -57,13 +58,15 @@ class Adjacency:
         `times` is how often a vertex may occur in rows.
         """
         rows = rows.withColumnRenamed("idx", "at")
+        if execution() == "distributed":
+            rows = rows.hint("merge")
         # dealt as the edges are, so that they stay where they lie also if the session now asks for other partitions
         dealt = rows if self.dealt == partitions(rows.sparkSession) else rows.repartition(self.dealt, "at")
         out = self.light.join(dealt, "at")
         if self.heavy is None:
             return out
         mine = rows.join(F.broadcast(self.hubs), "at", "left_semi")
-        if self.hub_count * times <= HUB_ROWS:
+        if self.hub_count * times <= HUB_ROWS:  # in both modes, or a hub's edges would meet in one task
             mine = F.broadcast(mine)
         return out.unionByName(self.heavy.join(mine, "at"))
 

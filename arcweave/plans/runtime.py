@@ -20,13 +20,18 @@ class RunInfo:
 
 
 def set_execution(mode: str) -> None:
-    """"auto" or "distributed"; both run on Spark, there is no single-machine kernel to choose."""
+    """How steps meet the edges. "auto": Spark chooses by the size of the vertices' table, and sends small ones to all
+    tasks, so that edges need not be sorted. "distributed": always by exchange and sort-merge join, whatever the size."""
     global _MODE
     if mode not in ("auto", "distributed"):
         raise ValueError(f"unknown execution mode {mode!r}")
     _MODE = mode
 
 
+def execution() -> str:
+    return _MODE
+
+
 def last_run_info() -> dict | None:
     """op, path, iterations and ms of this thread's last operation; None before the first."""
     info = getattr(_LOCAL, "info", None)
@@ -36,7 +41,7 @@ def last_run_info() -> dict | None:
 @contextmanager
 def recorded(op: str):
     """Gives a RunInfo to fill in; recorded when the operation returns."""
-    info, began = RunInfo(op, "distributed", 0, 0.0), time.perf_counter()
+    info, began = RunInfo(op, _MODE, 0, 0.0), time.perf_counter()
     yield info
     info.ms = (time.perf_counter() - began) * 1e3
     _LOCAL.info = info

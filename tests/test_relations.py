@@ -1,3 +1,5 @@
+import pytest
+
 from arcweave import Graph, experimental
 from arcweave.sources import relations as rel
 
@@ -26,3 +28,12 @@ def test_documents_without_text_are_one_group(spark, tmp_path):
     rows = [(1, "a"), (2, None), (3, "a"), (4, None), (5, "")]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(tuple(r) for r in rel.equal_documents(spark, str(tmp_path)).collect()) == [(1, 1), (2, 2), (3, 1), (4, 2), (5, 5)]
+
+
+def test_supplier_keys_that_would_meet_parts_fail(spark, tmp_path):
+    lines = [(1, 1_000_000 - 1, 5.0), (1, 1_000_000, 5.0)]
+    for i, row in enumerate(lines):
+        spark.createDataFrame([row], "l_partkey bigint, l_suppkey bigint, l_quantity double").write.parquet(f"{tmp_path}/{i}/lineitem.parquet")
+    assert rel.supplier_part(spark, f"{tmp_path}/0").count() == 1
+    with pytest.raises(Exception, match="must be below"):
+        rel.supplier_part(spark, f"{tmp_path}/1").collect()
