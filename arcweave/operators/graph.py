@@ -235,6 +235,10 @@ class Graph:
             self._adjacency[direction] = Adjacency(rows, n)
         return self._adjacency[direction]
 
+    def laid_out(self, direction: str) -> bool:
+        """Whether an adjacency of this direction exists already, from an earlier step or a stored graph."""
+        return (direction if self.directed else "out") in self._adjacency
+
     def transpose(self) -> DataFrame:
         """Stored edges with their ends swapped."""
         return self.stored.select("edge_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")

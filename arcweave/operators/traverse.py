@@ -16,6 +16,10 @@ from arcweave.plans.tables import discard, fresh_path, remove, stored
 
 #: Segments of a search that are merged at a time.
 MERGE = 8
+#: A level is found from the unvisited side if the frontier has more than so many times the edges that lead to unvisited
+#: vertices: those edges are exchanged twice and do not combine, the frontier's once and combined.
+BOTTOM_UP = 4
+REVERSE = {"out": "in", "in": "out", "both": "both"}
 
 
 def _sources(graph: Graph, sources) -> DataFrame:
@@ -40,18 +44,27 @@ class _Levels:
 
     SCHEMA = "idx bigint, dist bigint, parent bigint"
 
-    def __init__(self, graph: Graph, start: DataFrame):
+    def __init__(self, graph: Graph, start: DataFrame, direction: str):
         self.graph, self.path, self.depth, self.reached = graph, fresh_path(graph.spark, "levels"), 0, 0
         self.segments: list[tuple[int, str]] = []
+        self.direction = direction if graph.directed else "out"
+        ends = {"out": F.col("out_deg"), "in": F.col("in_deg"), "both": F.col("out_deg") + F.col("in_deg")}
+        self.degrees = graph.vertices.select("idx", ends[self.direction].alias("ahead"), ends[REVERSE[self.direction]].alias("behind"))
+        #: Edges from the frontier, and edges that lead to unvisited vertices; how each level was found and the edges it read.
+        self.ahead, self.behind = 0, graph.stored_count * (2 if self.direction == "both" else 1)
+        self.touched: list[tuple[str, int]] = []
         self.size = self.add(start.select("idx", F.lit(0).cast("bigint").alias("dist"), F.lit(-1).cast("bigint").alias("parent")))
         discard(start)
 
     def add(self, rows: DataFrame) -> int:
         seen = Observation()
         self.frontier = f"{self.path}/level={self.depth}"
-        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(self.frontier)
+        rows = rows.join(self.degrees, "idx").observe(seen, F.count(F.lit(1)).alias("n"), F.sum("ahead").alias("ahead"), F.sum("behind").alias("behind"))
+        rows.select("idx", "dist", "parent").write.parquet(self.frontier)
         size = int(seen.get["n"])
         self.reached += size
+        self.ahead = int(seen.get["ahead"] or 0)
+        self.behind -= int(seen.get["behind"] or 0)
         self.segments.append((0, self.frontier))
         while len(self.segments) >= MERGE and len({c for c, _ in self.segments[-MERGE:]}) == 1:
             last = self.segments[-MERGE:]
@@ -88,33 +101,63 @@ class _Levels:
             if not p.startswith(f"{self.path}/"):
                 remove(self.graph.spark, p)
 
-    def step(self, direction: str) -> int:
-        """Add the next level: unvisited neighbours, each with its smallest parent on the frontier."""
-        frontier = self._table([self.frontier]).select("idx")
-        found = self.graph.adjacency(direction).expand(frontier).groupBy(F.col("to").alias("idx")).agg(F.min("at").alias("parent"))
-        new = found.join(self.read().select("idx"), "idx", "left_anti")
+    def step(self) -> int:
+        """Add the next level: unvisited neighbours, each with its smallest parent on the frontier.
+
+        Found from the frontier's edges or, if far fewer edges lead to unvisited vertices and are laid out that way, from
+        those. Both give the same rows.
+        """
         self.depth += 1
-        self.size = self.add(new.select("idx", F.lit(self.depth).cast("bigint").alias("dist"), "parent"))
+        back = REVERSE[self.direction]
+        upwards = self.graph.laid_out(back) and self.ahead > BOTTOM_UP * self.behind
+        self.touched.append(("up", self.behind) if upwards else ("down", self.ahead))
+        frontier = self._table([self.frontier]).select("idx")
+        found = self._upwards(frontier) if upwards else self._downwards(frontier)
+        self.size = self.add(found.select("idx", F.lit(self.depth).cast("bigint").alias("dist"), "parent"))
         return self.size
 
+    def _downwards(self, frontier: DataFrame) -> DataFrame:
+        """(idx, parent) of the next level, from the edges of the frontier."""
+        found = self.graph.adjacency(self.direction).expand(frontier).groupBy(F.col("to").alias("idx")).agg(F.min("at").alias("parent"))
+        return found.join(self.read().select("idx"), "idx", "left_anti")
+
+    def _upwards(self, frontier: DataFrame) -> DataFrame:
+        """(idx, parent) of the next level, from the edges that lead to unvisited vertices.
+
+        Those that come from a hub would all meet in one task, so they are told by a broadcast of the hubs, as bounded as
+        in an Adjacency, with whether each is on the frontier; they go into the exchange under keys of their own.
+        """
+        unvisited = self.degrees.where("behind > 0").select("idx").join(self.read().select("idx"), "idx", "left_anti")
+        probes = self.graph.adjacency(REVERSE[self.direction]).expand(unvisited).select(F.col("at").alias("idx"), F.col("to").alias("parent"))
+        ahead = self.graph.adjacency(self.direction) if self.graph.laid_out(self.direction) else None
+        if ahead is None or not ahead.hub_count:
+            met = probes.join(frontier.withColumnRenamed("idx", "parent"), "parent", "left_semi")
+        else:
+            on = frontier.select(F.col("idx").alias("at"), F.lit(True).alias("on"))
+            hubs = ahead.hubs.join(on, "at", "left").select(F.col("at").alias("parent"), F.coalesce("on", F.lit(False)).alias("hub_on"))
+            keyed = probes.join(F.broadcast(hubs), "parent", "left").withColumn("key", F.when(F.col("hub_on").isNull(), F.col("parent")).otherwise(-1 - F.col("idx")))
+            met = keyed.join(frontier.select(F.col("idx").alias("key"), F.lit(True).alias("light_on")), "key", "left").where("hub_on OR light_on")
+        return met.groupBy("idx").agg(F.min("parent").alias("parent"))
+
 
 def bfs(graph: Graph, sources, direction: str = "out", output: str = "dense") -> DataFrame:
     """(idx, dist, parent): hops from the nearest source and the smallest vertex one hop nearer.
 
     direction follows edges out, in or both ways. Dense output has every vertex, -1 where none reaches; sparse output
     has the reached ones, in order. Sources have dist 0 and parent -1. A level is one expansion, one partial aggregate
-    and one anti-join with what was visited.
+    and one anti-join with what was visited; where the reverse direction is laid out, large levels are found from the
+    edges of unvisited vertices.
     """
     check_graph(graph)
     direction = check_direction(direction)
     if output not in ("dense", "sparse"):
         raise ValueError('output must be "dense" or "sparse"')
     with recorded("bfs") as info:
-        levels = _Levels(graph, _sources(graph, sources))
+        levels = _Levels(graph, _sources(graph, sources), direction)
         size = levels.size
         while size:
             info.iterations += 1
-            size = levels.step(direction)
+            size = levels.step()
         reached = levels.read()
         if output == "sparse":
             return reached.orderBy("idx")
@@ -155,11 +198,11 @@ def k_hop(
         raise ValueError("k must not be negative")
     max_vertices, max_edges = check_cap("max_vertices", max_vertices), check_cap("max_edges", max_edges)
     with recorded("k_hop") as info:
-        levels = _Levels(graph, _sources(graph, seeds))
+        levels = _Levels(graph, _sources(graph, seeds), direction)
         size = levels.size
         while size and levels.depth < k and (max_vertices is None or levels.reached < max_vertices):
             info.iterations += 1
-            size = levels.step(direction)
+            size = levels.step()
         reached = levels.first(max_vertices)
         levels.remove()
         edges = graph.edges.join(reached.withColumnRenamed("idx", "src"), "src", "left_semi")
