@@ -11,13 +11,12 @@ from pyspark.sql.types import IntegralType, StringType
 
 from arcweave.functions.checks import MAX_INDEX, check_direction
 from arcweave.operators.ids import dense_index, lookup
+from arcweave.operators.joins import hub_threshold, join_value
 from arcweave.plans.runtime import execution
 from arcweave.plans.tables import discard, measured, partitions, stored
 
 #: Largest finite and smallest normal single-precision numbers: bounds of a vertex's weight sum.
 FLOAT_MAX, FLOAT_MIN = 3.4028234663852886e38, 1.1754943508222875e-38
-#: Sources with more than 1 / (HUB_SHARE * partitions) of the edges are hubs; there are at most HUB_SHARE * partitions.
-HUB_SHARE = 4
 #: Most rows of hubs that a step may broadcast.
 HUB_ROWS = 1_000_000
 
@@ -34,7 +33,7 @@ class Adjacency:
         spark = edges.sparkSession
         n = partitions(spark)
         degrees = edges.groupBy("at").count()
-        self.hubs, seen = measured(degrees.where(F.col("count") > max(1_000, count // (HUB_SHARE * n))).select("at"), "hubs", n=F.count(F.lit(1)))
+        self.hubs, seen = measured(degrees.where(F.col("count") > hub_threshold(count, spark)).select("at"), "hubs", n=F.count(F.lit(1)))
         self.hub_count = seen["n"]
         if self.hub_count:
             hubs = F.broadcast(self.hubs)
@@ -158,22 +157,25 @@ class Graph:
         spark = edges.sparkSession
         if num_vertices is None:
             universe = rows.select(F.col("src").alias("ext_id")).union(rows.select("dst"))
-            vertices = dense_index(universe, "ext_id")
+            vertices = dense_index(universe, "ext_id", counted=True)
         else:
-            vertices = spark.range(num_vertices).select(F.col("id").alias("ext_id"), F.col("id").alias("idx"))
+            vertices = spark.range(num_vertices).select(F.col("id").alias("ext_id"), F.col("id").alias("idx"), F.lit(0).cast("bigint").alias("occurs"))
         return cls._build(rows, vertices, directed, weight is not None, n, num_vertices is not None)
 
     @classmethod
     def from_universe(cls, edges: DataFrame, universe: DataFrame, directed: bool = True, weighted: bool = False) -> Graph:
         """Build over given vertices (ext_id): edges (edge_id, src, dst, weight) in external ids; isolated ones survive."""
         edges = stored(edges, "edges-in")
-        return cls._build(edges, dense_index(universe, "ext_id"), directed, weighted, edges.count(), False)
+        ends = edges.select(F.explode(F.array("src", "dst")).alias("ext_id")).groupBy("ext_id").agg(F.count(F.lit(1)).alias("occurs"))
+        known = dense_index(universe, "ext_id").join(ends, "ext_id", "left")
+        return cls._build(edges, known.select("ext_id", "idx", F.coalesce("occurs", F.lit(0)).alias("occurs")), directed, weighted, edges.count(), False)
 
     @classmethod
     def _build(cls, rows: DataFrame, vertices: DataFrame, directed: bool, weighted: bool, n: int, identity: bool) -> Graph:
         self = object.__new__(cls)
         self.spark, self.directed, self.weighted, self.identity, self.num_edges = rows.sparkSession, directed, weighted, identity, n
-        vertices, seen = measured(vertices, "ids", n=F.count(F.lit(1)))  # removed below; `rows` as well, once replaced
+        hub = F.col("occurs") > hub_threshold(n, self.spark)  # over both ends, so there may be twice as many as of one
+        vertices, seen = measured(vertices, "ids", n=F.count(F.lit(1)), hubs=F.count_if(hub))  # removed below; `rows` as well, once replaced
         self.num_vertices = seen["n"]
         if self.num_vertices > MAX_INDEX:
             raise ValueError("too many vertices")
@@ -182,8 +184,8 @@ class Graph:
         else:
             given = rows
             for end in ("src", "dst"):
-                known = vertices.select(F.col("ext_id").alias(end), F.col("idx").alias(f"{end}_idx"))
-                rows = rows.join(known, end)
+                known = vertices.select(F.col("ext_id").alias(end), F.col("idx").alias(f"{end}_idx"), "occurs")
+                rows = join_value(rows, known, end, f"{end}_idx", known.where(hub) if seen["hubs"] else None)
             self.edges = stored(rows.select("edge_id", F.col("src_idx").alias("src"), F.col("dst_idx").alias("dst"), "weight"), "edges")
             discard(given)
         self.stored = self.edges
@@ -202,9 +204,11 @@ class Graph:
             most=F.max("out_wsum"),
             stored=F.coalesce(F.sum("out_deg"), zero),
             dangling=F.count_if("dangling"),
+            most_out=F.coalesce(F.max("out_deg"), zero),
         )
         discard(vertices)
         most, self.stored_count, self.dangling_count = seen["most"], seen["stored"], seen["dangling"]
+        self.most_out = seen["most_out"]
         if most is not None and most > FLOAT_MAX:
             raise ValueError("a vertex's weights have no finite float32 sum")
         self._adjacency: dict[str, Adjacency] = {}
@@ -222,12 +226,15 @@ class Graph:
         if not self.directed:
             direction = "out"
         if direction not in self._adjacency:
-            weights = self.vertices.select(F.col("idx").alias("src"), "out_wsum")
+            weights = self.vertices.select(F.col("idx").alias("src"), "out_wsum", "out_deg")
             share = F.when(F.col("out_wsum") > 0, F.col("weight") / F.col("out_wsum")).otherwise(0.0)
             there = lambda: self.stored.select(F.col("src").alias("at"), F.col("dst").alias("to"), "edge_id")
             back = lambda: self.stored.select(F.col("dst").alias("at"), F.col("src").alias("to"), "edge_id")
             if direction == "out":
-                rows, n = self.stored.join(weights, "src").select(F.col("src").alias("at"), F.col("dst").alias("to"), "edge_id", share.alias("share")), self.stored_count
+                n = self.stored_count
+                least = hub_threshold(n, self.spark)
+                hubs = weights.where(F.col("out_deg") > least) if self.most_out > least else None
+                rows = join_value(self.stored, weights, "src", "out_wsum", hubs).select(F.col("src").alias("at"), F.col("dst").alias("to"), "edge_id", share.alias("share"))
             elif direction == "in":
                 rows, n = back().withColumn("share", F.lit(0.0)), self.stored_count
             else:
@@ -243,6 +250,11 @@ class Graph:
         """Stored edges with their ends swapped."""
         return self.stored.select("edge_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
 
+    @cached_property
+    def most_out(self) -> int:
+        """Largest out-degree; known from the build, or read from a graph that was opened."""
+        return self.vertices.agg(F.max("out_deg")).first()[0] or 0
+
     @cached_property
     def external_ids(self) -> DataFrame:
         """(idx, ext_id) of all vertices."""

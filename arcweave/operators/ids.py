@@ -8,19 +8,23 @@ from pyspark.sql import functions as F
 from arcweave.plans.tables import partitions, stored
 
 
-def dense_index(values: DataFrame, column: str) -> DataFrame:
-    """(`column`, idx) for the distinct values of a column: idx counts from 0 in the values' order.
+def dense_index(values: DataFrame, column: str, counted: bool = False) -> DataFrame:
+    """(`column`, idx) for the distinct values of a column: idx counts from 0 in the values' order. With `counted`, occurs
+    too: how many rows have the value.
 
     Values are sorted by ranges; only one row per range meets in one place, to add up the ranges' sizes.
     """
     n = partitions(values.sparkSession)
-    distinct = values.select(column).where(F.col(column).isNotNull()).distinct()
+    given = values.select(column).where(F.col(column).isNotNull())
+    distinct = given.groupBy(column).agg(F.count(F.lit(1)).alias("occurs")) if counted else given.distinct()
     ranged = stored(distinct.repartitionByRange(n, column).withColumn("part", F.spark_partition_id()), "ranges")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranged.groupBy("part").count()
     starts = sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     place = F.row_number().over(Window.partitionBy("part").orderBy(column)) - 1
-    return ranged.withColumn("place", place).join(F.broadcast(starts), "part").select(column, (F.col("start") + F.col("place")).alias("idx"))
+    return ranged.withColumn("place", place).join(F.broadcast(starts), "part").select(
+        column, (F.col("start") + F.col("place")).alias("idx"), *(["occurs"] if counted else [])
+    )
 
 
 def lookup(ids: DataFrame, vertices: DataFrame, column: str = "ext_id") -> DataFrame:
