@@ -307,6 +307,48 @@ def test_word_encoder_equals_the_tokenizer():
     assert all(ids[a:b].tolist() == plain.encode(t, add_special_tokens=False).ids for t, a, b in zip(texts, cuts, cuts[1:], strict=False))
 
 
+def test_words_that_differ_by_signs_are_encoded_once():
+    """Such words, and those that begin a line or a text, share the ids of their letters."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from arcweave.llm.tokens import WordEncoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, own, seen = Tokenizer.from_file(path), WordEncoder(path), []
+
+    class Seen:
+        def tokenize(self, word):
+            seen.append(word)
+            return plain.model.tokenize(word)
+
+    own.model = Seen()
+    words = [f"{a}{b}" for a in ("Ka", "lö", "mi", "ñe") for b in ("ra", "ti", "\u024f")]
+    texts = [f"{w} {w} {w}. {w}, {w}### {w}!!\n{w}\n{w}&&&\nx" for w in words] + ["", "it's <b> 中. a|b 3. é😀,", "中"]
+    for _ in range(2):
+        ids, counts = own.encode(pa.array(texts))
+        cuts = np.r_[0, np.cumsum(counts)]
+        assert all(ids[a:b].tolist() == plain.encode(t, add_special_tokens=False).ids for t, a, b in zip(texts, cuts, cuts[1:], strict=False))
+    assert len(seen) == len(set(seen)) and len(seen) <= 2 * len(words) + 6
+
+
+@pytest.mark.parametrize("token", ["and", "##", "n.", "é", "<|x|>", "a1"])
+def test_added_tokens_inside_words(tmp_path, token):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    definition = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    definition["added_tokens"].append(definition["added_tokens"][0] | {"id": 50257, "content": token})
+    (tmp_path / "own.json").write_text(json.dumps(definition), encoding="utf-8")
+    plain, own = Tokenizer.from_file(str(tmp_path / "own.json")), encoder(str(tmp_path / "own.json"))
+    texts = ["band andand.\nand sand###", "in. n.n éa caféé, <|x|>y a1b a<|x|>.", ""]
+    ids, counts = own.encode(pa.array(texts))
+    cuts = np.r_[0, np.cumsum(counts)]
+    assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_chain_learns_and_handles_edges(spark, docs_of):
     rng = random.Random(4)
     vocabulary = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "su", "ta") for b in ("ra", "ti", "do", "pe", "vu", "xo", "zy")]
