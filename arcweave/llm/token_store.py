@@ -14,10 +14,10 @@ parts, in key order, and a row is a shard:
     mph_sizes, mph_words   the perfect hash over the distinct keys
     slots            (u32 fingerprint, u32 ordinal)[distinct keys]: the first document with that key
 
-`manifest` has a row per part: its files, its key range, and the ids before it. There are at most as many parts as write
-tasks, so a reader holds the manifest in memory, finds the part of a key by binary search, and reads that one file,
-whose statistics lead to the shard; there a slot, a fingerprint and an offset lead to the ids. The cost of a lookup does
-not grow with the number of documents.
+`manifest` has a row per part: its files with their key ranges, its own key range, and the ids before it. There are at
+most as many parts as write tasks, each of one file unless Spark splits what a task writes, so a reader holds the manifest
+in memory, finds the file of a key by binary search, and reads that one file, whose statistics lead to the shard; there a
+slot, a fingerprint and an offset lead to the ids. The cost of a lookup does not grow with the number of documents.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from arcweave.llm.perfect_hash import PerfectHash, fingerprints
 from arcweave.llm.store import fresh_path, gives_back, table
@@ -44,7 +45,7 @@ SHARD = (
     "part int, seq int, first_key bigint, last_key bigint, n_docs bigint, n_null bigint, n_tokens bigint, part_start bigint, width int, payload binary, "
     "offsets binary, keys binary, mph_sizes binary, mph_words binary, slots binary"
 )
-MANIFEST = "part int, files array<string>, first_key bigint, last_key bigint, n_docs bigint, n_tokens bigint, start bigint"
+MANIFEST = "part int, files array<struct<seq: int, file: string, first_key: bigint, last_key: bigint>>, first_key bigint, last_key bigint, n_docs bigint, n_tokens bigint, start bigint"
 _SLOT = np.dtype([("fingerprint", "<u4"), ("ordinal", "<u4")])
 
 
@@ -131,19 +132,19 @@ class TokenStore:
         self.manifest = spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
 
     @cached_property
-    def _parts(self) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
-        """Files, first and last keys of the parts with keys, in key order; at most a row per write task."""
-        rows = self.manifest.where("first_key IS NOT NULL").orderBy("first_key", "part").select("files", "first_key", "last_key").collect()
-        return [r.files for r in rows], np.array([r.first_key for r in rows], np.int64), np.array([r.last_key for r in rows], np.int64)
+    def _parts(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The files with keys, in key order, and their first and last keys."""
+        rows = self.manifest.where("first_key IS NOT NULL").orderBy("part").select("files").collect()
+        found = [f for r in rows for f in r.files if f.first_key is not None]
+        return [f.file for f in found], np.array([f.first_key for f in found], np.int64), np.array([f.last_key for f in found], np.int64)
 
     def ids(self, key: int) -> list[int] | None:
         """The ids of the first document with this key, end id included; None if there is none."""
         files, first, last = self._parts
-        at = int(np.searchsorted(last, key))  # the first part that ends at or after the key
+        at = int(np.searchsorted(last, key))  # the first file that ends at or after the key
         if at == len(files) or first[at] > key:
             return None
-        part = self.spark.read.schema(SHARD).parquet(*files[at])
-        near = part.where((F.col("first_key") <= key) & (F.col("last_key") >= key))
+        near = self.spark.read.schema(SHARD).parquet(files[at]).where((F.col("first_key") <= key) & (F.col("last_key") >= key))
         seq = near.agg(F.min("seq")).first()[0]  # of the shards that share the key, the first has its first document
         if seq is None:
             return None
@@ -155,6 +156,17 @@ class TokenStore:
         return np.frombuffer(shard["payload"][a:b], f"<u{shard['width']}").tolist()
 
 
+def _write_manifest(spark: SparkSession, path: str) -> None:
+    """The manifest of the shards at `path`."""
+    small = spark.read.schema(SHARD).parquet(f"{path}/shards").select("part", "seq", "first_key", "last_key", "n_docs", "n_tokens", F.col("_metadata.file_path").alias("file"))
+    totals = [F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"), F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")]
+    files = small.groupBy("part", "file").agg(F.min("seq").alias("seq"), *totals)
+    parts = files.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("seq", "file", "first_key", "last_key"))).alias("files"), *totals)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over a row per part
+    manifest = parts.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    manifest.select(*StructType.fromDDL(MANIFEST).names).write.parquet(f"{path}/manifest")
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> TokenStore:
     """Write the token ids of `docs` (doc_id, text) to a store at `path` in ascending doc_id order.
 
@@ -169,12 +181,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
     shards = ranged.mapInArrow(_writer(tokenizer or default_tokenizer(), end_id, shard_tokens), SHARD)
     shards.write.option("compression", "none").option("maxRecordsPerFile", 0).parquet(f"{path}/shards")
-    small = spark.read.schema(SHARD).parquet(f"{path}/shards").select("part", "first_key", "last_key", "n_docs", "n_tokens", F.col("_metadata.file_path").alias("file"))
-    totals = [F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"), F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")]
-    parts = small.groupBy("part").agg(F.collect_set("file").alias("files"), *totals)  # one file, unless Spark splits what a task writes
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over a row per part
-    manifest = parts.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    manifest.select(*[x.split()[0] for x in MANIFEST.split(", ")]).write.parquet(f"{path}/manifest")
+    _write_manifest(spark, path)
     return TokenStore(spark, path)
 
 

@@ -287,6 +287,28 @@ def test_a_store_bears_split_files_and_hot_keys(spark, docs_of):
     assert zlib.crc32(np.array(store.ids(77), "<u4").tobytes()) == first.ids_crc32
 
 
+def test_a_lookup_in_split_files_reads_one(spark, docs_of, monkeypatch):
+    """A store whose parts have a file per shard, with rows of no key and of one key over several files."""
+    rows = [(i, f"words of text {i} " * 3, "s") for i in range(100)] + [(50, "copy " * 9, "s")] * 40 + [(None, "no key " * 9, "s")] * 30
+    whole, path = token_store.write_tokens(docs_of(rows), fresh_path(spark, "tokens"), shard_tokens=16), fresh_path(spark, "tokens")
+    whole.shards.coalesce(1).sortWithinPartitions("part", "seq").write.option("maxRecordsPerFile", 1).parquet(f"{path}/shards")
+    token_store._write_manifest(spark, path)
+    store = token_store.TokenStore(spark, path)
+    parts = store.manifest.collect()
+    assert len({r.part for r in parts}) == len(parts) and max(len(r.files) for r in parts) > 1
+    assert sum(r.n_docs for r in parts) == len(rows)
+    first = min((r for r in token_store.stored_documents(store).collect() if r.doc_id == 50), key=lambda r: r.start)
+    scanned, reader = [], type(spark.read)
+    real = reader.parquet
+    monkeypatch.setattr(reader, "parquet", lambda self, *paths, **o: scanned.extend(paths) or real(self, *paths, **o))
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    keys = (0, 49, 51, 99)
+    assert store._parts and not scanned
+    assert [store.ids(i) for i in keys] == [plain.encode(rows[i][1]).ids + [2] for i in keys]
+    assert zlib.crc32(np.array(store.ids(50), "<u4").tobytes()) == first.ids_crc32
+    assert len(scanned) == len(keys) + 1 and store.ids(100) is None
+
+
 def test_an_absent_key_with_a_known_fingerprint_is_absent(spark, docs_of, monkeypatch):
     store = token_store.write_tokens(docs_of([(i, "a b", "s") for i in range(0, 100, 2)]), fresh_path(spark, "tokens"))
     monkeypatch.setattr(token_store, "ordinals", lambda shard, keys: np.zeros(len(keys), np.int64))  # as if fingerprints agreed
