@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words in each of the memo's two generations.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 200_000
 BREAKS = (" ", "\n")
 #: Letters and ASCII signs, as classes of Python's and Arrow's expressions. Letters beyond U+024F are left to the
 #: tokenizer's own pre-tokeniser, whose Unicode tables may differ, and apostrophes too, as they begin contractions;
@@ -114,10 +114,12 @@ class WordEncoder:
     def _letters(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters, with a blank before them or not: each is one pre-token, the model's own input."""
         spelled = codecs.charmap_decode("\n".join(words).encode(), "strict", self.spelling)[0].split(self.spelling[10])
-        found = list(map(self.model.tokenize, spelled))
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.array([t.id for tokens in found for t in tokens], self.width)
-        return self._cut(ids, np.r_[0, np.cumsum(counts)])
+        ids, counts = array(self.width.char), []
+        for i in range(0, len(spelled), 1_000):  # the model's tokens are large beside their ids
+            found = list(map(self.model.tokenize, spelled[i : i + 1_000]))
+            counts.extend(map(len, found))
+            ids.extend([t.id for tokens in found for t in tokens])
+        return self._cut(np.frombuffer(ids, self.width), np.r_[0, np.cumsum(counts)])
 
     def _joined(self, words: list[str]) -> list[bytes]:
         """Ids of words that begin with white space and end without, encoded one after the other."""
