@@ -1,12 +1,12 @@
 """Importance resampling towards a target distribution, over a dictionary of distinct features.
 
-1. Documents become shards of at most about `shard_words` words: the distinct features of a shard's documents as strings
-   with their totals, and the per-document counts as numbers of those features, in arrays.
+1. Documents become shards of at most about `shard_words` words, and of distinct features of SHARD_BYTES: these features
+   as strings with their totals, and the per-document counts as numbers of those features, in packed arrays.
 2. The shards' totals add up to the dictionary: every distinct feature once, with its count in the whole corpus. Each is
    hashed there, once, and the dictionary is added up by bucket. The target's texts go the same way.
 3. A bucket's gain follows from both counts. The dictionary takes the gains of its buckets, and is joined back to the
    shards' features by string, a row for each feature of a shard, so a word that every document has is a row a shard.
-4. A shard's gains meet its per-document counts, which give every document its weight.
+4. A shard's gains meet its per-document counts, without its strings, which give every document its weight.
 5. A document's score adds Gumbel noise from a hash of its id, so the highest scores are a sample without replacement.
    Scores are sorted by ranges; only ranges' sizes meet in one place.
 
@@ -29,20 +29,36 @@ from arcweave.llm.store import Scratch, from_planes, gives_back, named, planes,
 RUN, BUCKETS, SALT, LEAST_WORDS, PERCENT = 1, 10_000, "2024", 20, 10
 #: Words of a shard, about; a document is never cut.
 SHARD_WORDS = 1_000_000
+#: Bytes of a shard's distinct features, about, each with FEATURE_BYTES beside its text: long or rare words end a shard early.
+SHARD_BYTES, FEATURE_BYTES = 16 << 20, 64
+#: Parquet's writer looks at what it holds after 100 rows by default, and a reader decodes a whole group of so few rows.
+ROW_GROUPS = {"parquet.block.row.count.limit": 4}
 #: Most gains that are broadcast.
 BROADCAST_GAINS = 1_000_000
 _SHARD = "shard bigint, doc_ids array<bigint>, words array<bigint>, n_features array<bigint>, features array<string>, totals array<bigint>, distinct binary, codes binary, counts binary"
 _NAMES = [x.split()[0] for x in _SHARD.split(", ")]
+_COUNTS = [x for x in _NAMES if x not in {"features", "totals"}]
 
 
 class _Numbers(dict):
-    """Features by number, in the order of their first use."""
+    """Features by number, in the order of their first use; `held` is about their bytes."""
+
+    held = 0
 
     def __missing__(self, feature: bytes) -> int:
         value = self[feature] = len(self)
+        self.held += len(feature) + FEATURE_BYTES
         return value
 
 
+def _packed(values: np.ndarray) -> bytes:
+    return pa.compress(planes(values), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return from_planes(pa.decompress(data, 4 * n, codec="zstd", asbytes=True))
+
+
 def features_of(words: list[bytes], run: int) -> list[bytes]:
     """All runs of 1 to `run` consecutive words, joined by a blank."""
     found = list(words)
@@ -56,9 +72,11 @@ def _shard_row(shard: int, keys: list, n_words: list[int], sizes: list[int], cod
     n, code = max(len(numbers), 1), np.concatenate(codes)
     totals = np.bincount(code, minlength=len(numbers)).astype(np.int64)
     order = np.argsort(-totals, kind="stable")
-    place = np.empty(len(order), np.int64)
+    place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order))
-    cell, counts = np.unique(np.repeat(np.arange(len(keys)), sizes) * n + place[code], return_counts=True)
+    cell = np.repeat(np.arange(len(keys)) * n, sizes)
+    cell += place[code]
+    cell, counts = np.unique(cell, return_counts=True)
     distinct = np.bincount(cell // n, minlength=len(keys))
     words = list(numbers)
     names = pa.array([words[i].decode() for i in order.tolist()], pa.string())
@@ -69,7 +87,7 @@ def _shard_row(shard: int, keys: list, n_words: list[int], sizes: list[int], cod
         pa.array([sizes], pa.list_(pa.int64())),
         pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names),
         pa.ListArray.from_arrays(pa.array([0, len(totals)], pa.int32()), pa.array(totals[order])),
-        *[pa.array([planes(x)], pa.binary()) for x in (distinct, cell % n, counts)],
+        *[pa.array([_packed(x)], pa.binary()) for x in (distinct, cell % n, counts)],
     ]
     return pa.RecordBatch.from_arrays(row, _NAMES)
 
@@ -87,9 +105,9 @@ def _sharder(run: int, shard_words: int):
                 words = words_of(text.as_py())
                 found = features_of(words, run)
                 keys.append(key), n_words.append(len(words)), sizes.append(len(found))
-                codes.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
+                codes.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
                 held += len(words) + 1
-                if held >= shard_words:
+                if held >= shard_words or numbers.held >= SHARD_BYTES:
                     yield _shard_row(base + seq, keys, n_words, sizes, codes, numbers)
                     keys, n_words, sizes, codes, numbers, held, seq = [], [], [], [], _Numbers(), 0, seq + 1
         if keys:
@@ -103,9 +121,10 @@ def _weigh(key: tuple, shard: pa.Table, gains: pa.Table) -> pa.Table:
     row = shard.to_pylist()[0]
     gain = np.zeros(gains.num_rows, np.int64)
     gain[gains.column("place").to_numpy()] = gains.column("gain").to_numpy()
-    distinct, codes, counts = (from_planes(row[c]).astype(np.int64) for c in ("distinct", "codes", "counts"))
+    distinct = _unpacked(row["distinct"], len(row["doc_ids"]))
+    ends = np.cumsum(distinct, dtype=np.int64)
+    codes, counts = (_unpacked(row[c], int(ends[-1])) for c in ("codes", "counts"))
     upto = np.r_[0, np.cumsum(gain[codes] * counts)]
-    ends = np.cumsum(distinct)
     sums = upto[ends] - upto[ends - distinct]
     n = np.array(row["n_features"], np.int64)
     weight = np.where(n > 0, sums // np.maximum(n, 1), 0)
@@ -129,7 +148,7 @@ def document_weights(docs: DataFrame, target: DataFrame, stored: Scratch, run: i
     cut = _sharder(run, shard_words)
 
     def shards_of(rows: DataFrame) -> DataFrame:
-        return stored(rows.mapInArrow(cut, _SHARD), "resample-shards")
+        return stored(rows.mapInArrow(cut, _SHARD), "resample-shards", **ROW_GROUPS)
 
     def words_in(shards: DataFrame) -> DataFrame:
         return shards.select("shard", F.posexplode(F.arrays_zip("features", "totals")).alias("place", "x")).select("shard", "place", F.col("x.features").alias("feature"), F.col("x.totals").alias("n"))
@@ -145,7 +164,7 @@ def document_weights(docs: DataFrame, target: DataFrame, stored: Scratch, run: i
     named_gains = dictionary.join(F.broadcast(gains) if buckets <= BROADCAST_GAINS else gains, "bucket").select("feature", "gain")
     back = words_in(shards).select("shard", "place", "feature").join(named_gains.hint("merge"), "feature").select(F.col("shard").alias("of"), "place", "gain")
     schema = "doc_id bigint, words bigint, n_features bigint, weight bigint"
-    return shards.groupBy("shard").cogroup(back.groupBy("of")).applyInArrow(_weigh, schema)
+    return shards.select(_COUNTS).groupBy("shard").cogroup(back.groupBy("of")).applyInArrow(_weigh, schema)
 
 
 def resampled(

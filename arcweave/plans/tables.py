@@ -20,10 +20,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """df written as Parquet and read back: the lineage ends there, and a lost executor loses nothing."""
+def stored(df: DataFrame, name: str, codec: str = "snappy", **options) -> DataFrame:
+    """df written as Parquet and read back: the lineage ends there, and a lost executor loses nothing. The options are
+    the writer's."""
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(**options).option("compression", codec).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.stored_at = path
     return table
@@ -53,8 +54,8 @@ class Scratch:
     def __init__(self, codec: str = "snappy"):
         self.codec, self.tables = codec, []
 
-    def __call__(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
-        self.tables.append(stored(df, name, codec or self.codec))
+    def __call__(self, df: DataFrame, name: str, codec: str | None = None, **options) -> DataFrame:
+        self.tables.append(stored(df, name, codec or self.codec, **options))
         return self.tables[-1]
 
     def discard_but(self, *held: DataFrame) -> None:

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -10,7 +11,9 @@ from collections import Counter
 from html import unescape
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from arcweave.llm import collocations as co
 from arcweave.llm import html_text as ht
@@ -77,6 +80,33 @@ def test_resampling_of_copies_and_empty_tables(spark, docs_of):
     assert rs.resampled(docs_of([]), table).count() == 0
 
 
+def test_resampling_shards_are_bounded_by_bytes(spark):
+    """A million words may be gigabytes: 2,400 documents of ten distinct words of 2,560 bytes, in one task."""
+    text = F.concat_ws(" ", *[F.repeat(F.sha2(F.concat_ws(":", F.col("id"), F.lit(j)), 256), 40) for j in range(10)])
+    docs = spark.range(0, 2400, 1, 1).select(F.col("id").alias("doc_id"), text.cast("binary").alias("text"))
+    shards = docs.mapInArrow(rs._sharder(1, rs.SHARD_WORDS), rs._SHARD)
+    size = F.aggregate("features", F.lit(0), lambda n, x: n + F.length(x))
+    found = shards.select(size.alias("bytes"), F.size("doc_ids").alias("docs")).collect()
+    assert sum(r.docs for r in found) == 2400 and sum(r.bytes for r in found) == 2400 * 25_600
+    assert max(r.bytes for r in found) <= rs.SHARD_BYTES + 25_600
+
+
+def test_resampling_weighs_few_shards_at_once(spark, docs_of, tmp_path, monkeypatch):
+    """Stored shards stand in small row groups, and their strings stay out of the exchange that weighs documents."""
+    read, weights = [], []
+    monkeypatch.setattr(rs.Scratch, "discard_but", lambda self, *held: read.extend(self.tables))
+    inner = rs.document_weights
+    monkeypatch.setattr(rs, "document_weights", lambda *args: weights.append(inner(*args)) or weights[-1])
+    docs = docs_of([(i, f"w{i} of many words {i % 7} " * 8, "s") for i in range(300)]).coalesce(1)
+    assert rs.resampled(docs, docs.limit(0), shard_words=40).count() == 300
+    files = [f for f in pathlib.Path(read[0].stored_at).glob("*.parquet")]
+    groups = [m.row_group(i).num_rows for f in files for m in [pq.ParquetFile(f).metadata] for i in range(m.num_row_groups)]
+    assert sum(groups) == read[0].count() >= 150 and max(groups) <= 4
+    plan = weights[0]._jdf.queryExecution().optimizedPlan().toString()
+    grouped = next(x for x in plan.splitlines() if "FlatMapCoGroupsInArrow" in x)
+    assert "codes" in grouped and "features#" not in grouped.replace("n_features#", "") and "totals#" not in grouped
+
+
 # collocations
 
 
